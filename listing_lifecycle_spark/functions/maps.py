@@ -30,10 +30,10 @@ def contained_maps(filter_map: Column, *, proper: bool) -> Column:
     """
     pairs = F.array_sort(F.map_entries(filter_map))
     size = F.size(pairs)
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), size) - F.lit(2 if proper else 1))
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), size) - F.lit(2 if proper else 1))
 
     def subset(mask: Column) -> Column:
-        kept = F.filter(pairs, lambda _, i: F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1)
+        kept = F.filter(pairs, lambda _, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
         return F.to_json(kept)
 
     texts = F.transform(masks, subset)

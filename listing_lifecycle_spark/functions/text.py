@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import name2codepoint
 
@@ -15,9 +16,19 @@ from listing_lifecycle_spark import fixed_values as fv
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` refers to it."""
+    return F.try_element_at(F.transform(F.array(value), lambda bound: use(bound)), F.lit(1))
+
+
+def present(text: Column) -> Column:
+    """Null in place of an empty text."""
+    return bind(text, lambda t: F.when(t != "", t))
+
+
 def normalize_space(text: Column) -> Column:
     """Collapse white space; an empty result is null."""
-    return F.nullif(F.trim(F.regexp_replace(text, _SPACES, " ")), F.lit(""))
+    return present(F.trim(F.regexp_replace(text, _SPACES, " ")))
 
 
 def fold_case(text: Column) -> Column:
@@ -56,20 +67,32 @@ def decode_entities(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
     reference = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
-    def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, reference, 1)
+    def letter(name: Column) -> Column:
         code = F.when(
             F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10).cast("int")
         ).when(F.substring(name, 1, 1) == "#", F.substring(name, 2, 9).cast("int"))
-        usable = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        by_code = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        letter = F.coalesce(by_code, F.when(name == "apos", F.lit("'")), F.try_element_at(names, name))
-        return F.when((name == "") | letter.isNull(), piece).otherwise(
-            F.concat(letter, F.substr(piece, F.length(name) + F.lit(3)))
+        usable = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+        character = bind(
+            code, lambda c: F.when(usable(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+        )
+        return F.when(F.startswith(name, F.lit("#")), character).otherwise(
+            F.coalesce(F.try_element_at(names, name), F.when(name == "apos", F.lit("'")))
         )
 
-    decoded = F.array_join(F.transform(F.split(text, r"(?=&[#a-zA-Z])"), decode), "")
-    return F.when(F.instr(text, "&") == 0, text).otherwise(decoded)
+    def decode(piece: Column) -> Column:
+        return bind(
+            F.regexp_extract(piece, reference, 1),
+            lambda name: F.when(name == "", piece).otherwise(
+                F.coalesce(F.concat(letter(name), F.substr(piece, F.length(name) + F.lit(3))), piece)
+            ),
+        )
+
+    return bind(
+        text,
+        lambda t: F.when(F.instr(t, "&") == 0, t).otherwise(
+            F.array_join(F.transform(F.split(t, r"(?=&[#a-zA-Z])"), decode), "")
+        ),
+    )
 
 
 def date_text(day: Column) -> Column:
