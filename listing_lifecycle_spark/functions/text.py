@@ -62,37 +62,26 @@ def slugify(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+@lru_cache(maxsize=1)
+def _entity_lambda() -> str:
+    """SQL lambda that decodes character references; as text it is one node to build, however often it is used."""
+    pairs = "\x1e".join(f"{name}\x1f{chr(code)}" for name, code in name2codepoint.items())
+    names = f"str_to_map(decode(X'{pairs.encode().hex()}', 'UTF-8'), chr(30), chr(31))"
+    number = """CASE WHEN lower(substring(n, 1, 2)) = '#x' THEN CAST(conv(substring(n, 3), 16, 10) AS INT)
+      ELSE CAST(substring(n, 2) AS INT) END"""
+    by_number = f"""element_at(transform(array({number}), c -> CASE WHEN c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343
+      THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END), 1)"""
+    letter = f"CASE WHEN startswith(n, '#') THEN {by_number} WHEN n = 'apos' THEN '\\'' ELSE try_element_at({names}, n) END"
+    reference = "^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+    piece = f"""element_at(transform(array(regexp_extract(p, '{reference}', 1)),
+      n -> CASE WHEN n = '' THEN p ELSE coalesce(concat({letter}, substring(p, length(n) + 3)), p) END), 1)"""
+    return f"""t -> CASE WHEN instr(t, '&') = 0 THEN t
+      ELSE array_join(transform(split(t, '(?=&[#a-zA-Z])'), p -> {piece}), '') END"""
+
+
 def decode_entities(text: Column) -> Column:
     """Replace named (Latin set) and numeric character references."""
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
-    reference = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-
-    def letter(name: Column) -> Column:
-        code = F.when(
-            F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 8), 16, 10).cast("int")
-        ).when(F.substring(name, 1, 1) == "#", F.substring(name, 2, 9).cast("int"))
-        usable = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
-        character = bind(
-            code, lambda c: F.when(usable(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
-        )
-        return F.when(F.startswith(name, F.lit("#")), character).otherwise(
-            F.coalesce(F.try_element_at(names, name), F.when(name == "apos", F.lit("'")))
-        )
-
-    def decode(piece: Column) -> Column:
-        return bind(
-            F.regexp_extract(piece, reference, 1),
-            lambda name: F.when(name == "", piece).otherwise(
-                F.coalesce(F.concat(letter(name), F.substr(piece, F.length(name) + F.lit(3))), piece)
-            ),
-        )
-
-    return bind(
-        text,
-        lambda t: F.when(F.instr(t, "&") == 0, t).otherwise(
-            F.array_join(F.transform(F.split(t, r"(?=&[#a-zA-Z])"), decode), "")
-        ),
-    )
+    return F.try_element_at(F.call_function("transform", F.array(text), F.expr(_entity_lambda())), F.lit(1))
 
 
 def date_text(day: Column) -> Column:

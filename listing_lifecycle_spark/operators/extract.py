@@ -45,7 +45,7 @@ def place_of(link: Column) -> Column:
     tail = markup.text_of(F.regexp_extract(link, r"(?is)<span\b[^>]*>(.*?)</span>", 1))
     direct = markup.text_of(F.regexp_replace(link, r"(?is)<(\w+)\b[^>]*>.*?</\1\s*>", " "))
     split_tail = F.split(F.regexp_replace(tail, r"^- ", ""), fv.RANGE_SEPARATOR)
-    parts = F.filter(F.transform(split_tail, F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(split_tail, lambda p: F.trim(p)), lambda p: p != "")
 
     def region_of(found: Column) -> Column:
         region = F.when(F.size(found) <= 2, F.try_element_at(found, F.lit(1))).otherwise(F.try_element_at(found, F.lit(2)))

@@ -42,7 +42,7 @@ def stalest_scope(scopes: DataFrame, *, now) -> DataFrame:
     """The enabled scope that is oldest in terms of its interval; one that never succeeded is oldest of all."""
     micros = F.greatest(F.lit(0).cast("bigint"), F.timestamp_diff("MICROSECOND", F.col("last_success_at"), instant(now)))
     ratio = F.when(F.col("last_success_at").isNull(), F.lit(float("inf"))).otherwise(
-        micros / (F.col("interval_minutes") * 60_000_000)
+        micros / (F.col("interval_minutes").cast("bigint") * 60_000_000)
     )
     ranked = scopes.where("enabled").select("name", "interval_minutes", "last_success_at", ratio.alias("ratio"))
     return ranked.orderBy(F.desc("ratio"), F.asc("name")).limit(1)
@@ -93,7 +93,7 @@ def health_summary(runs: DataFrame, scopes: DataFrame, *, now, hours: int = fv.H
         F.first("stalest", ignorenulls=True).alias("stalest"),
     )
     name, interval, success = [F.col(f"stalest.{c}") for c in ("name", "interval_minutes", "last_success_at")]
-    limit = interval * F.lit(fv.HEALTH_STALE_INTERVALS) * F.lit(60_000_000)
+    limit = interval.cast("bigint") * F.lit(fv.HEALTH_STALE_INTERVALS) * F.lit(60_000_000)
     too_old = name.isNull() | success.isNull() | (F.timestamp_diff("MICROSECOND", success, instant(now)) > limit)
     return row.select(
         "successful_runs", "failed_runs", "new_listings", "changed_listings",
@@ -112,16 +112,20 @@ def health_lines(runs: DataFrame, scopes: DataFrame, *, now, hours: int = fv.HEA
         F.concat(F.lit("- "), "scope_name", F.lit(": "), F.col("runs").cast("string")).alias("line"),
     )
     row = health_summary(runs, scopes, now=now, hours=hours)
+
+    def text_line(part: int, line: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), F.lit("").alias("sort_key"), line.alias("line"))
+
     fixed = row.select(
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("part"), F.lit("").alias("sort_key"), F.concat(F.lit("-- Health check -- "), "status").alias("line")),
-                F.struct(F.lit(1), F.lit(""), F.when(F.col("successful_runs") == 0, "Scans: none")),
-                F.struct(F.lit(2), F.lit(""), F.concat(
+                text_line(0, F.concat(F.lit("-- Health check -- "), "status")),
+                text_line(1, F.when(F.col("successful_runs") == 0, "Scans: none")),
+                text_line(2, F.concat(
                     F.lit("Total: "), F.col("successful_runs"), F.lit(" scans, "), F.col("new_listings"), F.lit(" new, "),
                     F.col("changed_listings"), F.lit(" changed"))),
-                F.struct(F.lit(3), F.lit(""), F.concat(F.lit("Failed scan attempts: "), F.col("failed_runs"))),
-                F.struct(F.lit(4), F.lit(""), F.concat(F.lit("Stalest coverage: "), "freshness")),
+                text_line(3, F.concat(F.lit("Failed scan attempts: "), F.col("failed_runs"))),
+                text_line(4, F.concat(F.lit("Stalest coverage: "), "freshness")),
             )
         )
     )

@@ -57,8 +57,8 @@ def snapshot_metadata(snapshot: DataFrame, *, source: str, refreshed_at: str) ->
         F.inline(
             F.array(
                 F.struct(F.lit("source").alias("key"), F.lit(source).alias("value")),
-                F.struct(F.lit("listing_count"), F.col("n")),
-                F.struct(F.lit("refreshed_at"), F.lit(refreshed_at)),
+                F.struct(F.lit("listing_count").alias("key"), F.col("n").alias("value")),
+                F.struct(F.lit("refreshed_at").alias("key"), F.lit(refreshed_at).alias("value")),
             )
         )
     )

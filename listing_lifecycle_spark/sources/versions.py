@@ -7,8 +7,8 @@ of a commit that failed half way are never pointed to.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 class VersionedTables:

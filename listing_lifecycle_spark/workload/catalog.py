@@ -57,6 +57,6 @@ def query(name: str, covers: str, sql: str | None = None, *, dates: str = "", in
 
 def load() -> dict[str, BoundQuery]:
     """All queries."""
-    from listing_lifecycle_spark.workload import alerts, analytics, extraction, lifecycle, quality  # noqa: F401
+    from listing_lifecycle_spark.workload import alerts, analytics, extraction, lifecycle, quality, streams  # noqa: F401
 
     return CATALOG

@@ -131,8 +131,8 @@ def snapshot_metadata(t):
     return ta.snapshot_metadata(t.listings, source="orders", refreshed_at="2026-06-01T00:00:00")
 
 
-NOW = "2001-07-01 06:00:00"
-HOURS = 72
+NOW = "2001-08-03 06:00:00"
+HOURS = 240
 HEALTH = ("places", "locations", "scopes", "runs")
 WINDOW = f"TIMESTAMP '{NOW}' - INTERVAL {HOURS} HOUR"
 
@@ -171,10 +171,10 @@ def stalest_scope(t):
 @query(
     "stalest_successful_scope", "WIN4 S14",
     with_views(*HEALTH, body=f"""SELECT name, round(ratio, 6) AS ratio, concat(CAST(round_even((epoch(TIMESTAMP '{NOW}') - epoch(last_success_at)) / 86400, 0) AS BIGINT),
-      'd (', name, ', interval ', interval_minutes, 'm)') AS freshness FROM ({STALEST.replace('FROM scopes', "FROM (SELECT * FROM scopes WHERE last_success_at < TIMESTAMP '2001-06-01') scopes")})"""),
+      'd (', name, ', interval ', interval_minutes, 'm)') AS freshness FROM ({STALEST.replace('FROM scopes', "FROM (SELECT * FROM scopes WHERE last_success_at IS NOT NULL) scopes")})"""),
 )
 def stalest_successful_scope(t):
-    known = t.scopes.where(F.col("last_success_at") < F.lit("2001-06-01").cast("timestamp_ntz"))
+    known = t.scopes.where("last_success_at is not null")
     return he.stalest_scope(known, now=NOW).select(
         "name", "ratio",
         he.freshness_text(NOW, F.col("name"), F.col("interval_minutes"), F.col("last_success_at")).alias("freshness"),
