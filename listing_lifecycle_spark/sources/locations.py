@@ -64,39 +64,17 @@ def site_filters(locations: DataFrame) -> DataFrame:
 
     The root (empty map), each state, each region and each subregion.
     """
-    levels = locations.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.create_map().cast("map<string,string>").alias("site_filter"),
-                    F.lit(None).cast("string").alias("island"),
-                    F.lit(None).cast("string").alias("region"),
-                    F.lit(None).cast("string").alias("subregion"),
-                ),
-                F.struct(
-                    F.create_map(F.lit("state"), "state_slug"),
-                    F.col("island"),
-                    F.lit(None).cast("string"),
-                    F.lit(None).cast("string"),
-                ),
-                F.struct(
-                    F.create_map(F.lit("state"), "state_slug", F.lit("region"), "region_slug"),
-                    F.col("island"),
-                    F.col("region"),
-                    F.lit(None).cast("string"),
-                ),
-                F.struct(
-                    F.create_map(
-                        F.lit("state"), "state_slug", F.lit("region"), "region_slug",
-                        F.lit("subregion"), "subregion_slug",
-                    ),
-                    F.col("island"),
-                    F.col("region"),
-                    F.col("subregion"),
-                ),
-            )
-        ).alias("place")
-    ).select("place.*")
+    names = {"state": "island", "region": "region", "subregion": "subregion"}
+
+    def place(depth: int):
+        used = list(names)[:depth]
+        pairs = [c for key in used for c in (F.lit(key), F.col(f"{key}_slug"))]
+        labels = [
+            (F.col(label) if key in used else F.lit(None).cast("string")).alias(label) for key, label in names.items()
+        ]
+        return F.struct(F.create_map(*pairs).cast("map<string,string>").alias("site_filter"), *labels)
+
+    levels = locations.select(F.inline(F.array(*[place(depth) for depth in range(4)])))
     return levels.dropDuplicates(["island", "region", "subregion"])
 
 
