@@ -67,12 +67,17 @@ def animals_permitted() -> Column:
     return all_of(permitted)
 
 
-def keywords_fit() -> Column:
-    """All wanted words and no unwanted word in title, intro and tag, whatever the case."""
-    words = fold_case(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "intro", "listing_tag")]))
-    wanted = F.coalesce(F.forall("include_keywords", lambda k: F.contains(words, fold_case(k))), F.lit(True))
-    unwanted = F.coalesce(F.exists("exclude_keywords", lambda k: F.contains(words, fold_case(k))), F.lit(False))
-    return wanted & ~unwanted
+def searched_text() -> Column:
+    """What the keywords of a rule are looked up in: title, intro and tag, whatever the case."""
+    return fold_case(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "intro", "listing_tag")]))
+
+
+def keywords_fit(words: Column) -> Column:
+    """All wanted words and no unwanted word.  Rules without words are settled by the size of their lists."""
+    wanted, unwanted = F.col("include_keywords"), F.col("exclude_keywords")
+    has_all = (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | _sure(F.forall(wanted, lambda k: F.contains(words, fold_case(k))))
+    has_any = (F.coalesce(F.size(unwanted), F.lit(0)) > 0) & _sure(F.exists(unwanted, lambda k: F.contains(words, fold_case(k))))
+    return has_all & ~has_any
 
 
 def site_rule_holds() -> Column:
@@ -82,8 +87,8 @@ def site_rule_holds() -> Column:
     )
 
 
-def local_rule_holds() -> Column:
-    """Everything else in a rule."""
+def local_rule_holds(words: Column) -> Column:
+    """Everything else in a rule, cheap conditions first."""
     return all_of(
         [
             in_date_window(
@@ -92,55 +97,57 @@ def local_rule_holds() -> Column:
             ),
             at_least(F.col("duration_days"), F.col("min_duration_days")),
             at_most(F.col("duration_days"), F.col("max_duration_days")),
-            allowed(F.col("island"), F.col("allowed_islands")),
-            allowed(F.col("region"), F.col("allowed_regions")),
-            allowed(F.col("subregion"), F.col("allowed_subregions")),
             at_most(F.col("total_animals"), F.col("max_total_animals")),
             at_most(F.col("dogs_count"), F.col("max_dogs")),
-            animals_permitted(),
             at_least(F.col("reply_rating_score"), F.col("min_reply_rating_score")),
+            animals_permitted(),
+            allowed(F.col("island"), F.col("allowed_islands")),
+            allowed(F.col("region"), F.col("allowed_regions")),
+            allowed(F.col("subregion"), F.col("allowed_subregions")),
             allowed(F.col("house_type"), F.col("allowed_house_types")),
             not_excluded(F.col("house_type"), F.col("excluded_house_types")),
-            keywords_fit(),
+            keywords_fit(words),
         ]
     )
 
 
-def _place_key(island: Column, region: Column, subregion: Column) -> Column:
-    return F.to_json(F.struct(island.alias("i"), region.alias("r"), subregion.alias("s")))
+def _place_key(level: str, *labels: Column) -> Column:
+    """Key of a place; null when a label is missing."""
+    parts = [F.lit(level)]
+    for label in labels:
+        parts += [F.lit("\x1f"), label]
+    return F.concat(*parts)
 
 
 def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Every listing with every enabled rule it satisfies.
 
     A rule names a subregion, a region, a state or no place, so it has one place
-    key.  A listing offers its four keys (without duplicates).  Rule and listing
+    key.  A listing offers its four keys.  Rule and listing
     meet on that key instead of comparing all listings with all rules, and the
     remaining conditions are checked on the few that meet.  A rule with an error
     matches nothing (see ``rule_errors``).
     """
     usable = resolved_rules(rules, locations).where(F.col("enabled") & F.col("rule_error").isNull())
-    none = F.lit(None).cast("string")
-    restrict_region = F.col("want_region").isNotNull()
     keyed_rules = usable.withColumn(
         "_place",
-        F.when(F.col("want_subregion").isNotNull(), _place_key(none, F.col("want_region"), F.col("want_subregion")))
-        .when(restrict_region, _place_key(none, F.col("want_region"), none))
-        .when(F.col("want_island").isNotNull(), _place_key(F.col("want_island"), none, none))
-        .otherwise(_place_key(none, none, none)),
+        F.when(F.col("want_subregion").isNotNull(), _place_key("s", F.col("want_region"), F.col("want_subregion")))
+        .when(F.col("want_region").isNotNull(), _place_key("r", F.col("want_region")))
+        .when(F.col("want_island").isNotNull(), _place_key("i", F.col("want_island")))
+        .otherwise(_place_key("*")),
     ).drop("site_filter", "filter_error", "rule_error", "want_region_id", "want_subregion_id", "enabled")
-    region, subregion = F.col("region"), F.col("subregion")
-    places = F.array_distinct(
+    places = F.array_compact(
         F.array(
-            _place_key(none, none, none),
-            _place_key(F.col("island"), none, none),
-            _place_key(none, region, none),
-            _place_key(none, region, subregion),
+            _place_key("*"),
+            _place_key("i", F.col("island")),
+            _place_key("r", F.col("region")),
+            _place_key("s", F.col("region"), F.col("subregion")),
         )
     )
-    keyed = listings.withColumn("_place", F.explode(places))
+    # The text is put together once per listing, below the explode.
+    keyed = listings.withColumn("_words", searched_text()).withColumn("_place", F.explode(places))
     met = join_dimension(keyed, keyed_rules, ["_place"], spread_by="external_id", max_rows=max_broadcast)
-    return met.where(site_rule_holds() & local_rule_holds()).drop("_place")
+    return met.where(site_rule_holds() & local_rule_holds(F.col("_words"))).drop("_place", "_words")
 
 
 def rule_errors(rules: DataFrame, locations: DataFrame) -> DataFrame:

@@ -74,23 +74,13 @@ def run_once(
     )
 
 
-def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame, batch_key: str = "") -> int | None:
-    """Publish a run: state, event log, run log and scopes become visible together or not at all."""
-    known = {name: tables.read(name) for name in ("state", "events", "runs")}
-
-    def grown(name: str, rows: DataFrame) -> DataFrame:
-        return rows if known[name] is None else known[name].unionByName(rows, allowMissingColumns=True)
-
+def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame, batch_key: str = "") -> int:
+    """Publish a run: state, events, run row and scopes become visible together or not at all."""
     if result.merged is None:
-        kept = {name: df for name, df in known.items() if df is not None and name != "runs"}
-        return tables.commit({**kept, "runs": grown("runs", result.run), "scopes": scopes}, batch_key=batch_key)
+        return tables.commit(logs={"runs": result.run}, batch_key=batch_key)
     return tables.commit(
-        {
-            "state": lifecycle.new_state(result.merged),
-            "events": grown("events", result.events),
-            "runs": grown("runs", result.run),
-            "scopes": coverage.advance_scopes(scopes, result.run),
-        },
+        {"state": lifecycle.new_state(result.merged), "scopes": coverage.advance_scopes(scopes, result.run)},
+        logs={"events": result.events, "runs": result.run},
         batch_key=batch_key,
     )
 

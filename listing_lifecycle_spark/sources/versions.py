@@ -1,18 +1,24 @@
 """Versioned tables: each commit is a new folder, made visible by one small file written last.
 
-Several tables that belong to one run are written under one version id, so a
-reader sees either all of them or none.  There is one writer at a time.  Folders
-of a commit that failed half way are never pointed to.
+What belongs to one run is written under one version, so a reader sees all of it
+or none.  A commit names the tables it replaces; the others stay as they were and
+are not copied.  Logs (events, runs, attempts) only grow: a commit writes its new
+rows, whatever the size of the log.  There is one writer at a time.  Folders of a
+commit that failed half way are never pointed to, and the next commit replaces
+them.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_POINTER = "version long, batch_key string, tables array<string>"
 
 
 class VersionedTables:
-    """A group of parquet tables under ``root`` that are committed together."""
+    """A group of parquet tables and logs under ``root`` that are committed together."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -20,35 +26,47 @@ class VersionedTables:
 
     def _pointers(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long, batch_key string").json(f"{self.root}/_current")
+            return self.spark.read.schema(_POINTER).json(f"{self.root}/_commits")
         except AnalysisException:
             return None
 
-    def current(self) -> int | None:
-        """Latest committed version."""
+    def current(self, table: str | None = None) -> int | None:
+        """Latest committed version, or the latest that holds a table."""
         pointers = self._pointers()
-        return None if pointers is None else pointers.agg({"version": "max"}).first()[0]
+        if pointers is None:
+            return None
+        if table is not None:
+            pointers = pointers.where(F.array_contains("tables", table))
+        return pointers.agg(F.max("version")).first()[0]
 
     def has_batch(self, batch_key: str) -> bool:
         """Whether a batch was committed before, which makes repeated delivery harmless."""
         pointers = self._pointers()
-        return pointers is not None and not pointers.where(pointers.batch_key == batch_key).isEmpty()
+        return pointers is not None and not pointers.where(F.col("batch_key") == batch_key).isEmpty()
 
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        """A table as of a version (default: the latest)."""
-        version = self.current() if version is None else version
+        """A table as of its latest version, or as written by one version."""
+        version = self.current(table) if version is None else version
+        return None if version is None else self.spark.read.parquet(f"{self.root}/v{version}/{table}")
+
+    def read_log(self, log: str) -> DataFrame | None:
+        """All committed rows of a log; the version is a partition, so rows of a failed commit are pruned away."""
+        version = self.current(log)
         if version is None:
             return None
-        try:
-            return self.spark.read.parquet(f"{self.root}/v{version}/{table}")
-        except AnalysisException:
-            return None
+        rows = self.spark.read.option("basePath", f"{self.root}/{log}").parquet(f"{self.root}/{log}")
+        return rows.where(F.col("version") <= version).drop("version")
 
-    def commit(self, tables: dict[str, DataFrame], *, batch_key: str = "") -> int:
-        """Write all tables, then the pointer; returns the new version."""
+    def commit(
+        self, tables: dict[str, DataFrame] | None = None, *, logs: dict[str, DataFrame] | None = None, batch_key: str = ""
+    ) -> int:
+        """Write the tables and the new rows of the logs, then the pointer; returns the version."""
+        tables, logs = tables or {}, logs or {}
         version = (self.current() or 0) + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        pointer = self.spark.createDataFrame([(version, batch_key)], "version long, batch_key string")
-        pointer.coalesce(1).write.mode("append").json(f"{self.root}/_current")
+        for name, df in logs.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+        pointer = self.spark.createDataFrame([(version, batch_key, [*tables, *logs])], _POINTER)
+        pointer.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
         return version

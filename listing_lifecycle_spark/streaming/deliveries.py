@@ -32,7 +32,7 @@ class DeliverySink:
         now = ticks.agg(F.max("now")).first()[0]
         if now is None or self.tables.has_batch(key):
             return
-        events, listings, attempts = [self.tables.read(name) for name in ("events", "state", "attempts")]
+        events, listings, attempts = self.tables.read_log("events"), self.tables.read("state"), self.tables.read_log("attempts")
         if events is None or listings is None:
             return
         if attempts is None:
@@ -44,9 +44,7 @@ class DeliverySink:
         routed = cut_lineage(de.route(pending, self.channels))
         results = cut_lineage(self.send(routed.where("configured")))
         tried = de.record_attempts(routed, results, now=now)
-        others = {name: self.tables.read(name) for name in ("events", "state", "runs", "scopes")}
-        kept = {name: df for name, df in others.items() if df is not None}
-        self.tables.commit({**kept, "attempts": attempts.unionByName(tried)}, batch_key=key)
+        self.tables.commit(logs={"attempts": tried}, batch_key=key)
 
 
 def deliver_on_ticks(ticks: DataFrame, sink: DeliverySink, *, checkpoint: str) -> StreamingQuery:

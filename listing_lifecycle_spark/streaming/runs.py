@@ -46,7 +46,7 @@ class RunSink:
         self.listing_columns = listing_columns
 
     def _table(self, name: str) -> DataFrame:
-        found = self.tables.read(name)
+        found = self.tables.read_log(name) if name == "events" else self.tables.read(name)
         return self.empty[name] if found is None else found
 
     def _apply(self, control: dict) -> None:

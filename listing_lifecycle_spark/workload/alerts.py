@@ -9,6 +9,7 @@ from listing_lifecycle_spark.functions import calendar, hashing, maps, text
 from listing_lifecycle_spark.operators import deliveries as de
 from listing_lifecycle_spark.operators import events as ev
 from listing_lifecycle_spark.operators import matching as ma
+from listing_lifecycle_spark.session import cut_lineage
 from listing_lifecycle_spark.sources.rules import make_rules
 from listing_lifecycle_spark.sources.tables import absent_from_log
 from listing_lifecycle_spark.workload.bindings import SQL, with_views
@@ -153,14 +154,15 @@ def history(t):
 
 def log_and_matches(t):
     matches = ma.match_rules(history(t), rules(t), t.locations)
-    marked = matches.withColumns(
+    # The log is a stored table in practice, so it is written once here too and read by each use.
+    marked = cut_lineage(matches.withColumns(
         {
             "alert_fingerprint": hashing.alert_fingerprint(),
             "appearance_sequence": F.lit(1),
             "created_at": F.col("start_date"),
             "event_id": F.to_json("_pos", {"ignoreNullFields": "false"}),
         }
-    )
+    ))
     log = marked.where(F.col("_pos") != F.col("last_pos"))
     latest = marked.where(F.col("_pos") == F.col("last_pos")).dropDuplicates(["external_id", "rule_name"]).withColumns(
         {

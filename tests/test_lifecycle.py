@@ -119,7 +119,7 @@ def test_run_end_to_end(spark, locations, tmp_path):
 
     def run(rows, run_id, now):
         stored = tables.read("state")
-        log = tables.read("events")
+        log = tables.read_log("events")
         result = run_once(
             state(spark, []) if stored is None else stored, batch(spark, rows, at=now.replace(" ", "T")), CENTRAL, rules=rules, locations=locations,
             event_log=empty_log if log is None else log, run_id=run_id, now=now, today=now[:10],
@@ -128,15 +128,15 @@ def test_run_end_to_end(spark, locations, tmp_path):
         return result
 
     run([listing("a", dogs_count=1), listing("b", cats_count=1)], 1, "2026-05-01 10:00:00")
-    assert {(r.external_id, r.event_type) for r in tables.read("events").collect()} == {("a", "first_match")}
+    assert {(r.external_id, r.event_type) for r in tables.read_log("events").collect()} == {("a", "first_match")}
     run([listing("a", dogs_count=1, content_hash="h2", title="Other words")], 2, "2026-05-02 10:00:00")
-    assert tables.read("events").count() == 1 and by(tables.read("state"))["b"]["missing_count"] == 1
+    assert tables.read_log("events").count() == 1 and by(tables.read("state"))["b"]["missing_count"] == 1
     run([listing("a", dogs_count=1, content_hash="h3", end_date=date(2026, 9, 9))], 3, "2026-05-03 10:00:00")
-    assert sorted(r.event_type for r in tables.read("events").collect()) == ["first_match", "material_change"]
+    assert sorted(r.event_type for r in tables.read_log("events").collect()) == ["first_match", "material_change"]
     run([], 4, "2026-05-04 10:00:00")
     assert by(tables.read("state"))["b"]["missing_count"] == 2
-    assert [r.status for r in tables.read("runs").orderBy("id").collect()] == ["success"] * 3 + ["suspicious"]
-    assert tables.current() == 4 and tables.has_batch("run-2") and not tables.has_batch("run-9")
+    assert [r.status for r in tables.read_log("runs").orderBy("id").collect()] == ["success"] * 3 + ["suspicious"]
+    assert tables.current() == 4 and tables.current("state") == 3 and tables.has_batch("run-2") and not tables.has_batch("run-9")
     assert tables.read("state", version=1).count() == 2
 
 

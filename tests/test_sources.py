@@ -47,13 +47,17 @@ def test_synchronize(spark):
 
 def test_versions(spark, tmp_path):
     tables = VersionedTables(spark, str(tmp_path))
-    assert tables.current() is None and tables.read("state") is None and not tables.has_batch("a")
-    tables.commit({"state": spark.range(2)}, batch_key="a")
-    # A commit that stops before its pointer is written stays invisible.
+    assert tables.current() is None and tables.read("state") is None and tables.read_log("events") is None and not tables.has_batch("a")
+    tables.commit({"state": spark.range(2)}, logs={"events": spark.range(1)}, batch_key="a")
+    # A commit that stops before its pointer is written stays invisible, in tables and logs.
     spark.range(9).write.parquet(f"{tmp_path}/v2/state")
-    assert tables.current() == 1 and tables.read("state").count() == 2
-    tables.commit({"state": spark.range(3)}, batch_key="b")
-    assert tables.current() == 2 and tables.read("state").count() == 3 and tables.read("state", 1).count() == 2
+    spark.range(9).write.parquet(f"{tmp_path}/events/version=2")
+    assert tables.current() == 1 and tables.read("state").count() == 2 and tables.read_log("events").count() == 1
+    tables.commit(logs={"events": spark.range(3)}, batch_key="b")
+    assert tables.current() == 2 and tables.current("state") == 1 and tables.read("state").count() == 2
+    assert tables.read_log("events").count() == 4 and tables.read_log("events").columns == ["id"]
+    tables.commit({"state": spark.range(3)})
+    assert tables.read("state").count() == 3 and tables.read("state", 1).count() == 2
     assert tables.has_batch("a") and tables.read("other") is None
 
 

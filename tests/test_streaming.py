@@ -51,7 +51,7 @@ def test_runs_deliveries_and_restart(spark, locations, tmp_path):
 
     add_file(stream_rows(spark, [seen(1, "a", "2026-05-01T10:00:00"), seen(1, "b", "2026-05-01T10:00:00"), complete(1, "2026-05-01T10:05:00")]), source, 1)
     go()
-    assert set(by(tables.read("state"))) == {"a", "b"} and tables.read("events").count() == 2
+    assert set(by(tables.read("state"))) == {"a", "b"} and tables.read_log("events").count() == 2
     # A run that broke off has no control row, so b is not missed by it.
     add_file(stream_rows(spark, [seen(2, "a", "2026-05-01T11:00:00")]), source, 2)
     go()
@@ -63,7 +63,7 @@ def test_runs_deliveries_and_restart(spark, locations, tmp_path):
     go()
     got = by(tables.read("state"))
     assert set(got) == {"a", "b", "c"} and got["b"]["missing_count"] == 1 and got["a"]["last_seen_at"] == moment("2026-05-01T12:00:00")
-    assert sorted(r.event_type for r in tables.read("events").collect()) == ["first_match", "first_match", "first_match", "material_change"]
+    assert sorted(r.event_type for r in tables.read_log("events").collect()) == ["first_match", "first_match", "first_match", "material_change"]
     version = tables.current()
     sink(stream_rows(spark, [complete(3, "2026-05-01T12:05:00")]), 99)  # delivered again after a restart
     assert tables.current() == version
@@ -81,7 +81,7 @@ def test_runs_deliveries_and_restart(spark, locations, tmp_path):
         stream = spark.readStream.schema("now timestamp_ntz").parquet(str(ticks))
         deliveries.deliver_on_ticks(stream, delivery, checkpoint=str(tmp_path / "tick-progress")).awaitTermination()
     # 13:00 UTC is night in Auckland: events made in the night wait for 06:00, which is 18:00 UTC.
-    attempts = tables.read("attempts").groupBy("status").count().collect()
+    attempts = tables.read_log("attempts").groupBy("status").count().collect()
     assert {r.status: r["count"] for r in attempts} == {"failed": 2, "sent": 4}
     assert tables.read("state").count() == 3
 
