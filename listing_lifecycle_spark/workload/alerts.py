@@ -10,7 +10,7 @@ from listing_lifecycle_spark.operators import deliveries as de
 from listing_lifecycle_spark.operators import events as ev
 from listing_lifecycle_spark.operators import matching as ma
 from listing_lifecycle_spark.session import cut_lineage
-from listing_lifecycle_spark.sources.rules import make_rules
+from listing_lifecycle_spark.sources.rules import make_rules, synchronize
 from listing_lifecycle_spark.sources.tables import absent_from_log
 from listing_lifecycle_spark.workload.bindings import SQL, with_views
 from listing_lifecycle_spark.workload.catalog import query
@@ -384,3 +384,29 @@ def valid_channel_lists(t):
         .otherwise(F.array(F.lit("a"), F.lit("b")))
     )
     return t.table("events").select("event_id", maps.valid_channels(channels).alias("valid"))
+
+
+def place_rules(t, places, min_days, enabled):
+    """One rule per place of the tables."""
+    template = make_rules(t.spark, [dict(rule_name="template")]).drop("rule_name", "enabled", "site_filter", "min_duration_days")
+    return places.withColumn("_one", F.lit(1)).join(template.withColumn("_one", F.lit(1)), "_one").select(
+        "rule_name", enabled.alias("enabled"), F.create_map(F.lit("region"), "region_slug").alias("site_filter"),
+        min_days.alias("min_duration_days"), *template.columns,
+    )
+
+
+@query(
+    "synchronized_rules", "MRG2 JN11 MAP4",
+    with_views("places", "locations", body="""SELECT subregion_slug AS rule_name, region <> 'EUROPE' AS enabled,
+      CASE WHEN region IN ('EUROPE', 'AFRICA') THEN 7 ELSE 14 END AS min_duration_days,
+      CASE WHEN region = 'EUROPE' THEN 'disabled' WHEN region = 'AFRICA' THEN 'unchanged' ELSE 'updated' END AS change FROM locations
+      UNION ALL SELECT DISTINCT concat('new-', state_slug, '-', region_slug), true, 14, 'inserted' FROM locations WHERE region <> 'AFRICA'
+      UNION ALL SELECT DISTINCT concat('new-', state_slug, '-', region_slug), true, 7, 'inserted' FROM locations WHERE region = 'AFRICA'"""),
+)
+def synchronized_rules(t):
+    places = t.locations.select("region", "region_slug", F.col("subregion_slug").alias("rule_name"))
+    wide = t.locations.select("region", "region_slug", F.concat_ws("-", F.lit("new"), "state_slug", "region_slug").alias("rule_name")).distinct()
+    stored = place_rules(t, places, F.lit(7), F.col("region") != "ASIA")
+    days = F.when(F.col("region") == "AFRICA", 7).otherwise(14)
+    defined = place_rules(t, places.where("region <> 'EUROPE'").unionByName(wide), days, F.lit(True))
+    return synchronize(stored, defined).select("rule_name", "enabled", "min_duration_days", "change")

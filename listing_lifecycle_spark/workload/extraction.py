@@ -263,3 +263,15 @@ def island_of_region(t):
 def slugs(t):
     docs = t.table("documents").where(F.col("lang").isin("en", "fr", "es"))
     return docs.select("doc_id", text.slugify(F.substring("text", 1, 200)).alias("slug"))
+
+
+@query(
+    "aliased_subregions", "EXT4 EXT5",
+    with_views("places", body="""SELECT c_custkey, CASE WHEN region = 'ASIA' THEN 'Auckland' ELSE region END AS region,
+      CASE WHEN region = 'ASIA' AND city = 'BUILDING' THEN 'Auckland - Central' WHEN city = 'BUILDING' THEN 'Central' ELSE subregion END AS subregion FROM places"""),
+)
+def aliased_subregions(t):
+    region = F.when(F.col("region") == "ASIA", "Auckland").otherwise(F.col("region"))
+    subregion = F.when(F.col("city") == "BUILDING", "Central").otherwise(F.col("subregion"))
+    link = F.concat("city", F.lit(" <span> - "), region, F.lit(" - "), subregion, F.lit("</span>"))
+    return t.places.select("c_custkey", ex.place_of(link).alias("place")).select("c_custkey", "place.region", "place.subregion")

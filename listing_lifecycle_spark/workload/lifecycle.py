@@ -582,3 +582,14 @@ def latest_instants(t):
 )
 def sit_length_codes(t):
     return t.listings.select("external_id", ca.sit_length_code(F.col("duration_days")).alias("code"))
+
+
+@query(
+    "updated_instants", "DQ9 UPS1 UPS4 UPS5",
+    with_views(*REGION, "region_upserted", "region_marked", "region_expired", body=f"""SELECT e.external_id,
+      CASE WHEN e.hit OR e.marked THEN TIMESTAMP '{NOW}' WHEN m.applied THEN m.observed_at END AS updated_at
+      FROM region_expired e JOIN region_merged m USING (external_id)"""),
+    instants="updated_at",
+)
+def updated_instants(t):
+    return lc.apply_run(t.state, region_batch(t), SCOPE, run_id=9, now=NOW, today=NOW[:10]).select("external_id", "updated_at")
