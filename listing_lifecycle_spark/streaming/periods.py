@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The epoch was a Thursday; windows of 7 days that start 4 days later start on Mondays.
 MONDAY_OFFSET = "4 days"
+_OFFSET_SECONDS, _WEEK_SECONDS = 4 * 86400, 7 * 86400
+
+
+def utc_instant(wall_clock: Column) -> Column:
+    """Zone-less UTC time as the timestamp that watermarks need, whatever the session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
+
+
+def utc_day(moment: Column) -> Column:
+    """Day of an instant in UTC."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")))
 
 
 def weekly_counts(sightings: DataFrame, *, delay: str = "7 days") -> DataFrame:
@@ -16,17 +27,17 @@ def weekly_counts(sightings: DataFrame, *, delay: str = "7 days") -> DataFrame:
     watermark may still see them, for which ``delay`` must not be under 7 days.
     """
     timed = sightings.withWatermark("first_seen_at", delay)
-    week = F.date_trunc("week", "first_seen_at")
+    week = F.floor((F.unix_seconds("first_seen_at") - _OFFSET_SECONDS) / _WEEK_SECONDS)
     once = timed.withColumn("week", week).dropDuplicatesWithinWatermark(["external_id", "week"])
     return (
         once.groupBy(F.window("first_seen_at", "7 days", startTime=MONDAY_OFFSET))
         .agg(F.count(F.lit(1)).alias("listing_count"))
-        .select(F.to_date("window.start").alias("period_start"), "listing_count")
+        .select(utc_day(F.col("window.start")).alias("period_start"), "listing_count")
     )
 
 
 def monthly_counts(sightings: DataFrame) -> DataFrame:
     """Approximate distinct listings per month (update mode); months have no fixed length, hence no window."""
-    return sightings.groupBy(F.trunc(F.to_date("first_seen_at"), "MM").alias("period_start")).agg(
+    return sightings.groupBy(F.trunc(utc_day(F.col("first_seen_at")), "MM").alias("period_start")).agg(
         F.approx_count_distinct("external_id", 0.01).alias("listing_count")
     )

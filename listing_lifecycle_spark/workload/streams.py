@@ -79,7 +79,7 @@ def streamed_sightings(t):
 )
 def streamed_week_counts(t):
     stream, folder = event_stream(t)
-    sightings = stream.select(F.col("user_id").cast("string").alias("external_id"), F.col("ts").cast("timestamp").alias("first_seen_at"))
+    sightings = stream.select(F.col("user_id").cast("string").alias("external_id"), periods.utc_instant(F.col("ts")).alias("first_seen_at"))
     running = (
         periods.weekly_counts(sightings).writeStream.outputMode("append").format("parquet")
         .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
