@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from listing_lifecycle_spark.session import shared_folder
 
 #: Text handled at once in a task.  One longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from listing_lifecycle_spark.llm.arrow_text import raw, slices, spread, sums
 LONG = 512
 WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 #: Distinct pre-tokens that a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
@@ -331,3 +331,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(partial(_decode, path=path), "doc_id bigint, ids array<int>, decoded binary")
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, path), path)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """:func:`decode` of :func:`encode` in one pass of the same task: doc_id, ids, decoded."""
+    return docs.select("doc_id", "text").mapInArrow(partial(_round_trip, path=path), "doc_id bigint, ids array<int>, decoded binary")

@@ -34,10 +34,9 @@ def tokenizer(name: str) -> str:
 
 @query("op4_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from listing_lifecycle_spark.llm.bpe import decode, encode
+    from listing_lifecycle_spark.llm.bpe import round_trip
 
-    path = tokenizer("byte_bpe_50k.tiktoken")
-    coded = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    coded = round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -11,7 +11,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from listing_lifecycle_spark.llm import bpe  # noqa: E402
-from listing_lifecycle_spark.llm.bpe import decode, encode  # noqa: E402
+from listing_lifecycle_spark.llm.bpe import decode, encode, round_trip  # noqa: E402
 from listing_lifecycle_spark.llm.token_counts import count_tokens, vocabulary  # noqa: E402
 from tests.llm.conftest import ODD  # noqa: E402
 
@@ -47,6 +47,7 @@ def test_encode_and_decode_odd_rows(texts_table):
     rows = decode(encode(texts_table(ODD), RANKS), RANKS).collect()
     got = sorted(((r.doc_id or 0), hashlib.md5(bytes(r.decoded)).hexdigest(), list(r.ids)) for r in rows)
     assert got == sorted(((i or 0), hashlib.md5((t or "").encode()).hexdigest(), library.encode_ordinary(t or "")) for i, t in ODD)
+    assert sorted(map(str, round_trip(texts_table(ODD), RANKS).collect())) == sorted(map(str, rows))
     assert encode(texts_table([]), RANKS).count() == 0
 
 
