@@ -46,3 +46,22 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_lifecycle_spark.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query(
+    "op2_exact_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), p AS (
+      SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
