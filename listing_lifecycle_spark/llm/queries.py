@@ -65,3 +65,11 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_lifecycle_spark.llm.topk import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
+@query("op3_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.rules import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
