@@ -73,3 +73,18 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def id_remainder(divisor: int):
+    """crc32 of doc_id as text, modulo ``divisor``; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.classifier import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), trained_on=id_remainder(3) != 1)
+    held_out = F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
