@@ -112,3 +112,10 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_lifecycle_spark.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, part=85, whole=100)
+
+
+@query("op1_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.substring import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).drop("check")
