@@ -119,3 +119,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_lifecycle_spark.llm.substring import repeats
 
     return repeats(table(spark, sf_dir, "documents")).drop("check")
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
