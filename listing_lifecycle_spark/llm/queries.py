@@ -126,3 +126,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listing_lifecycle_spark.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op9_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.licences import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
