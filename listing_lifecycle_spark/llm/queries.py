@@ -134,3 +134,12 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scan(docs, fit(docs))
+
+
+@query("op8_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listing_lifecycle_spark.llm.lm import score
+
+    held_out = F.coalesce(id_remainder(5) == 1, F.lit(False)).alias("held_out")
+    scored = score(table(spark, sf_dir, "documents"), id_remainder(5) != 1)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
