@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A filter map has at most this many keys (state, region, subregion, sit length and spare).
-MAX_FILTER_KEYS = 12
-
 
 def map_contains(whole: Column, part: Column) -> Column:
     """Every pair of ``part`` is in ``whole``; an empty map is in every map."""
@@ -21,26 +18,36 @@ def canonical(filter_map: Column) -> Column:
     return F.to_json(F.array_sort(F.map_entries(filter_map)))
 
 
-def contained_maps(filter_map: Column, *, proper: bool) -> Column:
-    """Canonical text of each map contained in this one.
+def pair_texts(filter_map: Column) -> Column:
+    """The pairs of a map as texts, which makes single pairs joinable."""
+    return F.transform(F.map_entries(filter_map), lambda pair: F.to_json(pair))
+
 
-    Turns the containment join "A is part of B" into an equality join: B offers
-    2^keys texts and A has one.  Filters carry a handful of keys, so the list
-    stays short; a map with more keys than allowed is an error, not a cut.
+def containing(parts: DataFrame, wholes: DataFrame, *, part: str, whole: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``wholes`` with each row of ``parts`` whose map is contained in theirs, among equal values of ``by``.
+
+    A part is looked up by its rarest pair only, among the pairs that the wholes have, and the other pairs are tested on
+    the rows found; so the work follows the rarest pairs, whatever the number of keys.  An empty part is in every whole.
+    Other columns of the two sides must have different names.
     """
-    pairs = F.array_sort(F.map_entries(filter_map))
-    size = F.size(pairs)
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), size) - F.lit(2 if proper else 1))
-
-    def subset(mask: Column) -> Column:
-        kept = F.filter(pairs, lambda _, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
-        return F.to_json(kept)
-
-    texts = F.transform(masks, subset)
-    if proper:
-        texts = F.when(size == 0, F.array().cast("array<string>")).otherwise(texts)
-    too_wide = F.raise_error(F.lit(f"a filter map may have at most {MAX_FILTER_KEYS} keys"))
-    return F.when(size > MAX_FILTER_KEYS, too_wide.cast("array<string>")).otherwise(texts)
+    pairs = wholes.withColumn("_pair", F.explode(pair_texts(F.col(whole))))
+    counts = pairs.groupBy(*by, "_pair").agg(F.count(F.lit(1)).alias("_times"))
+    own = parts.withColumn("_part_pairs", pair_texts(F.col(part)))
+    names = [c for c in parts.columns if c not in by]
+    each = own.select(*by, F.struct(*names, "_part_pairs").alias("_row"), F.explode("_part_pairs").alias("_pair"))
+    # A pair that no whole has rules its part out; of the others the rarest is taken.
+    known = each.join(counts, [*by, "_pair"], "left")
+    key = F.xxhash64(*by, F.to_json("_row")) if by else F.xxhash64(F.to_json("_row"))
+    rarest = known.groupBy(*by, key.alias("_key"), F.to_json("_row").alias("_text")).agg(
+        F.min_by(F.struct("_row", "_pair"), F.struct(F.coalesce("_times", F.lit(0)), "_pair")).alias("_best")
+    )
+    looked_up = rarest.select(*by, F.col("_best._pair").alias("_pair"), *[F.col(f"_best._row.{c}").alias(c) for c in [*names, "_part_pairs"]])
+    found = pairs.join(looked_up, [*by, "_pair"])
+    found = found.where(F.size(F.array_except("_part_pairs", pair_texts(F.col(whole)))) == 0).drop("_pair", "_part_pairs")
+    empty = parts.where(F.size(part) == 0)
+    everywhere = wholes.join(empty, list(by)) if by else wholes.join(F.broadcast(empty))
+    columns = [*wholes.columns, *names]
+    return found.select(*columns).union(everywhere.select(*columns))
 
 
 def overlay(defaults: Column, overrides: Column) -> Column:

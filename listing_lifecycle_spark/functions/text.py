@@ -1,11 +1,15 @@
-"""Text functions on columns; all stay inside generated JVM code."""
+"""Text functions on columns, all on the JVM.
+
+Those that bind a value or walk over pieces use higher-order functions, which Spark evaluates without code generation.
+"""
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,49 +42,73 @@ def fold_case(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str, dict[str, str]]:
-    """Latin letters whose compatibility decomposition leaves one ASCII letter, or several."""
+    """All code points whose compatibility decomposition leaves one ASCII character, or several."""
     single_from, single_to, several = [], [], {}
-    for code in range(0x00A0, 0x0250):
-        ascii_form = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+    for code in range(0x0080, 0x110000):
+        letter = chr(code)
+        if not unicodedata.decomposition(letter):
+            continue
+        ascii_form = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
         if len(ascii_form) == 1:
-            single_from.append(chr(code))
+            single_from.append(letter)
             single_to.append(ascii_form)
         elif len(ascii_form) > 1:
-            several[chr(code)] = ascii_form
+            several[letter] = ascii_form
     return "".join(single_from), "".join(single_to), several
 
 
+def _map_literal(pairs: dict[str, str]) -> str:
+    """A constant map as SQL text."""
+    joined = "\x1e".join(f"{key}\x1f{value}" for key, value in pairs.items())
+    return f"str_to_map(decode(X'{joined.encode().hex()}', 'UTF-8'), chr(30), chr(31))"
+
+
+@lru_cache(maxsize=1)
+def _several_lambda() -> str:
+    """SQL lambda that writes letters out that stand for several ASCII characters (ligatures, units, fractions)."""
+    several = _accent_table()[2]
+    letters = f"decode(X'{('[' + ''.join(several) + ']').encode().hex()}', 'UTF-8')"
+    return f"""t -> CASE WHEN NOT t RLIKE {letters} THEN t
+      ELSE array_join(transform(split(t, ''), c -> coalesce(try_element_at({_map_literal(several)}, c), c)), '') END"""
+
+
 def slugify(label: Column) -> Column:
     """URL slug of a label: accents dropped, apostrophes removed, other runs become one dash."""
-    single_from, single_to, several = _accent_table()
-    plain = label
-    for letter, ascii_form in several.items():
-        plain = F.replace(plain, F.lit(letter), F.lit(ascii_form))
+    single_from, single_to, _ = _accent_table()
+    plain = F.try_element_at(F.call_function("transform", F.array(label), F.expr(_several_lambda())), F.lit(1))
     plain = F.translate(plain, single_from, single_to)
     plain = F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
     plain = F.replace(F.replace(plain, F.lit("'"), F.lit("")), F.lit("&"), F.lit(" and "))
     return F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+@lru_cache(maxsize=1)
+def _odd_numbers() -> dict[str, str]:
+    """Numeric references that do not give the character of their number."""
+    codes = [*range(0xA0), *range(0xFDD0, 0xFDF0), *[plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF)]]
+    return {str(code): html.unescape(f"&#{code};") for code in codes if html.unescape(f"&#{code};") != chr(code)}
+
+
 @lru_cache(maxsize=1)
 def _entity_lambda() -> str:
     """SQL lambda that decodes character references; as text it is one node to build, however often it is used."""
-    pairs = "\x1e".join(f"{name}\x1f{chr(code)}" for name, code in name2codepoint.items())
-    names = f"str_to_map(decode(X'{pairs.encode().hex()}', 'UTF-8'), chr(30), chr(31))"
-    number = """CASE WHEN lower(substring(n, 1, 2)) = '#x' THEN CAST(conv(substring(n, 3), 16, 10) AS INT)
-      ELSE CAST(substring(n, 2) AS INT) END"""
-    by_number = f"""element_at(transform(array({number}), c -> CASE WHEN c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343
-      THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END), 1)"""
-    letter = f"CASE WHEN startswith(n, '#') THEN {by_number} WHEN n = 'apos' THEN '\\'' ELSE try_element_at({names}, n) END"
-    reference = "^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+    names, old = _map_literal(html5), "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    digits = """CASE WHEN lower(substring(n, 1, 2)) = '#x' THEN ltrim('0', rtrim(';', substring(n, 3))) ELSE ltrim('0', rtrim(';', substring(n, 2))) END"""
+    number = f"""element_at(transform(array({digits}), d -> CASE WHEN d = '' THEN 0 WHEN length(d) > 7 THEN 1114112
+      WHEN lower(substring(n, 1, 2)) = '#x' THEN CAST(conv(d, 16, 10) AS INT) ELSE CAST(d AS INT) END), 1)"""
+    by_number = f"""element_at(transform(array({number}), c -> CASE WHEN c > 1114111 OR c BETWEEN 55296 AND 57343 THEN decode(X'EFBFBD', 'UTF-8')
+      ELSE coalesce(try_element_at({_map_literal(_odd_numbers())}, CAST(c AS STRING)), decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')) END), 1)"""
+    by_name = f"""coalesce(try_element_at({names}, n), element_at(transform(array(regexp_extract(n, '^({old})', 1)),
+      o -> CASE WHEN o = '' THEN concat('&', n) ELSE concat(try_element_at({names}, o), substring(n, length(o) + 1)) END), 1))"""
+    reference = "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\\\t\\\\n\\\\f <&#;]{1,32};?)"
     piece = f"""element_at(transform(array(regexp_extract(p, '{reference}', 1)),
-      n -> CASE WHEN n = '' THEN p ELSE coalesce(concat({letter}, substring(p, length(n) + 3)), p) END), 1)"""
+      n -> CASE WHEN n = '' THEN p ELSE concat(CASE WHEN startswith(n, '#') THEN {by_number} ELSE {by_name} END, substring(p, length(n) + 2)) END), 1)"""
     return f"""t -> CASE WHEN instr(t, '&') = 0 THEN t
-      ELSE array_join(transform(split(t, '(?=&[#a-zA-Z])'), p -> {piece}), '') END"""
+      ELSE array_join(transform(split(t, '(?=&)'), p -> {piece}), '') END"""
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace named (Latin set) and numeric character references."""
+    """Replace named (HTML 5) and numeric character references as an HTML parser does, final semicolon or not."""
     return F.try_element_at(F.call_function("transform", F.array(text), F.expr(_entity_lambda())), F.lit(1))
 
 

@@ -30,13 +30,12 @@ def due_scopes(scopes: DataFrame, *, now, grace_seconds: int = fv.DUE_GRACE_SECO
 def broadest_scopes(scopes: DataFrame) -> DataFrame:
     """Drop each scope for which a strictly broader one is present.
 
-    Scope A is broader than B if A's map is a proper part of B's.  B lists its
-    proper parts, A is looked up in that list: an equality join instead of
-    comparing all pairs.
+    Scope A is broader than B if A's map is a proper part of B's.  Distinct maps
+    are looked up by their rarest pair instead of comparing all pairs of scopes.
     """
-    present = scopes.select(maps.canonical(F.col("site_filter")).alias("part")).distinct()
-    parts = scopes.select("name", F.explode(maps.contained_maps(F.col("site_filter"), proper=True)).alias("part"))
-    covered = parts.join(present, "part", "left_semi").select("name").distinct()
+    present = scopes.select(F.col("site_filter").alias("part")).withColumn("text", maps.canonical(F.col("part"))).dropDuplicates(["text"]).select("part")
+    found = maps.containing(present, scopes.select("name", "site_filter"), part="part", whole="site_filter")
+    covered = found.where(F.size("part") < F.size("site_filter")).select("name").distinct()
     return scopes.join(covered, "name", "left_anti")
 
 
@@ -54,13 +53,11 @@ def advance_scopes(scopes: DataFrame, runs: DataFrame, *, covered_too: bool = Tr
     )
     own = success.join(scopes.select("name", "site_filter"), "name")
     if covered_too:
-        by_map = own.groupBy(maps.canonical(F.col("site_filter")).alias("part")).agg(
-            F.max("finished_at").alias("finished_at")
-        )
-        parts = scopes.where("enabled").select(
-            "name", F.explode(maps.contained_maps(F.col("site_filter"), proper=False)).alias("part")
-        )
-        fresh = parts.join(by_map, "part").groupBy("name").agg(F.max("finished_at").alias("finished_at"))
+        by_map = own.groupBy(maps.canonical(F.col("site_filter")).alias("text")).agg(
+            F.max("finished_at").alias("finished_at"), F.any_value("site_filter").alias("part")
+        ).drop("text")
+        found = maps.containing(by_map, scopes.where("enabled").select("name", "site_filter"), part="part", whole="site_filter")
+        fresh = found.groupBy("name").agg(F.max("finished_at").alias("finished_at"))
     else:
         fresh = own.select("name", "finished_at")
     return (
@@ -117,12 +114,7 @@ def missing_evidence(state: DataFrame, leaves: DataFrame, seen: DataFrame) -> Da
 
 def overlapping_leaves(leaves: DataFrame) -> DataFrame:
     """Leaves of one campaign whose area lies in the area of another; none if absences are counted once."""
-    present = leaves.select("campaign_id", "leaf_key", maps.canonical(F.col("site_filter")).alias("part"))
-    parts = leaves.select(
-        "campaign_id",
-        F.col("leaf_key").alias("inner_key"),
-        F.explode(maps.contained_maps(F.col("site_filter"), proper=False)).alias("part"),
-    )
-    return parts.join(present, ["campaign_id", "part"]).where("inner_key <> leaf_key").select(
-        "campaign_id", "inner_key", F.col("leaf_key").alias("outer_key")
-    )
+    outer = leaves.select("campaign_id", F.col("leaf_key").alias("outer_key"), F.col("site_filter").alias("outer_filter"))
+    inner = leaves.select("campaign_id", F.col("leaf_key").alias("inner_key"), "site_filter")
+    found = maps.containing(outer, inner, part="outer_filter", whole="site_filter", by=("campaign_id",))
+    return found.where("inner_key <> outer_key").select("campaign_id", "inner_key", "outer_key")

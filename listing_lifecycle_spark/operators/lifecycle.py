@@ -26,6 +26,8 @@ OUTCOME_COLUMNS = [
     "appearance_sequence",
     "observation_applied",
 ]
+# What a batch says about its sightings, not about the listing.
+NOT_CONTENT = ("external_id", "observed_at", "first_observed_at")
 # Working columns that a merged run carries besides the state.
 MARKS = ["observed", "created", "changed", "previous_status", "previous_content_hash", "observation_applied", "missing_marked"]
 
@@ -36,7 +38,7 @@ def last_per_key(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _state_types(state: DataFrame, batch: DataFrame) -> dict[str, str]:
-    content = [c for c in batch.columns if c not in ("external_id", "observed_at")]
+    content = [c for c in batch.columns if c not in NOT_CONTENT]
     stored = [c for c in state.columns if c not in content and c != "external_id"]
     types = {**dict(batch.dtypes), **fv.LIFECYCLE_SCHEMA, **dict(state.dtypes)}
     return {c: types[c] for c in [*content, *stored, *[c for c in fv.LIFECYCLE_SCHEMA if c not in stored]]}
@@ -50,9 +52,13 @@ def merge_batch(state: DataFrame, batch: DataFrame, *, run_id=None, context="obs
     content, becomes active and loses its missing marks; only a return from
     ``missing_confirmed`` starts another appearance.  An observation older than
     the stored sighting changes nothing.
+
+    A batch that stands for several sightings of a listing carries the earliest
+    as ``first_observed_at``; then the first sighting is the earliest of all,
+    however sightings are dealt out to batches.
     """
     types = _state_types(state, batch)
-    content = [c for c in batch.columns if c not in ("external_id", "observed_at")]
+    content = [c for c in batch.columns if c not in NOT_CONTENT]
     old = state.withColumn("_stored", F.lit(True)).withColumnsRenamed(
         {c: f"old_{c}" for c in state.columns if c != "external_id"}
     )
@@ -74,8 +80,11 @@ def merge_batch(state: DataFrame, batch: DataFrame, *, run_id=None, context="obs
     run = F.lit(run_id).cast("bigint") if not isinstance(run_id, Column) else run_id
     context = F.lit(context) if not isinstance(context, Column) else context
 
+    first_seen_at = first(observed_at, "first_seen_at")
+    if "first_observed_at" in batch.columns:
+        first_seen_at = F.least(stored("first_seen_at"), F.col("new_first_observed_at"), first_seen_at)
     lifecycle = {
-        "first_seen_at": first(observed_at, "first_seen_at"),
+        "first_seen_at": first_seen_at,
         "last_seen_at": latest(observed_at, "last_seen_at"),
         "first_seen_run_id": first(run, "first_seen_run_id"),
         "last_seen_run_id": latest(run, "last_seen_run_id"),

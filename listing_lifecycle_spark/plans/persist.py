@@ -12,6 +12,7 @@ from listing_lifecycle_spark.operators import campaigns, coverage, lifecycle
 from listing_lifecycle_spark.operators.events import create_events
 from listing_lifecycle_spark.operators.matching import match_rules
 from listing_lifecycle_spark.session import cut_lineage
+from listing_lifecycle_spark.sources.locations import resolve_site_filter
 from listing_lifecycle_spark.sources.versions import VersionedTables
 
 EVENT_LOG_TYPES = (
@@ -99,12 +100,16 @@ def finish_campaign(
     now,
     today,
 ) -> DataFrame:
-    """Merge a finished campaign into the state: latest staged row per listing, absences per leaf, expiry."""
-    from listing_lifecycle_spark.sources.locations import resolve_site_filter
+    """Merge a finished campaign into the state: latest staged row per listing, absences per leaf, expiry.
 
+    A campaign that staged nothing is refused (see :func:`complete_campaign`), as
+    is a leaf whose filter names no place: it must not count as evidence.
+    """
     own = leaves.where(F.col("campaign_id") == campaign_id)
     staged = campaigns.staged_listings(own)
     batch = campaigns.merged_payload(staged).drop("campaign_id")
+    if batch.isEmpty():
+        raise ValueError(f"campaign {campaign_id} staged no listing")
     merged = lifecycle.merge_batch(
         state, batch, run_id=run_id, context="observed" if succeeded_before else "baseline", now=now
     )
@@ -113,6 +118,9 @@ def finish_campaign(
         areas = resolve_site_filter(
             coverage.eligible_leaves(done, excluded_regions=excluded_regions, allowed_states=allowed_states), locations
         )
+        wrong = areas.where(F.col("filter_error").isNotNull()).select("leaf_key", "filter_error").head(1)
+        if wrong:
+            raise ValueError(f"leaf {wrong[0].leaf_key}: {wrong[0].filter_error}")
         merged = cut_lineage(merged)
         evidence = coverage.missing_evidence(merged, areas, campaigns.seen_by_leaf(staged))
         counted = merged.join(evidence, "external_id", "left").withColumn("_observed", F.col("observed"))
@@ -122,3 +130,23 @@ def finish_campaign(
             open_rows, F.lit(True), threshold=threshold, now=now, evidence=F.col("absences")
         ).withColumn("observed", F.col("_observed")).drop("_observed", "absences")
     return lifecycle.mark_expired(merged, today=today, now=now)
+
+
+def complete_campaign(
+    state: DataFrame, leaves: DataFrame, scope_name: str, *, campaign_id: str, rules: DataFrame, event_log: DataFrame,
+    locations: DataFrame, run_id: int, started_at, now, today, **campaign,
+) -> RunResult:
+    """A finished campaign as a run: merged state, alert events and the run row, to be published by ``commit_run``.
+
+    Without any staged listing the run is suspicious and changes nothing.
+    """
+    spark = state.sparkSession
+    own = leaves.where(F.col("campaign_id") == campaign_id)
+    if campaigns.merged_payload(campaigns.staged_listings(own)).isEmpty():
+        none = dict.fromkeys(("listings_seen", "new_listings", "changed_listings", "missing_marked"), 0)
+        return RunResult(run_row(spark, scope_name, run_id=run_id, started_at=started_at, now=now, counts=none, status="suspicious"), None, None, "suspicious")
+    merged = cut_lineage(finish_campaign(state, leaves, campaign_id=campaign_id, locations=locations, run_id=run_id, now=now, today=today, **campaign))
+    counts = lifecycle.counters(merged).first().asDict()
+    status = lifecycle.run_status(counts["listings_seen"])
+    events = create_events(match_rules(merged.where("observed"), rules, locations), event_log, run_id=run_id, event_time=now)
+    return RunResult(run_row(spark, scope_name, run_id=run_id, started_at=started_at, now=now, counts=counts, status=status), merged, events, status)

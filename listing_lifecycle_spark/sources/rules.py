@@ -30,14 +30,16 @@ def read_rules(spark: SparkSession, path: str, defaults_path: str) -> DataFrame:
     """Rules with typed limits.  A key that a rule states wins over the default even when it is null."""
     rules = (
         spark.read.schema(_RULE_FILE).option("multiLine", True).json(path)
-        .select(F.explode("filters").alias("r")).select("r.*").withColumn("_one", F.lit(1))
+        .select(F.explode("filters").alias("r")).select("r.*")
     )
     defaults = (
         spark.read.schema(_DEFAULTS_FILE).option("multiLine", True).json(defaults_path)
-        .limit(1)
-        .select(F.lit(1).alias("_one"), F.struct("enabled", "local_filter", "delivery").alias("d"))
+        .select(F.struct("enabled", "local_filter", "delivery").alias("d"))
     )
-    joined = rules.join(defaults, "_one")
+    one = defaults.agg(F.count(F.lit(1)).alias("n"), F.first("d").alias("d")).select(
+        F.when(F.col("n") == 1, F.col("d")).otherwise(F.raise_error(F.concat(F.lit("one set of defaults is needed, found "), F.col("n")))).alias("d")
+    )
+    joined = rules.join(F.broadcast(one))  # one row
     local = maps.overlay(
         F.col("d.local_filter"), F.coalesce("local_filter", F.create_map().cast("map<string,string>"))
     )

@@ -27,7 +27,9 @@ class VersionedTables:
     def _pointers(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_POINTER).json(f"{self.root}/_commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not look like an empty store
+                raise
             return None
 
     def current(self, table: str | None = None) -> int | None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # The epoch was a Thursday; windows of 7 days that start 4 days later start on Mondays.
 MONDAY_OFFSET = "4 days"
@@ -20,13 +21,17 @@ def utc_day(moment: Column) -> Column:
     return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")))
 
 
-def weekly_counts(sightings: DataFrame, *, delay: str = "7 days") -> DataFrame:
-    """Distinct listings per week (Monday start), each week emitted once it is closed (append mode).
+def closed_week_counts(sightings: DataFrame, *, delay_days: int = 7) -> DataFrame:
+    """Distinct listings per week (Monday start), each week emitted once, when it is closed (append mode).
 
-    A listing is counted once per week: repeated sightings are dropped while the
-    watermark may still see them, for which ``delay`` must not be under 7 days.
+    For consumers that want a week once and final.  Weeks still open are not
+    emitted, and rows later than ``delay_days`` are not counted: :class:`PeriodSink`
+    has every week and every row.  A listing is counted once per week, for which
+    the delay must reach over a week.
     """
-    timed = sightings.withWatermark("first_seen_at", delay)
+    if delay_days < 7:
+        raise ValueError("a delay of less than 7 days would count a listing twice")
+    timed = sightings.withWatermark("first_seen_at", f"{delay_days} days")
     week = F.floor((F.unix_seconds("first_seen_at") - _OFFSET_SECONDS) / _WEEK_SECONDS)
     once = timed.withColumn("week", week).dropDuplicatesWithinWatermark(["external_id", "week"])
     return (
@@ -36,8 +41,32 @@ def weekly_counts(sightings: DataFrame, *, delay: str = "7 days") -> DataFrame:
     )
 
 
-def monthly_counts(sightings: DataFrame) -> DataFrame:
-    """Approximate distinct listings per month (update mode); months have no fixed length, hence no window."""
-    return sightings.groupBy(F.trunc(utc_day(F.col("first_seen_at")), "MM").alias("period_start")).agg(
-        F.approx_count_distinct("external_id", 0.01).alias("listing_count")
-    )
+class PeriodSink:
+    """Micro-batch writer for exact counts of distinct listings per week or month.
+
+    A batch adds its distinct (period, listing) pairs to a folder partitioned by
+    period, under its own number, so that a repeated batch replaces itself.
+    Nothing is kept in memory and no row is too late: ``counts`` reads the pairs.
+    """
+
+    PAIRS = "external_id string, period_start date, batch long"
+
+    def __init__(self, folder: str, unit: str = "week"):
+        if unit not in ("week", "month"):
+            raise ValueError(f"unknown period: {unit}")
+        self.folder, self.unit = folder.rstrip("/"), unit
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        start = F.to_date(F.date_trunc(self.unit, utc_day(F.col("first_seen_at"))))
+        pairs = batch.select("external_id", start.alias("period_start")).distinct()
+        pairs.write.mode("overwrite").partitionBy("period_start").parquet(f"{self.folder}/batch={batch_id}")
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """Distinct listings of each period so far, open ones included; a period filter reads its own folders only."""
+        pairs = spark.read.schema(self.PAIRS).parquet(self.folder)
+        return pairs.select("period_start", "external_id").distinct().groupBy("period_start").agg(F.count("external_id").alias("listing_count"))
+
+
+def count_periods(sightings: DataFrame, sink: PeriodSink, *, checkpoint: str) -> StreamingQuery:
+    """Start counting the sightings that are available; resumes from ``checkpoint`` after a stop."""
+    return sightings.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

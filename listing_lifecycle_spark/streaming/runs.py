@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from listing_lifecycle_spark.operators import lifecycle
 from listing_lifecycle_spark.plans.persist import commit_run, run_once
@@ -49,15 +50,19 @@ class RunSink:
         found = self.tables.read_log(name) if name == "events" else self.tables.read(name)
         return self.empty[name] if found is None else found
 
-    def _apply(self, control: dict) -> None:
+    def _apply(self, control: dict, schema: StructType) -> None:
         key = f"run-{control['run_id']}"
         if self.tables.has_batch(key):
             return
-        staged = self.tables.spark.read.option("basePath", f"{self.tables.root}/staging").parquet(f"{self.tables.root}/staging")
+        # The schema is given: a run without rows leaves no file to take it from.
+        folder = f"{self.tables.root}/staging"
+        staged = self.tables.spark.read.schema(schema).option("basePath", folder).parquet(folder)
         rows = staged.where(F.col("run_id") == control["run_id"]).select(*self.listing_columns, "observed_at")
+        # Of two rows of one instant the greater as text counts, whatever their order of arrival.
+        rows = rows.withColumn("_text", F.to_json(F.struct(*self.listing_columns)))
         scopes = self._table("scopes")
         result = run_once(
-            self._table("state"), lifecycle.last_per_key(rows, ["observed_at"]), self.scope_of(control),
+            self._table("state"), lifecycle.last_per_key(rows, ["observed_at", "_text"]).drop("_text"), self.scope_of(control),
             rules=self.rules, locations=self.locations, event_log=self._table("events"),
             run_id=control["run_id"], now=control["completed_at"], today=control["completed_at"],
         )
@@ -70,7 +75,7 @@ class RunSink:
         controls = batch.where("kind = 'complete'").select("run_id", "scope_name", "completed_at").distinct()
         # One control row per run: a handful, whatever the number of observations.
         for control in controls.orderBy("completed_at", "run_id").toLocalIterator():
-            self._apply(control.asDict())
+            self._apply(control.asDict(), batch.schema)
 
 
 def apply_runs(stream: DataFrame, sink: RunSink, *, checkpoint: str) -> StreamingQuery:

@@ -15,10 +15,11 @@ from listing_lifecycle_spark.operators import lifecycle
 from listing_lifecycle_spark.sources.versions import VersionedTables
 
 
-def running_state(observations: DataFrame) -> DataFrame:
+def running_state(observations: DataFrame, order: tuple[str, ...] = ("observed_at", "content_hash")) -> DataFrame:
     """Per listing the first sighting and the content of the latest.
 
-    The latest is chosen by event time, so an observation that arrives late
+    The latest is chosen by ``order`` (event time, then what decides between
+    observations of one instant), so an observation that arrives late
     counts as a sighting but overwrites nothing.  Written in update mode; partial
     aggregates are combined before the state is touched, so a hot listing costs
     one state update per task and micro-batch.
@@ -26,7 +27,7 @@ def running_state(observations: DataFrame) -> DataFrame:
     return observations.groupBy("external_id").agg(
         F.min("observed_at").alias("first_seen_at"),
         F.max("observed_at").alias("last_seen_at"),
-        F.max_by("content_hash", "observed_at").alias("content_hash"),
+        F.max_by("content_hash", F.struct(*order)).alias("content_hash"),
         F.count(F.lit(1)).alias("sightings"),
     )
 
@@ -48,7 +49,9 @@ class ObservationSink:
         if self.tables.has_batch(key):
             return
         state = self.tables.read("state")
-        latest = lifecycle.last_per_key(batch, self.order)
+        # The last row of a listing and its first sighting: the state must not depend on how batches are cut.
+        firsts = batch.groupBy("external_id").agg(F.min("observed_at").alias("first_observed_at"))
+        latest = lifecycle.last_per_key(batch, self.order).join(firsts, "external_id")
         merged = lifecycle.merge_batch(self.empty_state if state is None else state, latest, run_id=batch_id)
         self.tables.commit({"state": lifecycle.new_state(merged)}, batch_key=key)
 

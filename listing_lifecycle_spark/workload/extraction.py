@@ -257,12 +257,11 @@ def island_of_region(t):
 
 @query(
     "slugs", "S17 S1",
-    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text[:200])), '[^\\x00-\\x7F]', '', 'g').replace('''', '').replace('&', ' and '),
-      '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents WHERE lang IN ('en', 'fr', 'es')""",
+    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g').replace('''', '').replace('&', ' and '),
+      '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents""",
 )
 def slugs(t):
-    docs = t.table("documents").where(F.col("lang").isin("en", "fr", "es"))
-    return docs.select("doc_id", text.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return t.table("documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query(

@@ -30,10 +30,10 @@ def observed(stream):
 
 @query(
     "streamed_listing_state", "STM1 STM2 STM8 UPS2",
-    """SELECT external_id, content_hash, last_seen_at, 'active' AS status, 1 AS appearance_sequence FROM (
-      SELECT concat(event_type, '-', user_id) AS external_id, sha256(CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)) AS content_hash, ts AS last_seen_at,
+    """SELECT external_id, content_hash, first_seen_at, last_seen_at, 'active' AS status, 1 AS appearance_sequence FROM (
+      SELECT min(ts) OVER (PARTITION BY event_type, user_id) AS first_seen_at, concat(event_type, '-', user_id) AS external_id, sha256(CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)) AS content_hash, ts AS last_seen_at,
         row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
-    instants="last_seen_at",
+    instants="first_seen_at last_seen_at",
 )
 def streamed_listing_state(t):
     stream, folder = event_stream(t)
@@ -44,13 +44,14 @@ def streamed_listing_state(t):
     rows = observed(stream)
     running = state.merge_stream(rows, tables, empty, checkpoint=f"{folder}/progress", order=["observed_at", "event_id"])
     running.awaitTermination()
-    return tables.read("state").select("external_id", "content_hash", "last_seen_at", "status", "appearance_sequence")
+    return tables.read("state").select("external_id", "content_hash", "first_seen_at", "last_seen_at", "status", "appearance_sequence")
 
 
 @query(
     "streamed_sightings", "STM1 STM2",
-    """SELECT concat(event_type, '-', user_id) AS external_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings
-      FROM events GROUP BY 1""",
+    """SELECT concat(event_type, '-', user_id) AS external_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings,
+      sha256(CAST(CAST(floor(arg_max(value, event_id) FILTER (ts = last) / 50) AS BIGINT) AS VARCHAR)) AS content_hash
+      FROM (SELECT *, max(ts) OVER (PARTITION BY event_type, user_id) AS last FROM events) GROUP BY event_type, user_id""",
     instants="first_seen_at last_seen_at",
 )
 def streamed_sightings(t):
@@ -60,29 +61,38 @@ def streamed_sightings(t):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     running = (
-        state.running_state(observed(stream)).writeStream.outputMode("update").foreachBatch(keep)
+        state.running_state(observed(stream), ("observed_at", "event_id")).writeStream.outputMode("update").foreachBatch(keep)
         .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     )
     running.awaitTermination()
     updates = t.spark.read.parquet(f"{folder}/out")
     latest = updates.groupBy("external_id").agg(
-        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("sightings").alias("sightings")
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("sightings").alias("sightings"), F.max_by("content_hash", "sightings").alias("content_hash"),
     )
     return latest
 
 
+def streamed_counts(t, unit):
+    stream, folder = event_stream(t)
+    sightings = stream.select(F.col("user_id").cast("string").alias("external_id"), periods.utc_instant(F.col("ts")).alias("first_seen_at"))
+    sink = periods.PeriodSink(f"{folder}/pairs", unit)
+    periods.count_periods(sightings, sink, checkpoint=f"{folder}/progress").awaitTermination()
+    return sink.counts(t.spark)
+
+
 @query(
     "streamed_week_counts", "STM7",
-    """SELECT CAST(date_trunc('week', ts) AS DATE) AS period_start, count(DISTINCT user_id) AS listing_count FROM events
-      GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) AND CAST(date_trunc('week', ts) AS DATE) + 7 <= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""",
+    "SELECT CAST(date_trunc('week', ts) AS DATE) AS period_start, count(DISTINCT user_id) AS listing_count FROM events GROUP BY 1",
     dates="period_start",
 )
 def streamed_week_counts(t):
-    stream, folder = event_stream(t)
-    sightings = stream.select(F.col("user_id").cast("string").alias("external_id"), periods.utc_instant(F.col("ts")).alias("first_seen_at"))
-    running = (
-        periods.weekly_counts(sightings).writeStream.outputMode("append").format("parquet")
-        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return t.spark.read.schema("period_start date, listing_count bigint").parquet(f"{folder}/out")
+    return streamed_counts(t, "week")
+
+
+@query(
+    "streamed_month_counts", "STM7",
+    "SELECT CAST(date_trunc('month', ts) AS DATE) AS period_start, count(DISTINCT user_id) AS listing_count FROM events GROUP BY 1",
+    dates="period_start",
+)
+def streamed_month_counts(t):
+    return streamed_counts(t, "month")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import batch, by, listing, moment, state
 from listing_lifecycle_spark.operators import lifecycle as lc
 from listing_lifecycle_spark.operators.facts import persistable
-from listing_lifecycle_spark.plans.persist import EVENT_LOG_TYPES, commit_run, finish_campaign, run_once
+from listing_lifecycle_spark.plans.persist import EVENT_LOG_TYPES, commit_run, complete_campaign, finish_campaign, run_once
 from listing_lifecycle_spark.session import cut_lineage
 from listing_lifecycle_spark.sources.rules import make_rules
 from listing_lifecycle_spark.sources.versions import VersionedTables
@@ -173,6 +173,28 @@ def test_campaign_counts_each_absence_once(spark, locations):
     assert got["kept"]["changed"] and lc.counters(merged).first().missing_marked == 1
 
 
+def test_campaign_without_rows_or_with_a_wrong_leaf(spark, locations):
+    stored = state(spark, [dict(external_id="a", island="South Island", region="Otago", subregion="Dunedin")])
+    at = moment("2026-05-02T09:00:00")
+    how = dict(threshold=3, locations=locations, excluded_regions=[], allowed_states=None, succeeded_before=True, run_id=8, now=NOW, today=TODAY)
+    rules = make_rules(spark, [dict(rule_name="r", site_filter={"region": "otago"})])
+    more = dict(rules=rules, event_log=spark.createDataFrame([], EVENT_LOG_TYPES), started_at=at)
+    empty = leaf(spark, [("c", "otago", 0, {"state": "south-island", "region": "otago"}, "success", 2, [], at, at, None)])
+    result = complete_campaign(stored, empty, "all", campaign_id="c", **how, **more)
+    assert result.status == "suspicious" and result.merged is None and result.events is None
+    assert result.run.first().listings_seen == 0
+    with pytest.raises(ValueError, match="staged no listing"):
+        finish_campaign(stored, empty, campaign_id="c", **how)
+    row = ("b", "h2", "South Island", "Otago", "Clutha", None)
+    wrong = leaf(spark, [("c", "x", 0, {"state": "south-island", "region": "otago", "subregion": "nowhere"}, "success", 2, [row], at, at, None)])
+    with pytest.raises(ValueError, match="unknown subregion"):
+        finish_campaign(stored, wrong, campaign_id="c", **how)
+    fine = leaf(spark, [("c", "otago", 0, {"state": "south-island", "region": "otago"}, "success", 2, [row], at, at, None)])
+    result = complete_campaign(stored, fine, "all", campaign_id="c", **how, **more)
+    assert result.status == "success" and {k: r["missing_count"] for k, r in by(result.merged).items()} == {"a": 1, "b": 0}
+    assert result.run.first().new_listings == 1
+
+
 def plain_replay(observations, threshold):
     """The rules of single runs, one after the other, on plain dictionaries."""
     result = {}

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import LISTING_DDL, by, listing, moment, state
@@ -102,10 +103,59 @@ def test_merged_observations_and_stale_rows(spark, tmp_path):
     assert tables.current() == version
 
 
-def test_month_counts(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "2026-05-01"), ("a", "2026-05-20"), ("b", "2026-05-03"), ("a", "2026-06-01")], "external_id string, at string")
-    rows.select("external_id", F.col("at").cast("timestamp").alias("first_seen_at")).write.parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema("external_id string, first_seen_at timestamp").parquet(str(tmp_path / "s"))
-    query = periods.monthly_counts(stream).writeStream.outputMode("complete").format("memory").queryName("months").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {str(r.period_start): r.listing_count for r in spark.table("months").collect()} == {"2026-05-01": 2, "2026-06-01": 1}
+def test_first_sighting_does_not_depend_on_batches(spark, tmp_path):
+    types = "external_id string, content_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, status string, missing_count int, appearance_sequence int"
+    empty, ddl = spark.createDataFrame([], types), "external_id string, content_hash string, observed_at timestamp_ntz"
+    rows = [("a", "h1", moment("2026-01-01")), ("a", "h9", moment("2026-01-09")), ("b", "h", moment("2026-01-05"))]
+    for name, batches in (("one", [rows]), ("two", [rows[:1], rows[1:]]), ("back", [rows[1:], rows[:1]])):
+        tables = VersionedTables(spark, str(tmp_path / name))
+        sink = st.ObservationSink(tables, empty, ["observed_at"])
+        for n, batch in enumerate(batches):
+            sink(spark.createDataFrame(batch, ddl), n)
+        got = by(tables.read("state"))
+        assert {k: (r["first_seen_at"], r["last_seen_at"], r["content_hash"]) for k, r in got.items()} == {
+            "a": (moment("2026-01-01"), moment("2026-01-09"), "h9"), "b": (moment("2026-01-05"), moment("2026-01-05"), "h")
+        }
+
+
+def test_a_first_run_without_rows_is_suspicious(spark, locations, tmp_path):
+    tables = VersionedTables(spark, str(tmp_path / "tables"))
+    scope_ddl = "name string, enabled boolean, site_filter map<string,string>, interval_minutes int, missing_threshold_runs int, last_success_at timestamp_ntz"
+    empty = {
+        "state": state(spark, []), "events": spark.createDataFrame([], EVENT_LOG_TYPES),
+        "scopes": spark.createDataFrame([("central", True, {"region": "auckland"}, 5, 2, None)], scope_ddl),
+    }
+    sink = runs.RunSink(
+        tables, empty, rules=make_rules(spark, [dict(rule_name="r", site_filter={})]), locations=locations, listing_columns=list(fv.LISTING_SCHEMA),
+        scope_of=lambda control: lc.RunScope(control["scope_name"], region="Auckland", missing_threshold=2),
+    )
+    sink(stream_rows(spark, [complete(1, "2026-05-01T10:05:00")]), 0)
+    assert [r.status for r in tables.read_log("runs").collect()] == ["suspicious"] and tables.read("state") is None
+    sink(stream_rows(spark, [seen(2, "a", "2026-05-01T10:00:00"), complete(2, "2026-05-01T10:06:00")]), 1)
+    assert set(by(tables.read("state"))) == {"a"}
+
+
+def test_other_read_errors_are_not_an_empty_store(spark, tmp_path):
+    (tmp_path / "t" / "_commits").mkdir(parents=True)
+    assert VersionedTables(spark, str(tmp_path / "t")).current() is None
+    assert VersionedTables(spark, str(tmp_path / "none")).current() is None
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        VersionedTables(spark, "nosuchstore://x/t").current()
+
+
+@pytest.mark.parametrize("cuts", [[4], [1, 1, 2], [2, 2]])
+def test_period_counts_are_exact_for_any_batches(spark, tmp_path, cuts):
+    rows = [("a", "2026-05-01"), ("a", "2026-05-20"), ("b", "2026-05-03"), ("a", "2026-06-01")]
+    for unit, want in (("month", {"2026-05-01": 2, "2026-06-01": 1}), ("week", {"2026-04-27": 2, "2026-05-18": 1, "2026-06-01": 1})):
+        sink, at = periods.PeriodSink(str(tmp_path / unit), unit), 0
+        for n, size in enumerate(cuts):
+            batch = spark.createDataFrame(rows[at : at + size], "external_id string, at string")
+            at += size
+            for _ in range(2):  # a repeated batch changes nothing
+                sink(batch.select("external_id", F.col("at").cast("timestamp").alias("first_seen_at")), n)
+        assert {str(r.period_start): r.listing_count for r in sink.counts(spark).collect()} == want
+
+
+def test_a_short_delay_is_refused(spark):
+    with pytest.raises(ValueError, match="7 days"):
+        periods.closed_week_counts(spark.range(1), delay_days=3)
