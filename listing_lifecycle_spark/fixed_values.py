@@ -242,24 +242,73 @@ RULE_SCHEMA = {
     "exclude_keywords": "array<string>",
 }
 
-# States, regions (with site id) and their subregions (with site id).
+# State, region, its site id, subregion, its site id.
 # Slugs are not listed: they follow from the label by `text.slugify`.
-LOCATIONS = """
-North Island
-  Auckland 33: Auckland - Central 178, Auckland - North 186, Auckland - South 222, Manukau 204, North Shore City 181, Rodney 180, Waiheke Island 203, Waitakere 179
-  Bay of Plenty 34: Opotiki 247, Rotorua 231, Tauranga 243, Western Bay of Plenty 245, Whakatane 234
-  Gisborne 36: Gisborne 352, Te Karaka 355
-  Hawke's Bay 37: Central Hawke's Bay 383, Hastings 368, Napier 369
-  Manawatū-Whanganui 38: Horowhenua 438, Palmerston North 416, Rangitikei 431, Ruapehu 421, Tararua 417, Whanganui 412
-  Northland 32: Far North 138, Kaipara 146, Whangarei 128
-  Taranaki 51: Central Taranaki 396, New Plymouth 393, South Taranaki 395
-  Waikato 35: Hamilton 264, Hauraki 298, Matamata-Piako 276, North Waikato 320, South Waikato 286, Taupo 277, Thames-Coromandel 297, Waipa 267
-  Wairarapa 510: Masterton 407, South Wairarapa 477
-  Wellington 39: Kapiti Coast 466, Lower Hutt 462, Porirua 465, Upper Hutt 463, Wellington 409
-South Island
-  Canterbury 41: Ashburton 570, Banks Peninsula 569, Christchurch 544, Hurunui 524, Mackenzie 611, Selwyn 543, Timaru 612, Waimakariri 532
-  Nelson / Marlborough 40: Marlborough 506, Nelson 491, Tasman 489
-  Otago 42: Central Otago 656, Clutha 648, Dunedin 637, Queenstown Lakes 655, Waitaki 675
-  Southland 53: Invercargill 721, Southland 677
-  West Coast 52: Buller 1189, Grey 1190, Westland 1191
-"""
+LOCATIONS = [
+    ("North Island", "Auckland", "33", "Auckland - Central", "178"),
+    ("North Island", "Auckland", "33", "Auckland - North", "186"),
+    ("North Island", "Auckland", "33", "Auckland - South", "222"),
+    ("North Island", "Auckland", "33", "Manukau", "204"),
+    ("North Island", "Auckland", "33", "North Shore City", "181"),
+    ("North Island", "Auckland", "33", "Rodney", "180"),
+    ("North Island", "Auckland", "33", "Waiheke Island", "203"),
+    ("North Island", "Auckland", "33", "Waitakere", "179"),
+    ("North Island", "Bay of Plenty", "34", "Opotiki", "247"),
+    ("North Island", "Bay of Plenty", "34", "Rotorua", "231"),
+    ("North Island", "Bay of Plenty", "34", "Tauranga", "243"),
+    ("North Island", "Bay of Plenty", "34", "Western Bay of Plenty", "245"),
+    ("North Island", "Bay of Plenty", "34", "Whakatane", "234"),
+    ("North Island", "Gisborne", "36", "Gisborne", "352"),
+    ("North Island", "Gisborne", "36", "Te Karaka", "355"),
+    ("North Island", "Hawke's Bay", "37", "Central Hawke's Bay", "383"),
+    ("North Island", "Hawke's Bay", "37", "Hastings", "368"),
+    ("North Island", "Hawke's Bay", "37", "Napier", "369"),
+    ("North Island", "Manawatū-Whanganui", "38", "Horowhenua", "438"),
+    ("North Island", "Manawatū-Whanganui", "38", "Palmerston North", "416"),
+    ("North Island", "Manawatū-Whanganui", "38", "Rangitikei", "431"),
+    ("North Island", "Manawatū-Whanganui", "38", "Ruapehu", "421"),
+    ("North Island", "Manawatū-Whanganui", "38", "Tararua", "417"),
+    ("North Island", "Manawatū-Whanganui", "38", "Whanganui", "412"),
+    ("North Island", "Northland", "32", "Far North", "138"),
+    ("North Island", "Northland", "32", "Kaipara", "146"),
+    ("North Island", "Northland", "32", "Whangarei", "128"),
+    ("North Island", "Taranaki", "51", "Central Taranaki", "396"),
+    ("North Island", "Taranaki", "51", "New Plymouth", "393"),
+    ("North Island", "Taranaki", "51", "South Taranaki", "395"),
+    ("North Island", "Waikato", "35", "Hamilton", "264"),
+    ("North Island", "Waikato", "35", "Hauraki", "298"),
+    ("North Island", "Waikato", "35", "Matamata-Piako", "276"),
+    ("North Island", "Waikato", "35", "North Waikato", "320"),
+    ("North Island", "Waikato", "35", "South Waikato", "286"),
+    ("North Island", "Waikato", "35", "Taupo", "277"),
+    ("North Island", "Waikato", "35", "Thames-Coromandel", "297"),
+    ("North Island", "Waikato", "35", "Waipa", "267"),
+    ("North Island", "Wairarapa", "510", "Masterton", "407"),
+    ("North Island", "Wairarapa", "510", "South Wairarapa", "477"),
+    ("North Island", "Wellington", "39", "Kapiti Coast", "466"),
+    ("North Island", "Wellington", "39", "Lower Hutt", "462"),
+    ("North Island", "Wellington", "39", "Porirua", "465"),
+    ("North Island", "Wellington", "39", "Upper Hutt", "463"),
+    ("North Island", "Wellington", "39", "Wellington", "409"),
+    ("South Island", "Canterbury", "41", "Ashburton", "570"),
+    ("South Island", "Canterbury", "41", "Banks Peninsula", "569"),
+    ("South Island", "Canterbury", "41", "Christchurch", "544"),
+    ("South Island", "Canterbury", "41", "Hurunui", "524"),
+    ("South Island", "Canterbury", "41", "Mackenzie", "611"),
+    ("South Island", "Canterbury", "41", "Selwyn", "543"),
+    ("South Island", "Canterbury", "41", "Timaru", "612"),
+    ("South Island", "Canterbury", "41", "Waimakariri", "532"),
+    ("South Island", "Nelson / Marlborough", "40", "Marlborough", "506"),
+    ("South Island", "Nelson / Marlborough", "40", "Nelson", "491"),
+    ("South Island", "Nelson / Marlborough", "40", "Tasman", "489"),
+    ("South Island", "Otago", "42", "Central Otago", "656"),
+    ("South Island", "Otago", "42", "Clutha", "648"),
+    ("South Island", "Otago", "42", "Dunedin", "637"),
+    ("South Island", "Otago", "42", "Queenstown Lakes", "655"),
+    ("South Island", "Otago", "42", "Waitaki", "675"),
+    ("South Island", "Southland", "53", "Invercargill", "721"),
+    ("South Island", "Southland", "53", "Southland", "677"),
+    ("South Island", "West Coast", "52", "Buller", "1189"),
+    ("South Island", "West Coast", "52", "Grey", "1190"),
+    ("South Island", "West Coast", "52", "Westland", "1191"),
+]

@@ -21,13 +21,22 @@ def latest_events(log: DataFrame) -> DataFrame:
     )
 
 
-def classify(matches: DataFrame, log: DataFrame) -> DataFrame:
-    """Type of the event a match gives rise to; a match whose fingerprint the latest event has gives none.
+def prior_events(matches: DataFrame, log: DataFrame) -> DataFrame:
+    """Per matched listing and rule: fingerprint of the latest event, and the (appearance, fingerprint) pairs of all.
 
-    Equality is looked at before reappearance, so a listing that returns
-    unchanged stays silent.
+    Log rows of other listings are dropped before anything is aggregated, so the
+    work follows the matches, not the log.
     """
-    joined = matches.join(latest_events(log), ["external_id", "rule_name"], "left")
+    key = ["external_id", "rule_name"]
+    own = log.join(matches.select(*key).distinct(), key, "left_semi")
+    return own.groupBy(*key).agg(
+        F.max_by("alert_fingerprint", F.struct("created_at", "event_id")).alias("prior_fingerprint"),
+        F.collect_set(F.struct("appearance_sequence", "alert_fingerprint")).alias("seen_events"),
+    )
+
+
+def _classified(matches: DataFrame, log: DataFrame) -> DataFrame:
+    joined = matches.join(prior_events(matches, log), ["external_id", "rule_name"], "left")
     returned = F.col("observation_applied") & F.col("previous_status").eqNullSafe("missing_confirmed")
     event_type = (
         F.when(F.col("prior_fingerprint").isNull() & F.col("created"), "first_match")
@@ -39,6 +48,15 @@ def classify(matches: DataFrame, log: DataFrame) -> DataFrame:
     return joined.withColumn("event_type", event_type).where("event_type is not null").drop("prior_fingerprint")
 
 
+def classify(matches: DataFrame, log: DataFrame) -> DataFrame:
+    """Type of the event a match gives rise to; a match whose fingerprint the latest event has gives none.
+
+    Equality is looked at before reappearance, so a listing that returns
+    unchanged stays silent.
+    """
+    return _classified(matches, log).drop("seen_events")
+
+
 def create_events(matches: DataFrame, log: DataFrame, *, run_id: int, event_time) -> DataFrame:
     """New events of one run.
 
@@ -48,8 +66,9 @@ def create_events(matches: DataFrame, log: DataFrame, *, run_id: int, event_time
     ids.
     """
     applied = matches.where("observation_applied").withColumn("alert_fingerprint", alert_fingerprint())
-    typed = classify(applied, log)
-    fresh = typed.dropDuplicates(EVENT_KEY).join(log.select(*EVENT_KEY), EVENT_KEY, "left_anti")
+    typed = _classified(applied, log)
+    known = F.array_contains("seen_events", F.struct("appearance_sequence", "alert_fingerprint"))
+    fresh = typed.where(~F.coalesce(known, F.lit(False))).drop("seen_events").dropDuplicates(EVENT_KEY)
     moment = instant(event_time)
     return fresh.withColumns(
         {

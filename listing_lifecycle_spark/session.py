@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,7 @@ def get_spark(app_name: str = "listing-lifecycle", master: str | None = None, **
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a local session without that setting gets a temporary folder, the same one for all its life.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -33,7 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="shared-")
+    return _local_folder(context.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"shared-{application}-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +22,8 @@ COLUMNS = [
 
 def location_dim(spark: SparkSession) -> DataFrame:
     """One row per subregion.  The row count is fixed, so joins may broadcast it."""
-    rows, island = [], None
-    for line in fv.LOCATIONS.strip().splitlines():
-        if not line.startswith(" "):
-            island = line.strip()
-            continue
-        region_text, subregions = line.strip().split(": ", 1)
-        region, region_id = re.fullmatch(r"(.+) (\d+)", region_text).groups()
-        for item in subregions.split(", "):
-            subregion, subregion_id = re.fullmatch(r"(.+) (\d+)", item).groups()
-            rows.append((island, region, region_id, subregion, subregion_id))
     labels = spark.createDataFrame(
-        rows, "island string, region string, region_id string, subregion string, subregion_id string"
+        fv.LOCATIONS, "island string, region string, region_id string, subregion string, subregion_id string"
     )
     return with_slugs(labels)
 

@@ -376,9 +376,14 @@ def market_monthly_trend(t):
     return se.seasonality(market, interval="month").select("period_start", "listing_count").orderBy("period_start")
 
 
-@query("sample_rows", "SRT2 ANA8")
+@query(
+    "sample_rows", "SRT2 ANA8",
+    with_views("places", "listings", body="SELECT external_id, region, city, start_date FROM listings ORDER BY external_id, start_date, region, city LIMIT 10"),
+    dates="start_date",
+)
 def sample_rows(t):
-    return t.listings.select("external_id", "region", "city", "start_date").limit(10)
+    rows = t.listings.select("external_id", "region", "city", "start_date")
+    return rows.orderBy("external_id", "start_date", "region", "city").limit(10)
 
 
 @query(

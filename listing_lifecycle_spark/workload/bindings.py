@@ -24,7 +24,7 @@ SQL: dict[str, str] = {}
 
 def with_views(*names: str, body: str) -> str:
     """SQL text: the named views (in order) and the query."""
-    return "WITH " + ",\n".join(f"{name} AS ({SQL[name]})" for name in names) + "\n" + body
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({SQL[name]})" for name in names) + "\n" + body
 
 
 def island_of(region_key: Column) -> Column:

@@ -448,9 +448,17 @@ def mark_missing_by_leaf(t):
     return marked.select("external_id", "status", "missing_count")
 
 
-@query("overlapping_leaves", "UPS7 DQ5")
+@query(
+    "overlapping_leaves", "UPS7 DQ5",
+    with_views("places", body="SELECT DISTINCT city AS campaign_id, concat(region, '/', subregion) AS inner_key, region AS outer_key FROM places"),
+)
 def overlapping_leaves(t):
-    return co.overlapping_leaves(areas(t))
+    """A campaign per market with a leaf for each region and one for each of its subregions."""
+    region = F.create_map(F.lit("region"), "region")
+    narrow = t.places.select(F.col("city").alias("campaign_id"), F.concat_ws("/", "region", "subregion").alias("leaf_key"),
+                             F.map_concat(region, F.create_map(F.lit("subregion"), "subregion")).alias("site_filter"))
+    wide = t.places.select(F.col("city").alias("campaign_id"), F.col("region").alias("leaf_key"), region.alias("site_filter"))
+    return co.overlapping_leaves(narrow.union(wide).dropDuplicates(["campaign_id", "leaf_key"]))
 
 
 @query(
