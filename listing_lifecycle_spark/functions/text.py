@@ -89,16 +89,17 @@ def _odd_numbers() -> dict[str, str]:
     return {str(code): html.unescape(f"&#{code};") for code in codes if html.unescape(f"&#{code};") != chr(code)}
 
 
-@lru_cache(maxsize=1)
-def _entity_lambda() -> str:
+@lru_cache(maxsize=2)
+def _entity_lambda(in_attribute: bool) -> str:
     """SQL lambda that decodes character references; as text it is one node to build, however often it is used."""
+    open_end = "(?![=a-zA-Z0-9])" if in_attribute else ""
     names, old = _map_literal(html5), "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
     digits = """CASE WHEN lower(substring(n, 1, 2)) = '#x' THEN ltrim('0', rtrim(';', substring(n, 3))) ELSE ltrim('0', rtrim(';', substring(n, 2))) END"""
     number = f"""element_at(transform(array({digits}), d -> CASE WHEN d = '' THEN 0 WHEN length(d) > 7 THEN 1114112
       WHEN lower(substring(n, 1, 2)) = '#x' THEN CAST(conv(d, 16, 10) AS INT) ELSE CAST(d AS INT) END), 1)"""
     by_number = f"""element_at(transform(array({number}), c -> CASE WHEN c > 1114111 OR c BETWEEN 55296 AND 57343 THEN decode(X'EFBFBD', 'UTF-8')
       ELSE coalesce(try_element_at({_map_literal(_odd_numbers())}, CAST(c AS STRING)), decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')) END), 1)"""
-    by_name = f"""coalesce(try_element_at({names}, n), element_at(transform(array(regexp_extract(n, '^({old})', 1)),
+    by_name = f"""coalesce(try_element_at({names}, n), element_at(transform(array(regexp_extract(n, '^({old}){open_end}', 1)),
       o -> CASE WHEN o = '' THEN concat('&', n) ELSE concat(try_element_at({names}, o), substring(n, length(o) + 1)) END), 1))"""
     reference = "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\\\t\\\\n\\\\f <&#;]{1,32};?)"
     piece = f"""element_at(transform(array(regexp_extract(p, '{reference}', 1)),
@@ -107,9 +108,12 @@ def _entity_lambda() -> str:
       ELSE array_join(transform(split(t, '(?=&)'), p -> {piece}), '') END"""
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace named (HTML 5) and numeric character references as an HTML parser does, final semicolon or not."""
-    return F.try_element_at(F.call_function("transform", F.array(text), F.expr(_entity_lambda())), F.lit(1))
+def decode_entities(text: Column, *, in_attribute: bool = False) -> Column:
+    """Replace named (HTML 5) and numeric character references as an HTML parser does, final semicolon or not.
+
+    In an attribute a name without semicolon stays if ``=``, a letter or a digit follows: ``?a=1&region=2`` is no sign.
+    """
+    return F.try_element_at(F.call_function("transform", F.array(text), F.expr(_entity_lambda(in_attribute))), F.lit(1))
 
 
 def date_text(day: Column) -> Column:

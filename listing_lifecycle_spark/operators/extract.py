@@ -25,7 +25,7 @@ def cards_of(pages: DataFrame) -> DataFrame:
 def listing_link(card: Column) -> Column:
     """First link of a card that leads to a listing."""
     stem = fv.EXTERNAL_ID_PATTERN.split("(")[0]
-    tags = markup.all_matches(card, r"(?is)<a\b[^>]*>", 0)
+    tags = markup.all_matches(card, rf"(?is)<a\b{markup.INSIDE}*>", 0)
     # The quick test on the tag spares decoding the links that cannot qualify.
     likely = F.filter(tags, lambda tag: F.contains(tag, F.lit(stem)))
     hrefs = F.transform(likely, lambda tag: markup.attribute(tag, "href"))
@@ -36,7 +36,7 @@ def title_link(card: Column) -> Column:
     """Inner markup of the first link in a heading."""
     headings = markup.all_matches(card, r"(?is)<h3\b[^>]*>(.*?)</h3>", 1)
     with_link = F.filter(headings, lambda h: F.regexp_like(h, F.lit(r"(?i)<a\b")))
-    return markup.first_match(F.try_element_at(with_link, F.lit(1)), r"(?is)<a\b[^>]*>(.*?)</a>")
+    return markup.first_match(F.try_element_at(with_link, F.lit(1)), rf"(?is)<a\b{markup.INSIDE}*>(.*?)</a>")
 
 
 def place_of(link: Column) -> Column:
@@ -76,13 +76,13 @@ def place_of(link: Column) -> Column:
 
 def intro_text(card: Column) -> Column:
     """Introduction without the text of its links."""
-    intro = markup.section(card, "listing-intro", ("p", "div"))
-    return markup.text_of(F.regexp_replace(intro, r"(?is)<a\b[^>]*>.*?</a>", ""))
+    intro = markup.section(card, "listing-intro")
+    return markup.text_of(F.regexp_replace(intro, rf"(?is)<a\b{markup.INSIDE}*>.*?</a>", ""))
 
 
 def footer_of(card: Column) -> Column:
     """Footer texts by the icon in front of them; the last one of a kind counts."""
-    footer = markup.section(card, "listing-footer", ("div", "ul"))
+    footer = F.array_join(markup.sections(card, "listing-footer"), " ")
     items = markup.all_matches(footer, r"(?is)<li\b[^>]*>(.*?)</li>", 1)
     icon = rf"(?is){markup.class_tag('(span|i|div|em)', 'icon')}(.*?)</\1>"
     with_icon = F.filter(items, lambda item: F.contains(item, F.lit("icon")))
@@ -110,11 +110,11 @@ def footer_of(card: Column) -> Column:
 
 def pet_entries(card: Column) -> Column:
     """(name, count) of the animals on a card; entries without picture or number are left out."""
-    pets = F.coalesce(markup.section(card, "listing-pets", ("ul", "div")), F.lit(""))
+    pets = F.array_join(markup.sections(card, "listing-pets"), " ")
     items = markup.all_matches(pets, r"(?is)<li\b[^>]*>(.*?)</li>", 1)
 
     def entry(item: Column) -> Column:
-        images = markup.all_matches(item, r"(?is)<img\b[^>]*\salt\s*=[^>]*>", 0)
+        images = markup.all_matches(item, rf"(?is)<img\b{markup.INSIDE}*?\salt\s*={markup.INSIDE}*>", 0)
         number = markup.text_of(F.regexp_extract(item, r"(?is)<span\b[^>]*>(.*?)</span>", 1))
         return F.struct(markup.attribute(F.try_element_at(images, F.lit(1)), "alt").alias("name"), number.alias("text"))
 
@@ -146,8 +146,8 @@ def pets_of(card: Column) -> Column:
 
 def reply_rating(card: Column) -> Column:
     """Rating in the alternative text of the rating picture."""
-    block = markup.section(card, "reply-rating", ("div", "span"))
-    image = F.regexp_extract(block, r"(?is)<img\b[^>]*\salt\s*=[^>]*>", 0)
+    block = markup.section(card, "reply-rating")
+    image = F.regexp_extract(block, rf"(?is)<img\b{markup.INSIDE}*?\salt\s*={markup.INSIDE}*>", 0)
     return F.regexp_extract(markup.attribute(image, "alt"), fv.REPLY_RATING_PATTERN, 1).try_cast("int")
 
 
@@ -212,7 +212,7 @@ def parse_cards(cards: DataFrame, locations: DataFrame, *, base_url: str = BASE_
         place_of(title_link(card)).alias("place"),
         footer_of(card).alias("footer"),
         pets_of(card).alias("pets"),
-        markup.text_of(markup.section(card, "listing-tag", ("div", "span", "p"))).alias("listing_tag"),
+        markup.text_of(markup.section(card, "listing-tag")).alias("listing_tag"),
         intro_text(card).alias("intro"),
         reply_rating(card).alias("reply_rating_score"),
         starts_soon(card).alias("starts_soon"),
@@ -242,7 +242,7 @@ def anchors(pages: DataFrame, *, containing: str | None = None) -> DataFrame:
         links = F.filter(links, lambda link: F.regexp_like(link, F.lit(containing)))
     keep = [c for c in pages.columns if c != "html"]
     exploded = pages.select(*keep, F.posexplode(links).alias("position", "anchor"))
-    label = markup.section(F.col("anchor"), "label", ("span", "div"))
+    label = markup.section(F.col("anchor"), "label")
     return exploded.select(
         *keep,
         "position",
@@ -292,7 +292,7 @@ def next_page(html: Column, base_url: str = BASE_URL) -> Column:
     """Address behind the show-more link."""
     pieces = markup.split_at(markup.visible(html), r"<div\b[^>]*?\bid\s*=\s*[\"']showmore[^\"']*[\"'][^>]*>")
     inner = F.transform(pieces, lambda p: markup.close_element(p, "div"))
-    links = F.filter(F.transform(inner, lambda p: F.regexp_extract(p, r"(?is)<a\b[^>]*>", 0)), lambda a: a != "")
+    links = F.filter(F.transform(inner, lambda p: F.regexp_extract(p, rf"(?is)<a\b{markup.INSIDE}*>", 0)), lambda a: a != "")
     href = present(markup.attribute(F.try_element_at(links, F.lit(1)), "href"))
     return markup.absolute_url(href, base_url)
 

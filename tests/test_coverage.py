@@ -10,11 +10,11 @@ from listing_lifecycle_spark.operators import coverage as co
 from listing_lifecycle_spark.sources.locations import resolve_site_filter, site_filters
 
 NOW = "2026-05-02 10:00:00"
-CENTRAL = {"state": "north-island", "region": "auckland", "subregion": "auckland-central"}
-SHORE = {"state": "north-island", "region": "auckland", "subregion": "north-shore-city"}
-AUCKLAND = {"state": "north-island", "region": "auckland"}
-SEED = [(1, "auckland_central", 5, CENTRAL), (2, "north_shore_city", 10, SHORE), (3, "auckland_region", 60, AUCKLAND),
-        (4, "north_island", 720, {"state": "north-island"}), (5, "all_nz", 1440, {})]
+TOWN = {"state": "south-island", "region": "otago", "subregion": "dunedin"}
+COAST = {"state": "south-island", "region": "otago", "subregion": "clutha"}
+REGION_WIDE = {"state": "south-island", "region": "otago"}
+SEED = [(1, "dunedin_town", 7, TOWN), (2, "clutha_coast", 15, COAST), (3, "otago_wide", 90, REGION_WIDE),
+        (4, "south_part", 600, {"state": "south-island"}), (5, "everywhere", 2000, {})]
 DDL = "id long, name string, enabled boolean, interval_minutes int, site_filter map<string,string>, last_success_at timestamp_ntz"
 
 
@@ -25,22 +25,22 @@ def scopes(spark, success=None, names=None, disabled=()):
 
 def test_never_succeeded_is_due_in_interval_order(spark):
     assert [r.id for r in co.due_scopes(scopes(spark), now=NOW).collect()] == [1, 2, 3, 4, 5]
-    assert "all_nz" not in [r.name for r in co.due_scopes(scopes(spark, disabled=("all_nz",)), now=NOW).collect()]
+    assert "everywhere" not in [r.name for r in co.due_scopes(scopes(spark, disabled=("everywhere",)), now=NOW).collect()]
 
 
-@pytest.mark.parametrize("at,due", [("2026-05-02T09:51:30", False), ("2026-05-02T09:50:30", True), ("2026-05-02T09:51:00", True)])
+@pytest.mark.parametrize("at,due", [("2026-05-02T09:46:30", False), ("2026-05-02T09:45:30", True), ("2026-05-02T09:46:00", True)])
 def test_grace(spark, at, due):
-    rows = co.due_scopes(scopes(spark, {"north_shore_city": moment(at)}, ["north_shore_city"]), now=NOW).collect()
+    rows = co.due_scopes(scopes(spark, {"clutha_coast": moment(at)}, ["clutha_coast"]), now=NOW).collect()
     assert bool(rows) == due
 
 
 @pytest.mark.parametrize(
     "names,kept",
     [
-        (["auckland_central", "north_shore_city"], {"auckland_central", "north_shore_city"}),
-        (["auckland_central", "auckland_region"], {"auckland_region"}),
-        (["auckland_central", "north_island", "all_nz"], {"all_nz"}),
-        (["north_shore_city", "north_island"], {"north_island"}),
+        (["dunedin_town", "clutha_coast"], {"dunedin_town", "clutha_coast"}),
+        (["dunedin_town", "otago_wide"], {"otago_wide"}),
+        (["dunedin_town", "south_part", "everywhere"], {"everywhere"}),
+        (["clutha_coast", "south_part"], {"south_part"}),
     ],
 )
 def test_broadest(spark, names, kept):
@@ -48,27 +48,27 @@ def test_broadest(spark, names, kept):
 
 
 def test_equal_maps_do_not_remove_each_other(spark):
-    rows = [(1, "a", True, 5, AUCKLAND, None), (2, "b", True, 5, AUCKLAND, None)]
+    rows = [(1, "a", True, 5, REGION_WIDE, None), (2, "b", True, 5, REGION_WIDE, None)]
     assert co.broadest_scopes(spark.createDataFrame(rows, DDL)).count() == 2
 
 
 def test_success_reaches_covered_scopes_and_only_forward(spark):
     newer = moment("2026-05-02T09:59:00")
-    stored = scopes(spark, {"auckland_central": newer}, disabled=("north_shore_city",))
+    stored = scopes(spark, {"dunedin_town": newer}, disabled=("clutha_coast",))
     runs = spark.createDataFrame(
-        [("auckland_region", "success", moment("2026-05-02T09:00:00")), ("auckland_region", "success", moment("2026-05-02T08:00:00")),
-         ("all_nz", "failed", moment("2026-05-02T09:30:00"))],
+        [("otago_wide", "success", moment("2026-05-02T09:00:00")), ("otago_wide", "success", moment("2026-05-02T08:00:00")),
+         ("everywhere", "failed", moment("2026-05-02T09:30:00"))],
         "scope_name string, status string, finished_at timestamp_ntz",
     )
     got = {r.name: r.last_success_at for r in co.advance_scopes(stored, runs).collect()}
-    assert got == {"auckland_central": newer, "north_shore_city": None, "auckland_region": moment("2026-05-02T09:00:00"),
-                   "north_island": None, "all_nz": None}
+    assert got == {"dunedin_town": newer, "clutha_coast": None, "otago_wide": moment("2026-05-02T09:00:00"),
+                   "south_part": None, "everywhere": None}
     own = {r.name: r.last_success_at for r in co.advance_scopes(stored, runs, covered_too=False).collect()}
-    assert own["auckland_region"] == moment("2026-05-02T09:00:00") and own["north_island"] is None
+    assert own["otago_wide"] == moment("2026-05-02T09:00:00") and own["south_part"] is None
 
 
 def test_map_containment(spark):
-    rows = spark.createDataFrame([(AUCKLAND, {"state": "north-island"}), (AUCKLAND, {}), ({}, AUCKLAND), ({"a": "1"}, {"a": "2"})],
+    rows = spark.createDataFrame([(REGION_WIDE, {"state": "south-island"}), (REGION_WIDE, {}), ({}, REGION_WIDE), ({"a": "1"}, {"a": "2"})],
                                  "whole map<string,string>, part map<string,string>")
     assert [r[0] for r in rows.select(maps.map_contains(F.col("whole"), F.col("part"))).collect()] == [True, True, False, False]
 
@@ -110,7 +110,7 @@ def test_location_dimension(spark, locations):
 @pytest.mark.parametrize(
     "site_filter,error",
     [
-        (CENTRAL, None), ({}, None), ({"sitlengths": "62"}, None), ({"state": "east"}, "unknown state"), ({"region": "narnia"}, "unknown region"),
+        (TOWN, None), ({}, None), ({"sitlengths": "62"}, None), ({"state": "east"}, "unknown state"), ({"region": "narnia"}, "unknown region"),
         ({"state": "south-island", "region": "auckland"}, "region outside state"), ({"subregion": "rodney"}, "subregion without region"),
         ({"region": "auckland", "subregion": "napier"}, "unknown subregion"), ({"sitlengths": "65"}, "unknown sit length"),
     ],
@@ -143,7 +143,7 @@ def test_split_plan_equals_recursion(spark):
 
 
 def test_overlapping_leaves(spark):
-    rows = [("c", "a", AUCKLAND), ("c", "b", CENTRAL), ("c", "w", {"state": "north-island", "region": "waikato"}), ("d", "x", CENTRAL)]
+    rows = [("c", "a", REGION_WIDE), ("c", "b", TOWN), ("c", "w", {"state": "north-island", "region": "waikato"}), ("d", "x", TOWN)]
     leaves = spark.createDataFrame(rows, "campaign_id string, leaf_key string, site_filter map<string,string>")
     assert [tuple(r) for r in co.overlapping_leaves(leaves).collect()] == [("c", "b", "a")]
 
@@ -159,7 +159,7 @@ def test_payload_latest_wins_later_leaf_on_ties(spark):
 def test_clear_payload_and_children(spark):
     leaves = spark.createDataFrame([("c", ["x"]), ("d", ["y"])], "campaign_id string, listings array<string>")
     assert {r.campaign_id: r.listings for r in ca.clear_payload(leaves, "c").collect()} == {"c": [], "d": ["y"]}
-    parents = spark.createDataFrame([(AUCKLAND,)], "site_filter map<string,string>")
+    parents = spark.createDataFrame([(REGION_WIDE,)], "site_filter map<string,string>")
     children = parents.select(maps.canonical(F.col("site_filter")).alias("parent")).withColumn("slug", F.lit("rodney"))
     child = ca.child_filters(parents, children, level="subregion").first()
-    assert child.site_filter == {**AUCKLAND, "subregion": "rodney"}
+    assert child.site_filter == {**REGION_WIDE, "subregion": "rodney"}
