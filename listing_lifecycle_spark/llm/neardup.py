@@ -8,7 +8,7 @@ start, so copies cost nothing.
 
 A region with more rows than a row has neighbours may hold links that the sorted order did not show.  There, in blocks,
 the rows outside the region's largest component are compared with all of its rows, and what is not yet in one component
-is confirmed too.  So every pair with a common prefix of ``LEAST`` hashes is either confirmed or in one component.
+is confirmed too.  Shingles that no other candidate has can't be common, which rules most of such pairs out first.  So every pair with a common prefix of ``LEAST`` hashes is either confirmed or in one component.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from listing_lifecycle_spark.llm.shingles import digest, minimum_hashes, shared,
 
 TREES = 16
 DEPTH = 6  # hashes of each tree
+WIDTH = 2  # bytes of a hash; marks keep 4 bits of it
 LEAST = 3  # hashes that candidates share at least
 NEIGHBOURS = 16  # rows before a row, in sorted order, that it is compared with
 BLOCK = 1024  # rows of a large region that are compared at once with as many others
@@ -38,8 +39,8 @@ SIGMAS = 4.6  # how far below the threshold an estimate may lie
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         value, offsets = shingle_sets(batch.column(1), width)
-        minima = minimum_hashes(value, offsets, TREES * DEPTH)
-        signature, marks = minima.astype(">u4"), (minima & 0xFF).astype(np.uint8)
+        minima = minimum_hashes(value, offsets, TREES * DEPTH) & 0xFFFF
+        signature, marks = minima.astype(">u2"), (minima[:, ::2] & 15 | (minima[:, 1::2] & 15) << 4).astype(np.uint8)
         names = [digest(value[a:b]) if b > a else None for a, b in zip(offsets, offsets[1:])]
         columns = [batch.column(0), pa.array(np.diff(offsets)), pa.array(names, pa.binary()), *[pa.array([x.tobytes() for x in m], pa.binary()) for m in (signature, marks)]]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature", "marks"])
@@ -54,8 +55,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def least_alike(part: int, whole: int) -> float:
-    """The share of equal signature hashes below which a pair can't be as similar as ``part`` / ``whole``."""
-    return max(0.0, part / whole - SIGMAS * float(np.sqrt(part / whole * (1 - part / whole) / (TREES * DEPTH))))
+    """The share of equal marks below which a pair can't be as similar as ``part`` / ``whole``."""
+    equal = part / whole + (1 - part / whole) / 16
+    return max(0.0, equal - SIGMAS * float(np.sqrt(equal * (1 - equal) / (TREES * DEPTH))))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -65,8 +67,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Ite
         if not batch.num_rows:
             continue
         ids, n, tree = (batch.column(i).to_numpy() for i in (0, 1, 2))
-        key = np.frombuffer(b"".join(x[: 4 * LEAST] for x in batch.column(3).to_pylist()), f"V{4 * LEAST}")
-        marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        key = np.frombuffer(b"".join(x[: WIDTH * LEAST] for x in batch.column(3).to_pylist()), f"V{WIDTH * LEAST}")
+        marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH // 2)
         own = [ids, n, tree, key, marks]
         if before is not None:
             own = [np.concatenate([a, b]) for a, b in zip(before, own)]
@@ -77,7 +79,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Ite
             at = at[(tree[at] == tree[at - lag]) & (key[at] == key[at - lag])]
             small, large = np.minimum(n[at], n[at - lag]), np.maximum(n[at], n[at - lag])
             at = at[whole * small >= part * large]
-            alike = (marks[at] == marks[at - lag]).mean(axis=1) if len(at) else np.zeros(0)
+            odd = marks[at] ^ marks[at - lag]
+            alike = (((odd & 15) == 0).sum(axis=1) + ((odd >> 4) == 0).sum(axis=1)) / (TREES * DEPTH)
             at, alike = at[alike >= least], alike[alike >= least]
             if len(at):
                 a, b = ids[at], ids[at - lag]
@@ -100,31 +103,30 @@ def few(rows: DataFrame, bound: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
 
 
-def forest_rows(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: class, n, tree, key, marks, and the region that keeps neighbours together."""
-    marks = F.col("marks")
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("class", "n", "signature", "marks", tree.alias("tree"))
-    rows = rows.select("class", "n", "tree", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key"), marks)
-    region = F.substring("key", 1, 4 * LEAST)
-    for depth in range(LEAST, DEPTH):
-        # Regions that are still too large go one step deeper; there are at most rows / HOT of them.
-        narrow = rows.select("tree", F.substring("key", 1, 4 * depth).alias("hot"))
-        hot = narrow.groupBy("tree", "hot").count().where(F.col("count") > HOT).select("tree", "hot")
-        hot = stored(hot, "regions")
-        if not hot.limit(1).count():
+def tree_rows(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each class and tree: class, n, tree, prefix, key and ``more`` columns of ``classes``."""
+    rows = classes.select("class", "n", "signature", *more, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    key = F.expr(f"substring(signature, tree * {WIDTH * DEPTH} + 1, {WIDTH * DEPTH})")
+    return rows.withColumn("key", key).withColumn("prefix", F.substring("key", 1, WIDTH * LEAST))
+
+
+def with_regions(rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """``rows`` with the prefix that keeps a region together: of ``LEAST`` hashes, deeper where more than ``HOT`` rows meet."""
+    rows, hot = rows.withColumn("region", F.col("prefix")), crowds.where(F.col("size") > HOT).select("tree", F.col("prefix").alias("region"))
+    for depth in range(LEAST + 1, DEPTH + 1):
+        if not hot.limit(1).count():  # there are at most rows / HOT hot regions
             break
-        key = F.substring("key", 1, 4 * depth)
-        rows = rows.withColumn("hot", key).join(few(hot).withColumn("is_hot", F.lit(True)), ["tree", "hot"], "left").drop("hot")
-        region = F.when(F.col("is_hot"), F.substring("key", 1, 4 * (depth + 1))).otherwise(region)
-        rows = rows.withColumn("region", region).drop("is_hot")
-        region = F.col("region")
-    return rows.withColumn("region", region)
+        rows = rows.join(few(hot).withColumn("hot", F.lit(True)), ["tree", "region"], "left")
+        rows = rows.withColumn("region", F.when(F.col("hot"), F.substring("key", 1, WIDTH * depth)).otherwise(F.col("region"))).drop("hot")
+        deeper = rows.where(F.octet_length("region") == WIDTH * depth).groupBy("tree", "region").count()
+        hot = stored(deeper.where(F.col("count") > HOT).select("tree", "region"), "regions")
+    return rows
 
 
-def candidates(classes: DataFrame, part: int, whole: int) -> DataFrame:
-    """a, b, alike: pairs of classes that are neighbours in a tree and whose signatures allow the similarity."""
-    rows = forest_rows(classes).repartition("tree", "region").sortWithinPartitions("tree", "key", "class")
+def candidates(classes: DataFrame, crowds: DataFrame, part: int, whole: int) -> DataFrame:
+    """a, b, alike: pairs of classes that are neighbours in a tree and whose marks allow the similarity."""
+    rows = with_regions(tree_rows(classes, "marks").drop("signature"), crowds).drop("prefix")
+    rows = rows.repartition("tree", "region").sortWithinPartitions("tree", "key", "class")
     found = rows.select("class", "n", "tree", "key", "marks").mapInArrow(partial(_neighbours, part=part, whole=whole), "a bigint, b bigint, alike double")
     return found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
@@ -166,41 +168,72 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(tops, "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            own = batch.slice(begin, 256)
+            sets = [np.frombuffer(x, np.uint64) for x in own.column(1).to_pylist()]
+            shingle = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.column(0).to_numpy(), [len(x) for x in sets])), pa.array(shingle)], ["class", "shingle"])
+
+
+def shareable(sets: DataFrame) -> DataFrame:
+    """class, n, s: size of each set, and how many of its shingles any other set has (or may have, by half its hash)."""
+    rows = sets.select("class", "shingles").mapInArrow(_shingle_rows, "class bigint, shingle int")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("class").alias("class")).where("times = 1")
+    rare = alone.groupBy("class").agg(F.count(F.lit(1)).alias("rare"))
+    n = sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    return n.join(rare, "class", "left").select("class", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("s"))
+
+
+def reachable(pairs: DataFrame, sizes: DataFrame, part: int, whole: int) -> DataFrame:
+    """The pairs whose common shingles, at most those that others have, can be enough."""
+    for end in ("a", "b"):
+        pairs = pairs.join(few(sizes.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.col("s").alias(f"s_{end}"))), end)
+    most = F.least("s_a", "s_b")
+    return pairs.where(whole * most >= part * (F.col("n_a") + F.col("n_b") - most)).select("a", "b", "alike")
+
+
 def _tile(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
-    """Pairs of a block of outer rows and a block of a region's rows that are not in one component yet."""
+    """Pairs of a block of outer rows and a block of a region's rows that are not in one component yet and may be linked.
+
+    A pair that meets in an earlier tree is left to that tree.
+    """
     schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_alike(part, whole)
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
-    marks = [np.frombuffer(b"".join(t.column(f"{side}_marks").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for side, t in (("outer", left), ("row", right))]
-    (ids, label, n), (ids_r, label_r, n_r) = ([t.column(f"{side}_{c}").to_numpy() for c in ("class", "label", "n")] for side, t in (("outer", left), ("row", right)))
+    tree = left.column("outer_tree")[0].as_py()
+    sides = (("outer", left), ("row", right))
+    signs = [np.frombuffer(b"".join(t.column(f"{side}_signature").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH) for side, t in sides]
+    (ids, label, n, s), (ids_r, label_r, n_r, s_r) = ([t.column(f"{side}_{c}").to_numpy() for c in ("class", "label", "n", "s")] for side, t in sides)
     a, b = [], []
     for i in range(len(ids)):
-        at = np.flatnonzero((label_r != label[i]) & (whole * np.minimum(n[i], n_r) >= part * np.maximum(n[i], n_r)))
-        at = at[(marks[1][at] == marks[0][i]).mean(axis=1) >= least] if len(at) else at
-        a.append(np.minimum(ids[i], ids_r[at]))
-        b.append(np.maximum(ids[i], ids_r[at]))
+        most = np.where((s_r >= 0) & (s[i] >= 0), np.minimum(s_r, s[i]), np.minimum(n_r, n[i]))
+        at = np.flatnonzero((label_r != label[i]) & (whole * most >= part * (n_r + n[i] - most)))
+        same = signs[1][at] == signs[0][i]
+        fine = (same.mean(axis=(1, 2)) >= least) & ~same[:, :tree, :LEAST].all(axis=2).any(axis=1) if len(at) else np.zeros(0, bool)
+        a.append(np.minimum(ids[i], ids_r[at[fine]]))
+        b.append(np.maximum(ids[i], ids_r[at[fine]]))
     return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
 
 
-def crowded(classes: DataFrame, labels: DataFrame, part: int, whole: int) -> DataFrame:
+def crowded(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: DataFrame, part: int, whole: int) -> DataFrame:
     """a, b: pairs in regions with more rows than a row has neighbours that are not in one component."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    own = labels.select(F.col("id").alias("class"), "label")
-    rows = classes.join(own, "class", "left").select("class", F.coalesce("label", "class").alias("label"), "n", "signature", "marks", tree.alias("tree"))
-    rows = rows.select("class", "label", "n", "marks", "tree", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * LEAST})").alias("prefix"))
     keys = ["tree", "prefix"]
+    rows = tree_rows(classes).drop("key").join(few(crowds), keys)
+    own = few(labels.select(F.col("id").alias("class"), "label"))
+    rows = rows.join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    rows = rows.join(few(sizes.select("class", "s")), "class", "left").withColumn("s", F.coalesce("s", F.lit(-1)))
     narrow = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("of_label"))
-    top = F.max(F.struct("of_label", "label")).alias("top")
-    regions = narrow.groupBy(*keys).agg(F.sum("of_label").alias("size"), F.count(F.lit(1)).alias("labels"), top)
-    regions = stored(regions.where((F.col("size") > NEIGHBOURS + 1) & (F.col("labels") > 1)), "crowded")
+    regions = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("of_label", "label")).alias("top"))
+    regions = stored(regions.where("labels > 1").select(*keys, "top"), "regions")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
-    sizes = regions.select(*keys, F.col("top.label").alias("main"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("top.of_label")).alias("outers"))
-    rows = rows.join(few(sizes), keys)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    deal = lambda n: F.pmod(F.xxhash64("class"), n)
-    name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "marks", "tree", "prefix")]
-    outer = rows.where("label <> main").select(*name("outer"), deal(F.col("outers")).alias("outer_place"), each(F.col("blocks")).alias("outer_block"))
-    every = rows.select(*name("row"), each(F.col("outers")).alias("row_place"), deal(F.col("blocks")).alias("row_block"))
+    rows = rows.join(few(regions), keys).withColumn("blocks", blocks(F.col("size"))).withColumn("outers", blocks(F.col("size") - F.col("top.of_label")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
+    name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "s", "signature", "tree", "prefix")]
+    outer = rows.where("label <> top.label").select(*name("outer"), deal("outers").alias("outer_place"), each("blocks").alias("outer_block"))
+    every = rows.select(*name("row"), each("outers").alias("row_place"), deal("blocks").alias("row_block"))
     tile = lambda t, side: t.groupBy(*[f"{side}_{c}" for c in ("tree", "prefix", "place", "block")])
     return tile(outer, "outer").cogroup(tile(every, "row")).applyInArrow(partial(_tile, part=part, whole=whole), "a long, b long").distinct()
 
@@ -234,15 +267,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     classes = filled.groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     one = filled.select(F.col("row").alias("class"), F.col("n_shingles").alias("n"), "signature", "marks", "digest", "doc_id")
     classes = stored(classes, "classes")
-    own = one.join(classes.select("class"), "class")
-    pairs = stored(candidates(own, part, whole), "pairs")
+    own = stored(one.drop("digest", "doc_id").join(classes.select("class"), "class"), "signatures")
+    counts = tree_rows(own).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size"))
+    crowds = stored(counts.where(F.col("size") > NEIGHBOURS + 1), "crowds")
+    pairs = stored(candidates(own, crowds, part, whole), "pairs")
     sets = sets_of(read, one, ends_of(pairs), width)
+    sizes = stored(shareable(sets), "sizes")
+    pairs = stored(reachable(pairs, sizes, part, whole), "pairs")
     first = stored(linked(best_of(pairs), sets, part, whole), "links")
     labels = merged(first.limit(0).select(F.col("a").alias("id"), F.col("b").alias("label")), first)
     # Pairs inside a component can change nothing; all others are confirmed, so no link between components is missed.
     rest = with_labels(pairs.join(best_of(pairs), ["a", "b"], "left_anti"), labels).where("label_a <> label_b")
     labels = merged(labels, stored(linked(rest, sets, part, whole), "links"))
-    rest = stored(crowded(own, labels, part, whole).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(crowded(own, crowds, sizes, labels, part, whole).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = ends_of(rest).join(sets, "class", "left_anti")
     if more.limit(1).count():
         sets = sets.union(sets_of(read, one, more, width))
