@@ -203,6 +203,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["word", "times"])
 
 
+def most_frequent(counts: DataFrame, bound: int) -> list:
+    """The most frequent words, at most ``bound``, with their counts.
+
+    Words are counted by band of frequency (a few hundred bands, whatever the size); whole bands are taken from the top
+    while they fit, so no more than ``bound`` words reach the driver from all tasks together.
+    """
+    band = F.floor(F.log2("times") * 8).cast("int")
+    bands = sorted(((r.band, r.n) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for number, n in bands:
+        if total + n > bound:
+            break
+        least, total = number, total + n
+    rows = [] if least is None else counts.where(band >= least).collect()
+    return sorted(rows, key=lambda r: (-r.times, r.word))
+
+
 def start(top: list[tuple[str, int]], texts: int, tokens: int, types: int, once: int) -> Model:
     """The model of the counts alone, before any training."""
     counts = np.array([texts, *[n for _, n in top]], np.int64)
@@ -263,7 +280,7 @@ def score(docs: DataFrame, trained_on: Column, rounds: int = 2, rate: float = 0.
     counts = stored(counted.groupBy("word").agg(F.sum("times").alias("times")), "counts")
     ends = texts.count()
     total = counts.agg(F.sum("times").alias("tokens"), F.count(F.lit(1)).alias("types"), F.count(F.when(F.col("times") == 1, 1)).alias("once")).first()
-    top = counts.orderBy(F.desc("times"), "word").limit(SHARED).collect()
+    top = most_frequent(counts, SHARED)
     tokens, types = (total.tokens or 0) + ends, total.types + (ends > 0)
     model = start([(r.word, r.times) for r in top], ends, tokens, types, total.once)
     model = trained(model, texts, rounds, rate)

@@ -27,7 +27,7 @@ def plain_base(rows, trained_on):
 
 
 def test_base_scores(spark, texts_table, monkeypatch):
-    monkeypatch.setattr(lm, "SHARED", 3)  # most words go through the join
+    monkeypatch.setattr(lm, "SHARED", 6)  # most words go through the join
     rows = ODD + [(20 + i, f"the cat {i} sat on The mat w{i % 3} end{i}") for i in range(40)]
     got = lm.score(texts_table(rows), F.col("doc_id") % 5 != 1).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == plain_base(rows, lambda i: i % 5 != 1)
@@ -37,6 +37,14 @@ def test_base_scores(spark, texts_table, monkeypatch):
     assert len(untrained) == len(ODD) and {r.n_known for r in untrained} == {0} and {r.train_tokens for r in untrained} == {0}
 
 
+def test_the_most_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", max(1, 1000 // (i + 1))) for i in range(500)], "word string, times bigint")
+    for bound in (0, 3, 40, 499, 500):
+        got = lm.most_frequent(counts, bound)
+        assert len(got) <= bound and [r.word for r in got] == [f"w{i}" for i in range(len(got))]
+    assert len(lm.most_frequent(counts, 500)) == 500 and len(lm.most_frequent(counts, 40)) > 20
+
+
 def small_model():
     r = np.random.default_rng(1)
     top = [(f"w{i}", 500 // (i + 1) + 1) for i in range(400)]
