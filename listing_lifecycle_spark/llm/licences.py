@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from listing_lifecycle_spark.llm.arrow_text import mix, slices, spread, words
 from listing_lifecycle_spark.llm.licence_texts import TEMPLATES
+from listing_lifecycle_spark.llm.rules import least_hashes
 
 WINDOW, STRIDE = 24, 12
 BITS = 14
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, ep
     there, and 0.5 at least.
     """
     random = np.random.default_rng(seed)
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    chosen = least_hashes(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), sample, 3)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     found = texts.mapInArrow(partial(_negatives, each=each), "doc_id bigint, place bigint, tokens array<int>").dropDuplicates(["doc_id", "place"]).orderBy("doc_id", "place").collect()
     unknown = [r.tokens for r in found if max(agreement(r.tokens, f) for f in FAMILIES[1:]) < ALIKE]
