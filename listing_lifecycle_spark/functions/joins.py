@@ -1,39 +1,21 @@
-"""Joins of a large side with a side that is expected, but not known, to be small."""
+"""Joins with a dimension, and the latest row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side of at most this many rows is sent to every executor.
-BROADCAST_ROWS = 20_000
-# Beyond it, hot keys of the large side are spread over this many slices.
-SALT_SLICES = 32
 
+def join_dimension(large: DataFrame, small: DataFrame, on: list[str], *, spread_by: str, slices: int = 1) -> DataFrame:
+    """Inner equality join of a large side with one that is expected, but not known, to be small.
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(
-    large: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    *,
-    spread_by: str,
-    max_rows: int = BROADCAST_ROWS,
-    slices: int = SALT_SLICES,
-) -> DataFrame:
-    """Inner equality join that never puts a hot key into one task.
-
-    The side ``small`` is broadcast if its size is within bounds.  Otherwise the
-    large side is cut into slices by a hash of ``spread_by`` and the other side
-    is repeated once per slice, so that a key with a third of all rows is
-    handled by ``slices`` tasks.
+    No job is run and no hint is given: sizes at run time decide between a
+    broadcast and a shuffle, and adaptive execution splits hot keys of a shuffle.
+    Where that is off, ``slices`` cuts the large side by a hash of ``spread_by``
+    and repeats the other side, so that a hot key is handled by so many tasks.
     """
-    if is_small(small, max_rows):
-        return large.join(F.broadcast(small), on, "inner")
+    if slices <= 1:
+        return large.join(small, on, "inner")
     cut = large.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int"))
     repeated = small.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return cut.join(repeated, [*on, "_slice"], "inner").drop("_slice")

@@ -95,17 +95,19 @@ def missing_evidence(state: DataFrame, leaves: DataFrame, seen: DataFrame) -> Da
 
     ``leaves`` carries the labels of its area and ``completed_at``; ``seen`` is
     (leaf_key, external_id).  A sighting after the leaf was read outweighs it.
-    Leaves name a region, which is the equality key; areas are disjoint, so a
-    listing meets one leaf.
+    A leaf names a region or a subregion of it, which is its key; a listing offers
+    both of its own.  Areas are disjoint, so a listing meets one leaf.
     """
-    places = leaves.select(
-        "leaf_key", "completed_at", "want_island", "want_subregion", F.col("want_region").alias("region")
-    )
-    open_listings = state.where(F.col("status").isin("active", "missing_once")).select(
-        "external_id", "island", "region", "subregion", "last_seen_at"
+    narrow = lambda region, subregion: F.concat_ws("\x1f", region, subregion)
+    subregion = F.col("want_subregion")
+    place = F.when(subregion.isNotNull(), narrow("want_region", "want_subregion")).otherwise(F.col("want_region"))
+    places = leaves.select("leaf_key", "completed_at", "want_island", "want_subregion", place.alias("_place"))
+    own = F.array_compact(F.array("region", F.when(F.col("subregion").isNotNull(), narrow("region", "subregion"))))
+    open_listings = state.where(F.col("status").isin("active", "missing_once") & F.col("region").isNotNull()).select(
+        "external_id", "island", "region", "subregion", "last_seen_at", F.explode(own).alias("_place")
     )
     inside = covered_by(F.col("want_island"), F.lit(None).cast("string"), F.col("want_subregion"))
-    candidates = join_dimension(open_listings, places, ["region"], spread_by="external_id").where(
+    candidates = join_dimension(open_listings, places, ["_place"], spread_by="external_id").where(
         inside & (F.col("last_seen_at") <= F.col("completed_at"))
     )
     absent = candidates.join(seen.select("leaf_key", "external_id"), ["leaf_key", "external_id"], "left_anti")

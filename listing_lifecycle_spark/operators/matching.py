@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lifecycle_spark import fixed_values as fv
-from listing_lifecycle_spark.functions.joins import BROADCAST_ROWS, join_dimension
+from listing_lifecycle_spark.functions.joins import join_dimension
 from listing_lifecycle_spark.functions.text import fold_case
 from listing_lifecycle_spark.operators.lifecycle import covered_by
 from listing_lifecycle_spark.sources.rules import resolved_rules
@@ -119,7 +119,7 @@ def _place_key(level: str, *labels: Column) -> Column:
     return F.concat(*parts)
 
 
-def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1) -> DataFrame:
     """Every listing with every enabled rule it satisfies.
 
     A rule names a subregion, a region, a state or no place, so it has one place
@@ -146,7 +146,7 @@ def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *,
     )
     # The text is put together once per listing, below the explode.
     keyed = listings.withColumn("_words", searched_text()).withColumn("_place", F.explode(places))
-    met = join_dimension(keyed, keyed_rules, ["_place"], spread_by="external_id", max_rows=max_broadcast)
+    met = join_dimension(keyed, keyed_rules, ["_place"], spread_by="external_id", slices=slices)
     return met.where(site_rule_holds() & local_rule_holds(F.col("_words"))).drop("_place", "_words")
 
 

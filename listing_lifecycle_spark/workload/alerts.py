@@ -91,7 +91,7 @@ def match_counts_many_rules(t):
             ),
         }
     ).drop("_one")
-    found = ma.match_rules(t.listings, many, t.locations, max_broadcast=0)
+    found = ma.match_rules(t.listings, many, t.locations, slices=8)
     return found.groupBy("state_slug", "region_slug", "subregion_slug", "min_days").agg(F.count(F.lit(1)).alias("matched"))
 
 

@@ -69,7 +69,7 @@ def test_sliced_join_equals_broadcast(spark, locations):
                     island="North Island" if i % 7 else None, duration_days=i % 70) for i in range(300)]
     rules = [dict(rule_name=f"r{n}", min_duration_days=n, site_filter=f) for n in (1, 30, 60)
              for f in ({"region": "auckland"},)] + [dict(rule_name="any", min_duration_days=10), dict(rule_name="s", site_filter=RULE["site_filter"])]
-    assert matched(spark, locations, rows, rules) == matched(spark, locations, rows, rules, max_broadcast=0)
+    assert matched(spark, locations, rows, rules) == matched(spark, locations, rows, rules, slices=5)
 
 
 def test_stable_hash_counts_nulls(spark):
