@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from listing_lifecycle_spark import fixed_values as fv
+from listing_lifecycle_spark.operators import lifecycle
+from listing_lifecycle_spark.plans.persist import EVENT_LOG_TYPES
 from listing_lifecycle_spark.session import shared_folder
+from listing_lifecycle_spark.sources.rules import make_rules
+from listing_lifecycle_spark.sources.tables import write_csv
 from listing_lifecycle_spark.sources.versions import VersionedTables
-from listing_lifecycle_spark.streaming import periods, state
+from listing_lifecycle_spark.streaming import periods, runs, state
 from listing_lifecycle_spark.workload.catalog import query
 
 
@@ -96,3 +102,72 @@ def streamed_week_counts(t):
 )
 def streamed_month_counts(t):
     return streamed_counts(t, "month")
+
+
+@query(
+    "committed_versions", "SNK1 SNK4",
+    """SELECT event_id, 'log' AS part FROM events UNION ALL SELECT event_id, 'kept' FROM events WHERE event_id % 3 = 0
+      UNION ALL SELECT event_id, 'replaced' FROM events WHERE event_id % 3 = 2""",
+)
+def committed_versions(t):
+    """Three commits: a table that only the first writes, a table that each replaces, and a log that grows."""
+    tables = VersionedTables(t.spark, f"{shared_folder(t.spark)}/tables-{uuid.uuid4().hex}")
+    for n in range(3):
+        rows = t.table("events").where(F.col("event_id") % 3 == n).select("event_id")
+        for _ in range(2):  # a repeated batch is not committed again
+            if not tables.has_batch(f"batch-{n}"):
+                tables.commit({"replaced": rows, **({"kept": rows} if n == 0 else {})}, logs={"log": rows}, batch_key=f"batch-{n}")
+    parts = [tables.read_log("log"), tables.read("kept"), tables.read("replaced")]
+    named = [rows.select("event_id", F.lit(name).alias("part")) for rows, name in zip(parts, ("log", "kept", "replaced"))]
+    return named[0].union(named[1]).union(named[2])
+
+
+@query(
+    "exported_rows", "SNK2",
+    "SELECT event_id, event_type, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",
+)
+def exported_rows(t):
+    """Rows written as CSV and read again."""
+    folder = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    rows = t.table("events").select("event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    write_csv(rows, folder)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return t.spark.read.schema(kinds).option("header", True).csv(folder)
+
+
+@query(
+    "streamed_runs", "STM3 STM4 SNK3 UPS4",
+    """WITH u AS (SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM events),
+      runs AS (SELECT week, row_number() OVER (ORDER BY week) AS run FROM (SELECT DISTINCT week FROM u)),
+      seen AS (SELECT DISTINCT user_id, run FROM u JOIN runs USING (week)), last AS (SELECT user_id, min(run) AS first_run, max(run) AS last_run FROM seen GROUP BY user_id)
+      SELECT CAST(user_id AS VARCHAR) AS external_id, CAST(first_run AS BIGINT) AS first_seen_run_id, CAST(last_run AS BIGINT) AS last_seen_run_id,
+        CAST(least((SELECT max(run) FROM runs) - last_run, 2) AS INTEGER) AS missing_count FROM last""",
+)
+def streamed_runs(t):
+    """Users as listings, weeks as runs: a stream of sightings with a control row that completes each week."""
+    week = F.to_date(F.date_trunc("week", "ts"))
+    weeks = t.table("events").select(week.alias("week")).distinct()
+    numbered = weeks.withColumn("run_id", F.row_number().over(Window.orderBy("week")).cast("bigint"))  # a row per week
+    listing = {name: F.lit(None).cast(kind) for name, kind in fv.LISTING_SCHEMA.items()}
+    listing |= {"external_id": F.col("user_id").cast("string"), "title": F.lit("t"), "region": F.lit("Auckland"), "island": F.lit("North Island")}
+    dated = t.table("events").withColumn("week", week).join(F.broadcast(numbered), "week")
+    seen = dated.select(*[c.alias(n) for n, c in listing.items()], F.col("ts").alias("observed_at"), F.lit("listing").alias("kind"), "run_id", F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    blank = {n: F.lit(None).cast(k) for n, k in fv.LISTING_SCHEMA.items()}
+    done = numbered.select(*[c.alias(n) for n, c in blank.items()], F.lit(None).cast("timestamp_ntz").alias("observed_at"), F.lit("complete").alias("kind"), "run_id",
+                           F.date_add("week", 7).cast("timestamp_ntz").alias("completed_at"))
+    rows = seen.union(done).withColumn("scope_name", F.lit("all"))
+    folder = f"{shared_folder(t.spark)}/runs-{uuid.uuid4().hex}"
+    rows.repartition(3, "run_id").write.parquet(f"{folder}/source")
+    scope_types = "name string, enabled boolean, site_filter map<string,string>, interval_minutes int, missing_threshold_runs int, last_success_at timestamp_ntz"
+    empty = {
+        "state": t.spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in {**fv.LISTING_SCHEMA, **fv.LIFECYCLE_SCHEMA}.items())),
+        "events": t.spark.createDataFrame([], EVENT_LOG_TYPES), "scopes": t.spark.createDataFrame([("all", True, {}, 5, 2, None)], scope_types),
+    }
+    tables = VersionedTables(t.spark, f"{folder}/tables")
+    sink = runs.RunSink(
+        tables, empty, rules=make_rules(t.spark, [{"rule_name": "none", "enabled": False}]), locations=t.locations, listing_columns=list(fv.LISTING_SCHEMA),
+        scope_of=lambda control: lifecycle.RunScope(control["scope_name"], missing_threshold=2),
+    )
+    stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/source")
+    runs.apply_runs(stream, sink, checkpoint=f"{folder}/progress").awaitTermination()
+    return tables.read("state").select("external_id", "first_seen_run_id", "last_seen_run_id", "missing_count")
