@@ -93,15 +93,16 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_minhash_near_dedup",
     r"""
-    WITH RECURSIVE w AS (
+    WITH RECURSIVE w AS MATERIALIZED (
       SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS ws
       FROM documents
-    ), s AS (
-      SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE ws[i : i + 2] END AS g
+    ), s AS MATERIALIZED (
+      SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]) END AS g
       FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)
-    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-    e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    m AS MATERIALIZED (SELECT doc_id, g FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM m AS a JOIN m AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
     r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a),
     c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
