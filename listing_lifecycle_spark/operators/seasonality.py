@@ -102,15 +102,17 @@ def weekly_timeline(facts: DataFrame) -> DataFrame:
 
 
 def fill_weeks(weeks: DataFrame) -> DataFrame:
-    """Add the missing weeks with a count of 0.  The input holds one row per week at most."""
-    scaffold = (
-        weeks.agg(F.min("period_start").alias("lo"), F.max("period_start").alias("hi"))
-        .where(F.col("lo").isNotNull())
-        .select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("period_start"))
-    )
-    return scaffold.join(weeks, "period_start", "left").select(
-        "period_start", F.coalesce("listing_count", F.lit(0)).cast("bigint").alias("listing_count")
-    )
+    """Add the missing weeks with a count of 0.  The input holds one row per week at most.
+
+    Each week writes out those up to the next one, so the input is worked out
+    once (one row per week: a single small window).
+    """
+    following = F.lead("period_start").over(Window.orderBy("period_start"))
+    last = F.greatest(F.coalesce(F.date_sub(following, 7), F.col("period_start")), F.col("period_start"))
+    spans = weeks.select("period_start", "listing_count", last.alias("last"))
+    every = spans.select("listing_count", "period_start", F.explode(F.sequence("period_start", "last", F.expr("interval 7 days"))).alias("week"))
+    count = F.when(F.col("week") == F.col("period_start"), F.col("listing_count")).otherwise(0)
+    return every.select(F.col("week").alias("period_start"), F.coalesce(count, F.lit(0)).cast("bigint").alias("listing_count"))
 
 
 def month_boundaries(timeline: DataFrame) -> DataFrame:
