@@ -29,7 +29,7 @@ TREES = 16
 DEPTH = 6  # hashes of each tree
 WIDTH = 2  # bytes of a hash; marks keep 4 bits of it
 LEAST = 3  # hashes that candidates share at least
-NEIGHBOURS = 16  # rows before a row, in sorted order, that it is compared with
+NEIGHBOURS = 4  # rows before a row, in sorted order, that it is compared with
 BLOCK = 1024  # rows of a large region that are compared at once with as many others
 HOT = 4096  # rows that a region may hold before it is split by a deeper prefix
 SMALL = 500_000  # ids that may be broadcast
