@@ -102,6 +102,7 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, epochs: in
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
             bucket, weight, y = rows[i]
+            bucket = bucket.astype(np.int64)
             part = table[bucket]
             hidden = weight @ part
             logits = hidden @ layer + bias
@@ -127,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None, la
     chosen = sampled_labels(known.where(trained_on) if trained_on is not None else known, sample, label)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     found = texts.mapInArrow(_vectors, "doc_id bigint, buckets binary, weights binary").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    rows = [(np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.weights, np.float32), int(r[label])) for r in found]
+    # Views of what was collected: nothing is copied.
+    rows = [(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.weights, np.float32), int(r[label])) for r in found]
     return descend(rows, dim, epochs, rate, seed)
 
 
