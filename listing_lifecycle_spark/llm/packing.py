@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,11 @@ class WordVocabulary:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab, letters, end = model["vocab"], byte_alphabet(), model["end_of_word_suffix"]
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pairs = Pairs(*zip(*[(vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)]))
         self.byte = np.zeros((2, 256), np.int32)
@@ -50,6 +49,13 @@ class WordVocabulary:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.memory = Memory(self.encode)
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's object, loaded with the first word that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, and how many each has."""
         texts = distinct.to_numpy(zero_copy_only=False)
