@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from listing_lifecycle_spark.session import shared_folder
 
 #: Text handled at once in a task.  One longer text is a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +43,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = SLICE
             end = min(max(end, begin + 1), rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    release()
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on and share a machine with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
