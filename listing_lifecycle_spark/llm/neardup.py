@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import slices, stored
+from listing_lifecycle_spark.llm.arrow_text import release, slices, stored
 from listing_lifecycle_spark.llm.components import components
 from listing_lifecycle_spark.llm.shingles import digest, minimum_hashes, shared, shingle_sets
 
@@ -85,7 +85,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Ite
             if len(at):
                 a, b = ids[at], ids[at - lag]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike)], ["a", "b", "alike"])
-        before = [x[-NEIGHBOURS:] for x in own]
+        before = [x[-NEIGHBOURS:].copy() for x in own]
+    release()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterat
             both = shared(x, y)
             linked.append(whole * both >= part * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    release()
 
 
 def few(rows: DataFrame, bound: int = SMALL) -> DataFrame:
@@ -197,7 +199,7 @@ def reachable(pairs: DataFrame, sizes: DataFrame, part: int, whole: int) -> Data
 def _tile(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
     """Pairs of a block of outer rows and a block of a region's rows that are not in one component yet and may be linked.
 
-    A pair that meets in an earlier tree is left to that tree.
+    A pair that meets in an earlier tree is left to that tree, and of two outer rows the one of less number takes the pair.
     """
     schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_alike(part, whole)
     if not left.num_rows or not right.num_rows:
@@ -206,10 +208,10 @@ def _tile(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
     sides = (("outer", left), ("row", right))
     signs = [np.frombuffer(b"".join(t.column(f"{side}_signature").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH) for side, t in sides]
     (ids, label, n, s), (ids_r, label_r, n_r, s_r) = ([t.column(f"{side}_{c}").to_numpy() for c in ("class", "label", "n", "s")] for side, t in sides)
-    a, b = [], []
+    outer_r, a, b = right.column("row_is_outer").to_numpy(), [], []
     for i in range(len(ids)):
         most = np.where((s_r >= 0) & (s[i] >= 0), np.minimum(s_r, s[i]), np.minimum(n_r, n[i]))
-        at = np.flatnonzero((label_r != label[i]) & (whole * most >= part * (n_r + n[i] - most)))
+        at = np.flatnonzero((label_r != label[i]) & (~outer_r | (ids_r > ids[i])) & (whole * most >= part * (n_r + n[i] - most)))
         same = signs[1][at] == signs[0][i]
         fine = (same.mean(axis=(1, 2)) >= least) & ~same[:, :tree, :LEAST].all(axis=2).any(axis=1) if len(at) else np.zeros(0, bool)
         a.append(np.minimum(ids[i], ids_r[at[fine]]))
@@ -228,11 +230,11 @@ def crowded(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: Dat
     regions = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("of_label", "label")).alias("top"))
     regions = stored(regions.where("labels > 1").select(*keys, "top"), "regions")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
-    rows = rows.join(few(regions), keys).withColumn("blocks", blocks(F.col("size"))).withColumn("outers", blocks(F.col("size") - F.col("top.of_label")))
+    rows = rows.join(few(regions), keys).withColumn("is_outer", F.expr("label <> top.label")).withColumn("blocks", blocks(F.col("size"))).withColumn("outers", blocks(F.col("size") - F.col("top.of_label")))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
-    name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "s", "signature", "tree", "prefix")]
-    outer = rows.where("label <> top.label").select(*name("outer"), deal("outers").alias("outer_place"), each("blocks").alias("outer_block"))
+    name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "s", "is_outer", "signature", "tree", "prefix")]
+    outer = rows.where("is_outer").select(*name("outer"), deal("outers").alias("outer_place"), each("blocks").alias("outer_block"))
     every = rows.select(*name("row"), each("outers").alias("row_place"), deal("blocks").alias("row_block"))
     tile = lambda t, side: t.groupBy(*[f"{side}_{c}" for c in ("tree", "prefix", "place", "block")])
     return tile(outer, "outer").cogroup(tile(every, "row")).applyInArrow(partial(_tile, part=part, whole=whole), "a long, b long").distinct()
