@@ -3,7 +3,8 @@
 Paragraphs (lines) are read in windows of words.  A logistic regression over sparse word n-grams names the licence
 family of a window or the class "unknown"; it is trained on edited licence wordings and on windows of a bounded sample
 of the corpus.  A prediction counts above a probability that held-out unknown windows do not reach, and if the window
-also agrees with a wording of the predicted family.
+also agrees with a wording of the predicted family.  A wording of fewer than ``PAIRS`` word pairs counts as a line of its
+own, word for word, and whatever the probability.
 """
 
 from __future__ import annotations
@@ -57,11 +58,21 @@ def wordings() -> list[tuple[str, frozenset]]:
     return [(family, frozenset(pairs(template_tokens(t)))) for family, texts in sorted(TEMPLATES.items()) for t in texts]
 
 
+@cache
+def short() -> dict[tuple[int, ...], str]:
+    """Families of the wordings that have too few pairs to be told inside other text, by their tokens."""
+    known = {tuple(template_tokens(t)): family for family, texts in sorted(TEMPLATES.items()) for t in texts}
+    return {row: family for row, family in known.items() if len(pairs(row)) < PAIRS}
+
+
 def agreement(row, family: str) -> float:
-    """How far a window agrees with the nearest wording of the family; 0 with fewer than ``PAIRS`` common pairs."""
+    """How far a window agrees with the nearest wording of the family; 0 with fewer than ``PAIRS`` common pairs, unless
+    the window is a short wording and nothing else (so few words are a window only if they are all of a line)."""
+    if short().get(tuple(row)) == family:
+        return 1.0
     own, best = pairs(row), 0.0
     for name, wording in wordings():
-        if name == family and len(both := own & wording) >= min(PAIRS, len(wording)) and both:
+        if name == family and len(both := own & wording) >= PAIRS:
             best = max(best, len(both) / min(len(own), len(wording)))
     return best
 
@@ -98,6 +109,8 @@ class Model:
     def find(self, row) -> tuple[str, float, float] | None:
         """Family, probability and agreement of a window, or nothing."""
         chance = self.chances(row)
+        if family := short().get(tuple(row)):
+            return family, float(chance[FAMILIES.index(family)]), 1.0
         k = int(chance.argmax())
         if k and chance[k] >= self.least and (alike := agreement(row, FAMILIES[k])) >= ALIKE:
             return FAMILIES[k], float(chance[k]), alike
@@ -137,6 +150,8 @@ def _negatives(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.Reco
 def edited(text: str, random: np.random.Generator, other: list[list[int]]) -> list[int]:
     """A licence wording as it may stand in a window: cut, words lost, other words (of the corpus) around it."""
     row = template_tokens(text)
+    if tuple(row) in short():
+        return row
     if len(row) > 10 and random.random() < 0.5:
         size = int(random.integers(10, len(row) + 1))
         begin = int(random.integers(0, len(row) - size + 1))

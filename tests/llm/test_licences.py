@@ -55,3 +55,17 @@ def test_odd_rows(spark, texts_table, model):
     assert found == [(0, "CC-BY-NC", 1), (70, "MIT", 0), (70, "MIT", 0)]
     assert L.scan(texts_table([]), model).count() == 0
     assert L.scan(texts_table(rows), L.fit(texts_table([]))).count() >= 0
+
+
+def test_every_notice_of_the_documents_is_found(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '(?i)licensed|released|rights reserved'")
+    family = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache"}
+    want = {(r.doc_id, i, family[line]) for r in docs.collect() for i, line in enumerate(r.text.split("\n")) if line in family}
+    assert {f for *_, f in want} == set(family.values())
+    assert {(x.doc_id, x.paragraph, x.family) for x in L.scan(docs, model).collect()} == want
+
+
+def test_a_short_notice_is_a_whole_line(spark, texts_table, model):
+    found = L.scan(texts_table([(1, "x\nALL RIGHTS RESERVED\ny"), (2, "they have all rights reserved for others"), (3, "all rights"), (4, "All rights reserved.")]), model).collect()
+    assert sorted((x.doc_id, x.family, x.paragraph) for x in found) == [(1, "Proprietary", 1), (4, "Proprietary", 0)]
+    assert L.agreement(L.template_tokens("All rights reserved."), "Proprietary") == 1
