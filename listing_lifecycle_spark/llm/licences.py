@@ -29,6 +29,8 @@ BITS = 14
 FAMILIES = ["unknown", *sorted(TEMPLATES)]
 #: Share of the shorter side's word pairs that a window and a wording have in common, at least, and their number.
 ALIKE, PAIRS = 0.6, 3
+#: Words of the wordings that any text has; a pair with another word of theirs hints at a licence.
+COMMON = frozenset("a above all an and any are as at be by can either except for from has have if in into is it its may no nor not of on or other shall that the their they this to under use with without you your".split())
 
 
 @cache
@@ -58,6 +60,20 @@ def wordings() -> list[tuple[str, frozenset]]:
     return [(family, frozenset(pairs(template_tokens(t)))) for family, texts in sorted(TEMPLATES.items()) for t in texts]
 
 
+@cache
+def pair_table(telling: bool = False) -> np.ndarray:
+    """Whether a wording has the pair, by the numbers of its words; with ``telling``, those of two common words left out."""
+    size = len(vocabulary()) + 1
+    table = np.zeros((size, size), bool)
+    for _, wording in wordings():
+        for a, b in wording:
+            table[a, b] = True
+    if telling:
+        common = np.array([True, *[w in COMMON for w in vocabulary().to_pylist()]])
+        table &= ~(common[:, None] & common)
+    return table
+
+
 @cache
 def short() -> dict[tuple[int, ...], str]:
     """Families of the wordings that have too few pairs to be told inside other text, by their tokens."""
@@ -68,12 +84,17 @@ def short() -> dict[tuple[int, ...], str]:
 def agreement(row, family: str) -> float:
     """How far a window agrees with the nearest wording of the family; 0 with fewer than ``PAIRS`` common pairs, unless
     the window is a short wording and nothing else (so few words are a window only if they are all of a line)."""
-    if short().get(tuple(row)) == family:
-        return 1.0
-    own, best = pairs(row), 0.0
+    return agreements(row).get(family, 0.0)
+
+
+def agreements(row) -> dict[str, float]:
+    """:func:`agreement` by family, those without any left out."""
+    own, best = pairs(row), {}
     for name, wording in wordings():
-        if name == family and len(both := own & wording) >= PAIRS:
-            best = max(best, len(both) / min(len(own), len(wording)))
+        if len(both := own & wording) >= PAIRS:
+            best[name] = max(best.get(name, 0.0), len(both) / min(len(own), len(wording)))
+    if family := short().get(tuple(row)):
+        best[family] = 1.0
     return best
 
 
@@ -93,7 +114,7 @@ def buckets(row) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by bucket and family, biases, the least probability, and the words that no licence goes without."""
+    """Weights by bucket and family, biases, the least probability, and the pairs of words that wordings have."""
 
     weights: np.ndarray
     bias: np.ndarray
@@ -108,12 +129,15 @@ class Model:
 
     def find(self, row) -> tuple[str, float, float] | None:
         """Family, probability and agreement of a window, or nothing."""
-        chance = self.chances(row)
         if family := short().get(tuple(row)):
-            return family, float(chance[FAMILIES.index(family)]), 1.0
+            return family, float(self.chances(row)[FAMILIES.index(family)]), 1.0
+        alike = agreements(row)
+        if max(alike.values(), default=0.0) < ALIKE:
+            return None
+        chance = self.chances(row)
         k = int(chance.argmax())
-        if k and chance[k] >= self.least and (alike := agreement(row, FAMILIES[k])) >= ALIKE:
-            return FAMILIES[k], float(chance[k]), alike
+        if k and chance[k] >= self.least and alike.get(FAMILIES[k], 0.0) >= ALIKE:
+            return FAMILIES[k], float(chance[k]), alike[FAMILIES[k]]
         return None
 
 
@@ -184,7 +208,8 @@ def descend(rows: list[tuple[np.ndarray, int]], epochs: int, rate: float, random
 
 def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, epochs: int = 6, rate: float = 1.0, seed: int = 5) -> Model:
     """Train on edited wordings and on windows of at most ``sample`` documents (those with the least hash of their id),
-    ``each`` from a text; windows that agree with a wording are not taken as unknown.
+    ``each`` from a text; windows that agree with a wording, or have a pair of a wording beyond common words, are not
+    taken as unknown: however many notes of licences a corpus has, none is learned from as a text without.
 
     A fifth of the windows is held out: the least probability is above all but one in a thousand of the unknown ones
     there, and 0.5 at least.
@@ -193,21 +218,17 @@ def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, ep
     chosen = least_hashes(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), sample, 3)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
     found = texts.mapInArrow(partial(_negatives, each=each), "doc_id bigint, place bigint, tokens array<int>").dropDuplicates(["doc_id", "place"]).orderBy("doc_id", "place").collect()
-    unknown = [r.tokens for r in found if max(agreement(r.tokens, f) for f in FAMILIES[1:]) < ALIKE]
-    common = np.zeros(len(vocabulary()) + 1, np.int64)
-    for row in unknown:
-        common[np.unique(row)] += 1
-    cues = common <= max(len(unknown) // 500, 1)
-    cues[0] = False
+    telling = pair_table(telling=True)
+    unknown = [r.tokens for r in found if not telling[r.tokens[:-1], r.tokens[1:]].any() and max(agreements(r.tokens).values(), default=0.0) < ALIKE]
     known = [(edited(t, random, unknown), FAMILIES.index(family)) for family, texts in sorted(TEMPLATES.items()) for t in texts for _ in range(copies)]
     rows = [(buckets(r), y) for r, y in [(r, 0) for r in unknown] + known]
     order = random.permutation(len(rows))
     held = {int(i) for i in order[: len(rows) // 5]}
     weights, bias = descend([rows[i] for i in range(len(rows)) if i not in held], epochs, rate, random)
-    model = Model(weights, bias, 0.0, cues)
+    model = Model(weights, bias, 0.0, pair_table())
     top = sorted(float(model.chances(unknown[i])[1:].max()) for i in held if i < len(unknown))
     least = max(0.5, top[min(len(top) - 1, int(len(top) * 0.999))]) if top else 0.5
-    return Model(weights, bias, min(least, 0.95), cues)
+    return Model(weights, bias, min(least, 0.95), pair_table())
 
 
 SCHEMA = "doc_id bigint, paragraph int, first_word int, n_words int, family string, probability double, agreement double"
@@ -216,10 +237,10 @@ SCHEMA = "doc_id bigint, paragraph int, first_word int, n_words int, family stri
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         token, row, line, first, stop, begin = windows(batch.column(1))
-        cue = np.concatenate([[0], np.cumsum(model.cues[token])]) if len(token) else np.zeros(1, np.int64)
-        known = np.concatenate([[0], np.cumsum((token[1:] > 0) & (token[:-1] > 0))]) if len(token) else np.zeros(1, np.int64)
-        # A window without a cue, or without a pair of known words, agrees with no wording.
-        maybe = np.flatnonzero((cue[stop] > cue[first]) & (known[np.maximum(stop - 1, first)] > known[first]))
+        cue = np.concatenate([[0], np.cumsum(model.cues[token[:-1], token[1:]])])
+        # A window agrees with a wording only by PAIRS different pairs of it, or as a short wording and nothing else.
+        some = cue[np.maximum(stop - 1, first)] - cue[first]
+        maybe = np.flatnonzero((some >= PAIRS) | ((some > 0) & (stop - first <= max(map(len, short()), default=0))))
         best: dict[tuple[int, int, str], tuple] = {}
         for i in maybe:
             own = token[first[i] : stop[i]].tolist()

@@ -69,3 +69,16 @@ def test_a_short_notice_is_a_whole_line(spark, texts_table, model):
     found = L.scan(texts_table([(1, "x\nALL RIGHTS RESERVED\ny"), (2, "they have all rights reserved for others"), (3, "all rights"), (4, "All rights reserved.")]), model).collect()
     assert sorted((x.doc_id, x.family, x.paragraph) for x in found) == [(1, "Proprietary", 1), (4, "Proprietary", 0)]
     assert L.agreement(L.template_tokens("All rights reserved."), "Proprietary") == 1
+
+
+def test_many_notes_of_licences_hide_no_notice(spark, texts_table):
+    clean = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("NOT text RLIKE '(?i)licen|rights reserved'").limit(60).collect()]
+    notes = ["MIT License", "License: MIT", "under the Apache License", "see the GPL license", "released under GPL", "the MIT License (MIT)", "under the BSD license", "Apache 2.0"]
+    hot = []
+    for i in range(400):
+        own = clean[i % len(clean)]
+        hot.append((i, "\n".join([" ".join([*own[:8], notes[i % 8], *own[8:14]]), notes[(i + 3) % 8], " ".join(own[20:40])])))
+    notices = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache", "Licensed under the GPL v3.": "GPL", "Released under the BSD license.": "BSD"}
+    planted = [(1000 + i, f"{' '.join(clean[i][:30])}\n{text}") for i, text in enumerate(notices)]
+    found = {(x.doc_id, x.family, x.paragraph) for x in L.scan(texts_table(planted), L.fit(texts_table(hot + planted))).collect()}
+    assert found == {(1000 + i, family, 1) for i, family in enumerate(notices.values())}
