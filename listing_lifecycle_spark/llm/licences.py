@@ -1,6 +1,6 @@
 """Licence scans with a trained paragraph classifier.
 
-Paragraphs (lines) are read in windows of words.  A logistic regression over sparse word n-grams names the licence
+Paragraphs (lines) are read in windows of words, and so is text that runs on over line ends, up to a blank line.  A logistic regression over sparse word n-grams names the licence
 family of a window or the class "unknown"; it is trained on edited licence wordings and on windows of a bounded sample
 of the corpus.  A prediction counts above a probability that held-out unknown windows do not reach, and if the window
 also agrees with a wording of the predicted family.  A wording of fewer than ``PAIRS`` word pairs counts as a line of its
@@ -145,20 +145,63 @@ def windows(batch_text: pa.Array):
     """Paragraphs as tokens, and windows in them: tokens, and for each window row, paragraph, first word, end.
 
     Windows are ``WINDOW`` words at steps of ``STRIDE``; the last one ends with the paragraph."""
+    return _windows(*_lines(batch_text))
+
+
+def _lines(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line of each row, tokens, first word of each line."""
     lines = pc.split_pattern(batch_text, "\n")
     at = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
     codes, distinct, edges = words(lines.flatten())
-    token = tokens(distinct)[codes] if len(codes) else codes
-    size = np.diff(edges)
+    return at, tokens(distinct)[codes] if len(codes) else codes, edges
+
+
+def _steps(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in stretches of words: stretch, first word, end."""
+    size = end - begin
     n = np.where(size == 0, 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)))
-    line = np.repeat(np.arange(len(size)), n)
-    step = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-    first = edges[:-1][line] + np.minimum(step * STRIDE, np.maximum(size[line] - WINDOW, 0))
-    stop = np.minimum(first + WINDOW, edges[1:][line])
+    own = np.repeat(np.arange(len(size)), n)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    first = begin[own] + np.minimum(step * STRIDE, np.maximum(size[own] - WINDOW, 0))
+    return own, first, np.minimum(first + WINDOW, end[own])
+
+
+def _windows(at: np.ndarray, token: np.ndarray, edges: np.ndarray):
+    line, first, stop = _steps(edges[:-1], edges[1:])
     row = np.searchsorted(at, line, side="right") - 1
     return token, row, line - at[row], first, stop, edges[:-1][line]
 
 
+def _line_of(word: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, word, side="right") - 1
+
+
+def crossing(at: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that run over an end of line, in stretches of lines of a row without a blank one: first word, end."""
+    filled = np.diff(edges) > 0
+    opens = filled.copy()
+    opens[1:] &= ~filled[:-1]
+    opens[at[:-1][at[:-1] < len(filled)]] = filled[at[:-1][at[:-1] < len(filled)]]
+    begin = edges[:-1][opens]
+    _, first, stop = _steps(begin, np.append(begin[1:], edges[-1])[: len(begin)])
+    over = _line_of(first, edges) < _line_of(stop - 1, edges)
+    return first[over], stop[over]
+
+
+def span(row, family: str) -> tuple[int, int, int]:
+    """The shortest part of a window with all pairs that it shares with the nearest wording of the family: first word,
+    end, number of pairs."""
+    own = pairs(row)
+    shared = max((own & wording for name, wording in wordings() if name == family), key=len)
+    places = [(i, p) for i, p in enumerate(zip(row, row[1:])) if p in shared]
+    best, last = (0, len(row)), {}
+    for i, p in places:
+        last[p] = i
+        if len(last) == len(shared) and i + 2 - min(last.values()) <= best[1] - best[0]:
+            best = (min(last.values()), i + 2)
+    return *best, len(shared)
+
+
 def _negatives(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         token, row, _, first, stop, _ = windows(batch.column(1))
@@ -234,19 +277,61 @@ def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, ep
 SCHEMA = "doc_id bigint, paragraph int, first_word int, n_words int, family string, probability double, agreement double"
 
 
+def _worth(token: np.ndarray, first: np.ndarray, stop: np.ndarray, model: Model) -> np.ndarray:
+    """Windows that may agree with a wording: that takes ``PAIRS`` different pairs of it, or a short wording and nothing else."""
+    cue = np.concatenate([[0], np.cumsum(model.cues[token[:-1], token[1:]])])
+    some = cue[np.maximum(stop - 1, first)] - cue[first]
+    return np.flatnonzero((some >= PAIRS) | ((some > 0) & (stop - first <= max(map(len, short()), default=0))))
+
+
+def _add_crossing(best: dict[tuple[int, int, str], tuple], at: np.ndarray, token: np.ndarray, edges: np.ndarray, model: Model) -> None:
+    """Add notices that run over line ends to those of single lines: words that are part of one already don't count
+    again, and a line's notice that is a piece of a longer one of another family gives way to it."""
+    first, stop = crossing(at, edges)
+    hits = []
+    for i in _worth(token, first, stop, model):
+        own = token[first[i] : stop[i]].tolist()
+        if hit := model.find(own):
+            hits.append((-span(own, hit[0])[2], int(first[i]), own, hit))
+    if not hits:
+        return
+    taken = {(int(at[row]) + line, family): [(int(edges[at[row] + line]), int(edges[at[row] + line + 1]))] for row, line, family in best}
+    for _, begin, own, hit in sorted(hits, key=lambda h: h[:2]):
+        row = int(np.searchsorted(at, _line_of(begin, edges), side="right")) - 1
+        lines = range(int(_line_of(begin, edges)), int(_line_of(begin + len(own) - 1, edges)) + 1)
+        used = [(max(a - begin, 0), min(b - begin, len(own))) for k in lines for a, b in taken.get((k, hit[0]), ()) if a < begin + len(own) and b > begin]
+        if used:
+            own = list(own)
+            for a, b in used:
+                own[a:b] = [0] * (b - a)
+            again = model.find(own)
+            if again is None or again[0] != hit[0]:
+                continue
+            hit = again
+        a, b, n = span(own, hit[0])
+        line = int(_line_of(begin + a, edges))
+        for key in [(row, k - int(at[row]), f) for k in lines for f in FAMILIES[1:] if f != hit[0] and (row, k - int(at[row]), f) in best]:
+            start = int(edges[at[row] + key[1]]) - best[key][1]
+            c, d, m = span(token[start : start + best[key][2]].tolist(), key[2])
+            if m < n and begin + a <= start + c and start + d <= begin + b:
+                del best[key]
+        key, value = (row, line - int(at[row]), hit[0]), (hit[1] * hit[2], -(begin + a - int(edges[line])), b - a, *hit[1:])
+        best[key] = max(best.get(key, value), value)
+        for k in lines:
+            taken.setdefault((k, hit[0]), []).append((begin + a, begin + b))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        token, row, line, first, stop, begin = windows(batch.column(1))
-        cue = np.concatenate([[0], np.cumsum(model.cues[token[:-1], token[1:]])])
-        # A window agrees with a wording only by PAIRS different pairs of it, or as a short wording and nothing else.
-        some = cue[np.maximum(stop - 1, first)] - cue[first]
-        maybe = np.flatnonzero((some >= PAIRS) | ((some > 0) & (stop - first <= max(map(len, short()), default=0))))
+        at, token, edges = _lines(batch.column(1))
+        _, row, line, first, stop, begin = _windows(at, token, edges)
         best: dict[tuple[int, int, str], tuple] = {}
-        for i in maybe:
+        for i in _worth(token, first, stop, model):
             own = token[first[i] : stop[i]].tolist()
             if hit := model.find(own):
                 key, value = (int(row[i]), int(line[i]), hit[0]), (hit[1] * hit[2], -int(first[i] - begin[i]), int(stop[i] - first[i]), *hit[1:])
                 best[key] = max(best.get(key, value), value)
+        _add_crossing(best, at, token, edges, model)
         keys = sorted(best)
         values = [best[k] for k in keys]
         columns = [batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.int32()), pa.array([-v[1] for v in values], pa.int32()), pa.array([v[2] for v in values], pa.int32())]
@@ -257,7 +342,8 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Licences in whole texts: doc_id, paragraph (line from 0), first_word, n_words, family, probability, agreement.
 
-    A row for each paragraph and family that a window of it is found to name, with the window that does so best; texts
+    A row for each paragraph and family that a window of it is found to name, with the window that does so best; a notice
+    that runs on over line ends is a row of the line where it begins, and its n_words go on into the next lines.  Texts
     without any give no row, nor do null, empty or blank ones.  Rows with a null doc_id keep it; repeated rows give
     repeated results; an empty table gives none.
     """

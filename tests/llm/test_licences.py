@@ -82,3 +82,16 @@ def test_many_notes_of_licences_hide_no_notice(spark, texts_table):
     planted = [(1000 + i, f"{' '.join(clean[i][:30])}\n{text}") for i, text in enumerate(notices)]
     found = {(x.doc_id, x.family, x.paragraph) for x in L.scan(texts_table(planted), L.fit(texts_table(hot + planted))).collect()}
     assert found == {(1000 + i, family, 1) for i, family in enumerate(notices.values())}
+
+
+def test_wrapped_notices_are_found_where_they_begin(spark, texts_table, model):
+    noise = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("NOT text RLIKE '(?i)licen|rights reserved'").first().text.split()
+    before, after = " ".join(noise[:9]), " ".join(noise[9:30])
+    wrapped = {
+        "Released under the\nMIT License.": "MIT", "Licensed under\nthe MIT License.": "MIT", "Released under the BSD\nlicense.": "BSD", "Licensed under\nthe Apache\nLicense, Version 2.0.": "Apache",
+        "Licensed under the GNU Affero\nGeneral Public License, version 3.": "AGPL", "Released\r\nunder the MIT\r\nLicense.": "MIT",
+    }
+    rows = [(i, f"{before}\n{text}\n{after}") for i, text in enumerate(wrapped)]
+    rows += [(100, "Released under the\n\nMIT License."), (101, "Released under the MIT License.\nReleased under the\nMIT License."), (102, "Released under the"), (103, "MIT License.")]
+    found = L.scan(texts_table(rows), model).collect()
+    assert sorted((x.doc_id, x.paragraph, x.family) for x in found) == [*[(i, 1, f) for i, f in enumerate(wrapped.values())], (101, 0, "MIT"), (101, 1, "MIT")]
