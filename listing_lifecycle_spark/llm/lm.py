@@ -204,19 +204,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def most_frequent(counts: DataFrame, bound: int) -> list:
-    """The most frequent words, at most ``bound``, with their counts.
+    """The ``bound`` most frequent words, or all if there are fewer, with their counts; of equal counts, by word.
 
     Words are counted by band of frequency (a few hundred bands, whatever the size); whole bands are taken from the top
-    while they fit, so no more than ``bound`` words reach the driver from all tasks together.
+    while they fit.  The first that doesn't is sorted, and as many of its words as there is room for are taken.  No more
+    than ``bound`` words reach the driver from all tasks together.
     """
     band = F.floor(F.log2("times") * 8).cast("int")
     bands = sorted(((r.band, r.n) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, total = None, 0
+    least, total, over = None, 0, None
     for number, n in bands:
         if total + n > bound:
+            over = number
             break
         least, total = number, total + n
     rows = [] if least is None else counts.where(band >= least).collect()
+    if over is not None and total < bound:
+        # Ids grow with the order: the number of the task, 33 bits, and the place of the row in it.
+        order = counts.where(band == over).orderBy(F.desc("times"), "word").withColumn("at", F.monotonically_increasing_id())
+        order, left = stored(order, "band"), bound - total
+        for task, n in sorted((r.task, r.n) for r in order.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if n >= left:
+                rows += order.where(F.col("at") < (task << 33) + left).select("word", "times").collect()
+                break
+            left -= n
     return sorted(rows, key=lambda r: (-r.times, r.word))
 
 

@@ -45,6 +45,14 @@ def test_the_most_frequent_words_are_bounded(spark):
     assert len(lm.most_frequent(counts, 500)) == 500 and len(lm.most_frequent(counts, 40)) > 20
 
 
+def test_a_band_of_ties_fills_the_list(spark):
+    words = [f"w{i:04d}" for i in range(3000)]
+    counts = spark.createDataFrame([("first", 900), *[(w, 7) for w in reversed(words)], *[(f"z{i}", 1) for i in range(50)]], "word string, times bigint").repartition(7, "word")
+    for bound in (0, 1, 2, 1000, 3001, 3020, 3051, 4000):
+        got = lm.most_frequent(counts, bound)
+        assert [r.word for r in got] == ["first", *words, *sorted(f"z{i}" for i in range(50))][:bound]
+
+
 def small_model():
     r = np.random.default_rng(1)
     top = [(f"w{i}", 500 // (i + 1) + 1) for i in range(400)]
