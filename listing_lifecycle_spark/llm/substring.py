@@ -115,9 +115,12 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, reach: int = REACH)
 
     A row for each stretch of neighbouring chunks of a text that occur before it - in a document of smaller doc_id or
     earlier in the text - with at least ``least_words`` words; ``first_doc_id`` is the least that has one of its chunks.
-    The first occurrence stays out of the result.  Passages of 50 words hold whole chunks of 20 words at any offset.  Texts
-    that are null or empty have no chunks, nor take rows without doc_id part; repeated rows count as one document, as do
-    rows of one doc_id with other texts, among which nothing is a repeat.
+    The first occurrence stays out of the result.  Chunks follow bytes, not words: cuts are the same at any offset only
+    from ``WINDOW + reach`` bytes after a passage begins to ``reach`` before it ends, and parts of a chunk at both sides are
+    lost too, some 90 bytes in all.  Passages of 50 words of usual length (6 bytes with the blank) keep 20 words beyond
+    that; 50 words of one or two letters may not, and then stay in the text.  Texts that are null or empty have no chunks,
+    nor take rows without doc_id part; repeated rows count as one document, as do rows of one doc_id with other texts,
+    among which nothing is a repeat.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     chunks = rows.mapInArrow(partial(_chunks, reach=reach), "doc_id bigint, check int, start int, stop int, words int, digest bigint, again boolean")

@@ -100,3 +100,21 @@ def test_repeats_within_a_row_are_marked():
     assert [digest[row == r].tolist() for r in (1,)] == [digest[row == 2].tolist()] and not again[row < 3].any()
     assert again[row == 3].sum() >= (row == 1).sum() - 4 and not again[(row == 3) & (start < len(text) // 2)].any()
     assert (stop[:-1][row[1:] == row[:-1]] == start[1:][row[1:] == row[:-1]]).all()
+
+
+def repeated_words(r, passage):
+    """Words of the longest stretch of chunks that two texts around the passage share."""
+    table = pa.array([f"{sentence(r, r.randint(5, 40))} {passage} {sentence(r, 20)}" for _ in range(2)])
+    row, _, _, words, digest, _ = S.chunk_table(table)
+    first, best, run = set(digest[row == 0].tolist()), 0, 0
+    for d, n in zip(digest[row == 1].tolist(), words[row == 1].tolist()):
+        run = run + n if d in first else 0
+        best = max(best, run)
+    return best
+
+
+def test_passages_of_short_words_are_told_by_their_bytes():
+    r = random.Random(12)
+    for _ in range(100):
+        assert repeated_words(r, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=160))) >= S.LEAST_WORDS
+        assert repeated_words(r, sentence(r, 50)) >= S.LEAST_WORDS
