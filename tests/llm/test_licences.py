@@ -17,7 +17,7 @@ def model(spark):
 
 def test_planted_wordings_are_found(spark, texts_table, model):
     r = random.Random(1)
-    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("NOT text RLIKE '(?i)licen'").limit(200).collect()
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("NOT text RLIKE '(?i)licen|rights reserved'").limit(200).collect()  # texts without a notice of their own
     rows, want = [], set()
     texts = [(f, t) for f, own in TEMPLATES.items() for t in own]
     for i, (family, t) in enumerate(texts):
