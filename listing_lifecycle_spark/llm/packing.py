@@ -3,14 +3,16 @@
 Documents are cut into pieces of at most the capacity.  Pieces are dealt to groups of bounded size; in each, the largest
 piece goes first, to the fullest bin with room.  Then underfull bins trade pieces - one moves, one for one, two for one
 or one for two - whenever the fuller bin gets fuller, so the sum of squared fills grows and the emptiest bins run dry.
+The search looks at sizes, not pieces, and ends when no such trade is left; it has no other limit.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache, cached_property, partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from listing_lifecycle_spark.llm.token_counts import byte_alphabet
 
 CAPACITY = 2048
 GROUP = 16384
-PASSES = 40
+NEVER = 1 << 62
 
 
 class WordVocabulary:
@@ -148,84 +150,137 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Trade items between underfull bins until a pass changes nothing or ``passes`` are done; empty bins go.
+class Bins:
+    """Bins of items, and for each size the emptiest bin that holds an item of it, or two items of that size together.
 
-    A bin takes from emptier ones: an item that fits, an item for a smaller one, an item for two, or two for one, always
-    the trade that leaves it the least room.
+    Bins are ordered by fill, then number.  What a size knows is a heap of (fill, bin) with entries that no longer hold
+    dropped when they come up, so an item or a whole run of equal ones costs one look.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(passes):
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        items = sorted((size[i], i, b) for b in order for i in bins[b])
-        home = {i: b for _, i, b in items}
-        changed = False
-        for b in order:
-            gap = capacity - fill[b]
-            if not gap or not bins[b]:
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.size, self.capacity = size, capacity
+        self.items = [sorted(b, key=lambda i: (size[i], i)) for b in bins]
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.sums: list[tuple[set[int], set[int]]] = [(set(), set())] * len(bins)
+        self.heaps: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        #: Least (fill, bin) as one number for each size, alone and for pairs; NEVER where no bin has it.
+        self.least = np.full((2, capacity + 1), NEVER, np.int64)
+        for b in range(len(bins)):
+            self.note(b)
+
+    def key(self, b: int) -> int:
+        return self.fill[b] * len(self.items) + b
+
+    def note(self, b: int) -> None:
+        """Enter what bin ``b`` holds now; full bins give nothing."""
+        before = self.sums[b]
+        own = [self.size[i] for i in self.items[b]] if self.fill[b] < self.capacity else []
+        pairs = {x + y for k, x in enumerate(own) if not k or own[k - 1] != x for y in set(own[k + 1 :])}
+        self.sums[b] = (set(own), pairs)
+        for kind in (0, 1):
+            for x in self.sums[b][kind]:
+                heappush(self.heaps[kind].setdefault(x, []), self.key(b))
+            for x in before[kind] | self.sums[b][kind]:
+                self.refresh(kind, x)
+
+    def refresh(self, kind: int, x: int) -> None:
+        heap, n = self.heaps[kind][x], len(self.items)
+        while heap and (self.key(heap[0] % n) != heap[0] or x not in self.sums[heap[0] % n][kind]):
+            heappop(heap)
+        self.least[kind, x] = heap[0] if heap else NEVER
+
+    def best_trade(self, b: int) -> tuple[int, int, int, int, int] | None:
+        """Of all trades with emptier bins the one that leaves ``b`` the least room: gain, what it gives and takes (sums,
+        and whether the sum is of two)."""
+        gap, best = self.capacity - self.fill[b], None
+        for kind in (0, 1):  # takes one, or two of one bin
+            valid = self.least[kind] < self.key(b)
+            if not valid.any():
                 continue
-            best: tuple[int, tuple[int, ...], tuple[int, ...], int] | None = None
-            own = sorted(bins[b], key=lambda i: size[i])
-            givers = [(), *[(i,) for i in own], *[(i, j) for k, i in enumerate(own) for j in own[k + 1 :]][:32]]
-            for give in givers:
-                given = sum(size[i] for i in give)
-                at = bisect_right(items, (given + gap, len(size), 0))
-                tried = 0
-                while at and tried < 24:  # the nearest sizes below; emptier bins only
-                    at -= 1
-                    x, i, _ = items[at]
-                    if x <= given:
-                        break
-                    tried += 1
-                    other = home[i]
-                    if other != b and fill[other] <= fill[b] and i in bins[other]:
-                        if best is None or x - given > best[0]:
-                            best = (x - given, give, (i,), other)
-                        break
-                if best and best[0] == gap:
-                    break
-            if best is None or best[0] < gap:
-                for other in order[-8:]:  # two of an emptier bin for one
-                    if other == b or fill[other] > fill[b] or len(bins[other]) < 2:
-                        continue
-                    theirs = sorted(bins[other], key=lambda i: size[i])[:16]
-                    for k, i in enumerate(theirs):
-                        for j in theirs[k + 1 :]:
-                            for give in ((), *[(y,) for y in own]):
-                                gain = size[i] + size[j] - sum(size[y] for y in give)
-                                if 0 < gain <= gap and (best is None or gain > best[0]):
-                                    best = (gain, give, (i, j), other)
-            if best:
-                gain, give, take, other = best
-                bins[b] = [i for i in bins[b] if i not in give] + list(take)
-                bins[other] = [i for i in bins[other] if i not in take] + list(give)
-                fill[b] += gain
-                fill[other] -= gain
-                for i in give:
-                    home[i] = other
-                for i in take:
-                    home[i] = b
-                changed = True
-        if not changed:
+            nearest = np.maximum.accumulate(np.where(valid, np.arange(self.capacity + 1), 0))
+            for given, sums in enumerate(((0,), self.sums[b][0], self.sums[b][1])):
+                if not sums or kind and given == 2:
+                    continue
+                give = np.fromiter(sums, np.int64, len(sums))
+                gain = nearest[np.minimum(give + gap, self.capacity)] - give
+                k = int(gain.argmax())
+                if gain[k] > 0 and (best is None or gain[k] > best[0]):
+                    best = (int(gain[k]), given, int(give[k]), kind, int(give[k] + gain[k]))
+            if best and best[0] == gap:
+                break
+        return best
+
+    def pick(self, b: int, count: int, total: int) -> list[int]:
+        """``count`` items of a bin that have this sum."""
+        if count == 0:
+            return []
+        if count == 1:
+            return [next(i for i in self.items[b] if self.size[i] == total)]
+        place: dict[int, int] = {}
+        for i in self.items[b]:
+            if (j := place.get(total - self.size[i])) is not None:
+                return [j, i]
+            place.setdefault(self.size[i], i)
+        raise AssertionError("no such pair")
+
+    def trade(self, b: int, trade: tuple[int, int, int, int, int]) -> None:
+        gain, given, give, kind, take = trade
+        other = int(self.least[kind, take]) % len(self.items)
+        out, back = self.pick(b, given, give), self.pick(other, kind + 1, take)
+        for mine, lost, got in ((b, out, back), (other, back, out)):
+            self.items[mine] = sorted([i for i in self.items[mine] if i not in lost] + got, key=lambda i: (self.size[i], i))
+        self.fill[b] += gain
+        self.fill[other] -= gain
+        self.note(b)
+        self.note(other)
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Trade items between underfull bins until no trade is left; empty bins go.
+
+    A bin takes from emptier ones: an item that fits, one for a smaller one, one for two, or two of a bin for one, always
+    the trade that leaves it the least room.  Every trade makes the sum of squared fills larger, so the search ends.
+    All sizes and sums are looked at, each once, whatever the number of items that have it.  Where it ends depends on
+    which bins come first: it is done with the emptier and with the fuller bins first, and the fewer bins count.  Bins
+    that are as few as the sum of all lengths allows are left as they are.
+    """
+    least = -(-int(lengths.sum()) // capacity)
+    if len(bins) <= least:
+        return bins
+    size, found = lengths.tolist(), []
+    for order in (1, -1):
+        found.append(_settled(Bins(bins, size, capacity), order))
+        if len(found[-1]) <= least:
             break
-    return [b for b in bins if b]
+    return min(found, key=len)
+
+
+def _settled(state: Bins, order: int) -> list[list[int]]:
+    changed = True
+    while changed:
+        changed = False
+        for b in sorted(range(len(state.items)), key=lambda b: order * state.key(b)):
+            while 0 < state.fill[b] < state.capacity and (trade := state.best_trade(b)):
+                state.trade(b, trade)
+                changed = True
+    return [b for b in state.items if b]
 
 
 def _pack(table: pa.Table, capacity: int) -> pa.Table:
-    lengths, group = table.column("length").to_numpy(), int(table.column("group")[0].as_py())
+    """``table`` has a group's number, its key and the columns of the rows; only its columns' places count, as names may clash."""
+    group, rows = int(table.column(0)[0].as_py()), table.select(range(2, table.num_columns))
+    key = table.column(1).combine_chunks().flatten().to_numpy().reshape(-1, 3)
+    lengths = key[:, 2]
     full = lengths >= capacity
-    part = np.flatnonzero(~full)
-    order = np.lexsort(tuple(table.column(c).to_pandas().fillna(-1).to_numpy() for c in ("piece", "doc_id"))) if len(part) else part
-    part = order[~full[order]] if len(part) else part  # the same bins in whatever order rows come
+    order = np.lexsort((key[:, 1], key[:, 0]))  # the same bins in whatever order rows come
+    part = order[~full[order]]
     bins = local_search(best_fit(lengths[part], capacity), lengths[part], capacity)
     number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     number[full] = np.arange(len(bins), len(bins) + int(full.sum()))
     for n, own in enumerate(bins):
         own = part[own]
         number[own], offset[own] = n, np.cumsum(lengths[own]) - lengths[own]
-    table = table.drop_columns(["group"])
-    return table.append_column("sequence_id", pa.array((group << 32) + number)).append_column("offset", pa.array(offset))
+    return pa.Table.from_arrays([*rows.columns, pa.chunked_array([(group << 32) + number]), pa.chunked_array([offset])], [f"c{i}" for i in range(rows.num_columns + 2)])
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP) -> DataFrame:
@@ -234,11 +289,16 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP) ->
     Every row gets a place in a sequence of at most ``capacity``; places of a sequence are gapless from 0.  Rows are
     dealt by their number, whatever their keys, to groups of about ``group_rows``, packed apart, which costs less than a
     sequence each.  ``rows`` is read twice, to count it and to pack it: pass a stored table.  An empty table gives none.
+    Further columns may have any name; if ``rows`` has a sequence_id or offset of its own, the new one takes its place.
     """
+    rows = rows.drop("sequence_id", "offset")
     groups = max(1, -(-rows.count() // group_rows))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("group").applyInArrow(lambda table: _pack(table, capacity), schema)
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
+    key = F.array(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), F.coalesce(F.col("piece"), F.lit(-1)).cast("long"), F.col("length").cast("long"))
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)]
+    dealt = rows.select(number.alias("g"), key.alias("k"), *fields)
+    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate([*rows.dtypes, ("", "bigint"), ("", "bigint")]))
+    return dealt.groupBy("g").applyInArrow(lambda table: _pack(table, capacity), schema).toDF(*rows.columns, "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -81,6 +81,49 @@ def test_local_search_only_improves(seed):
     assert len(after) <= -(-lengths.sum() // 100) + 2
 
 
+def trades(bins, lengths, capacity):
+    """All trades by which a bin takes from one that is emptier, tried one by one."""
+    from itertools import combinations
+
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for b, other in ((b, o) for b in range(len(bins)) for o in range(len(bins)) if (fill[o], o) < (fill[b], b) and fill[b] < capacity):
+        for out, back in ((0, 1), (1, 1), (2, 1), (1, 2)):
+            for x in combinations(bins[b], out):
+                for y in combinations(bins[other], back):
+                    gain = sum(lengths[i] for i in y) - sum(lengths[i] for i in x)
+                    if 0 < gain <= capacity - fill[b]:
+                        yield b, x, other, y
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_trade_is_left(seed):
+    """Where the search ends, trying every trade finds none (bins in any order of equal fill)."""
+    r = np.random.default_rng(seed)
+    lengths = r.integers(10, 40, 60) if seed % 2 else np.concatenate([np.full(25, 35), r.integers(5, 80, 40)])
+    bins = K.local_search(K.best_fit(lengths, 100), lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    bound = -(-int(lengths.sum()) // 100)
+    assert len(bins) == bound or not any(sum(lengths[i] for i in bins[o]) < sum(lengths[i] for i in bins[b]) for b, _, o, _ in trades(bins, lengths, 100))
+
+
+@pytest.mark.parametrize("low,high,at_most", [(500, 900, 0.95), (380, 640, 0.95)])
+def test_search_saves_sequences_where_best_fit_does_not_suffice(low, high, at_most):
+    """Mixes on which best fit is far from the bound; the search saves more than a twentieth of its sequences."""
+    for seed in range(3):
+        lengths = np.random.default_rng(seed).integers(low, high, 1500)
+        first = K.best_fit(lengths, 2048)
+        after = K.local_search([list(b) for b in first], lengths, 2048)
+        assert max(int(lengths[b].sum()) for b in after) <= 2048 and len(after) <= at_most * len(first)
+
+
+def test_rows_may_have_any_column_names(spark):
+    rows = spark.createDataFrame([(i % 3, i, 4, "g", 9, "o", i, 1) for i in range(20)], "doc_id bigint, piece int, length bigint, `group` string, sequence_id int, offset string, c0 int, g int")
+    got = K.pack(rows, 10, 8)
+    assert got.columns == ["doc_id", "piece", "length", "group", "c0", "g", "sequence_id", "offset"]
+    assert sorted((r.doc_id, r.piece, r.length, r["group"], r.c0, r.g) for r in got.collect()) == sorted((i % 3, i, 4, "g", i, 1) for i in range(20))
+    assert got.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 10
+
+
 def test_swaps_beat_best_fit():
     lengths = np.array([6, 5, 5, 4, 4, 3, 3])  # best fit first: 6+4, 5+5, 4+3+3
     apart = [[0, 5], [1, 3], [2, 4], [6]]
