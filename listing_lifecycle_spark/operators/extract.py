@@ -44,6 +44,11 @@ def place_of(link: Column) -> Column:
     title = markup.text_of(link)
     tail = markup.text_of(F.regexp_extract(link, r"(?is)<span\b[^>]*>(.*?)</span>", 1))
     direct = markup.text_of(F.regexp_replace(link, r"(?is)<(\w+)\b[^>]*>.*?</\1\s*>", " "))
+    return place_from(title, direct, tail)
+
+
+def place_from(title: Column, direct: Column, tail: Column) -> Column:
+    """Title, city, region and subregion from a link's text, its text outside inner elements, and the text of its tail."""
     split_tail = F.split(F.regexp_replace(tail, r"^- ", ""), fv.RANGE_SEPARATOR)
     parts = F.filter(F.transform(split_tail, lambda p: F.trim(p)), lambda p: p != "")
 
@@ -125,6 +130,11 @@ def pet_entries(card: Column) -> Column:
 
 
 def pets_of(card: Column) -> Column:
+    """Counters of the animals on a card."""
+    return pet_counters(pet_entries(card))
+
+
+def pet_counters(pets: Column) -> Column:
     """Counters: the last entry of a known animal counts, unknown animals add up, ``none`` means no pets."""
 
     def counters(entries: Column) -> Column:
@@ -141,7 +151,7 @@ def pets_of(card: Column) -> Column:
             F.exists(entries, is_none).alias("no_pets"),
         )
 
-    return bind(pet_entries(card), counters)
+    return bind(pets, counters)
 
 
 def reply_rating(card: Column) -> Column:
@@ -257,6 +267,12 @@ def option_counts(pages: DataFrame) -> DataFrame:
     keep = [c for c in pages.columns if c != "html"]
     # Links without a bracketed number are left out before anything is decoded.
     found = anchors(pages, containing=r"\([\d,]+\)").drop("anchor")
+    return counted_options(found.select(*keep, "position", "href", "label_text"))
+
+
+def counted_options(found: DataFrame) -> DataFrame:
+    """Options and counts of links (position, href, label_text)."""
+    keep = [c for c in found.columns if c not in ("position", "href", "label_text")]
 
     def option(href: Column, text: Column) -> Column:
         values = F.array(
