@@ -29,7 +29,7 @@ OUTCOME_COLUMNS = [
 # What a batch says about its sightings, not about the listing.
 NOT_CONTENT = ("external_id", "observed_at", "first_observed_at")
 # Working columns that a merged run carries besides the state.
-MARKS = ["observed", "created", "changed", "previous_status", "previous_content_hash", "observation_applied", "missing_marked"]
+MARKS = ["observed", "created", "changed", "previous_status", "previous_content_hash", "observation_applied", "missing_marked", "expiry_marked"]
 
 
 def last_per_key(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -114,6 +114,7 @@ def merge_batch(state: DataFrame, batch: DataFrame, *, run_id=None, context="obs
         F.when(seen, stored("content_hash")).alias("previous_content_hash"),
         applied.alias("observation_applied"),
         F.lit(0).alias("missing_marked"),
+        F.lit(False).alias("expiry_marked"),
     )
 
 
@@ -137,6 +138,11 @@ def new_state(merged: DataFrame) -> DataFrame:
     return merged.drop(*MARKS)
 
 
+def touched() -> Column:
+    """Whether a run has changed a row of the state: applied a sighting to it (or an earlier first one), marked it missing or let it expire."""
+    return F.col("observed") | (F.col("missing_marked") > 0) | F.col("expiry_marked")
+
+
 def covered_by(island: Column, region: Column, subregion: Column) -> Column:
     """Whether a listing lies in a scope.  A null label does not restrict; a listing without place is not covered."""
 
@@ -181,6 +187,8 @@ def mark_expired(merged: DataFrame, *, today, now) -> DataFrame:
         "status": F.when(expired, "expired_by_date").otherwise(F.col("status")),
         "closed_at": F.when(expired, F.coalesce("closed_at", moment)).otherwise(F.col("closed_at")),
     }
+    if "expiry_marked" in merged.columns:
+        updates["expiry_marked"] = expired
     if "updated_at" in merged.columns:
         updates["updated_at"] = F.when(expired, moment).otherwise(F.col("updated_at"))
     return merged.withColumns(updates)

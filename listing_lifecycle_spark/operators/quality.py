@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listing_lifecycle_spark import fixed_values as fv
@@ -83,3 +84,40 @@ def schema_differences(df: DataFrame, expected: dict[str, str]) -> list[str]:
     unknown = [f"not in contract: {c}" for c in actual if c not in expected]
     other = [f"type of {c}: {actual[c]}, expected {k}" for c, k in expected.items() if c in actual and actual[c] != k]
     return missing + unknown + other
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Where a checked write lies, and what was counted on the way: rows, and violations by rule."""
+
+    path: str
+    rows: int
+    violations: dict[str, int]
+
+    def kept(self, spark: SparkSession) -> DataFrame:
+        """Rows that break no rule."""
+        return spark.read.option("basePath", self.path).parquet(f"{self.path}/valid=true").drop("valid", "broken_rules")
+
+    def broken(self, spark: SparkSession) -> DataFrame:
+        """Rows that break a rule, with the names of all that they break."""
+        return spark.read.option("basePath", self.path).parquet(f"{self.path}/valid=false").drop("valid")
+
+
+def check_and_write(rows: DataFrame, rules: dict[str, Column], path: str, *, contract: dict[str, str] | None = None) -> Checked:
+    """Write ``rows`` in one pass that looks at every rule: sound rows apart from broken ones, counts as observed metrics.
+
+    ``contract`` (column to type) is compared first; a table that differs is refused before anything is written.  Both
+    parts of the result are there even if empty.
+    """
+    if contract is not None and (wrong := schema_differences(rows, contract)):
+        raise ValueError("; ".join(wrong))
+    broken = F.filter(F.array(*[F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()]), lambda name: name.isNotNull())
+    marked = rows.withColumn("broken_rules", broken).withColumn("valid", F.size("broken_rules") == 0)
+    seen = Observation("rules")
+    counts = [F.count_if(F.array_contains("broken_rules", name)).alias(name) for name in rules]
+    observed = marked.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts)
+    observed.write.mode("overwrite").partitionBy("valid").parquet(path)
+    for valid in (True, False):
+        marked.limit(0).drop("valid").write.mode("append").parquet(f"{path}/valid={str(valid).lower()}")
+    found = seen.get
+    return Checked(path, found["_rows"], {name: found[name] for name in rules})

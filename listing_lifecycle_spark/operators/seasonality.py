@@ -85,6 +85,50 @@ def seasonality(facts: DataFrame, *, basis: str = "sit_dates", interval: str = "
     )
 
 
+TOTALS = ["listing_count", "duration_sum", "duration_n", "lead_sum", "lead_n"]
+
+
+def period_changes(before: DataFrame, after: DataFrame, *, interval: str = "month") -> DataFrame:
+    """What a run changes in the period totals: the periods of the rows that it replaced are taken back, those of the new rows added.
+
+    ``before`` and ``after`` hold the old and the new facts of the changed listings only, each listing once at most.
+    Returns period_start and, for each of ``TOTALS``, the change; periods that stay as they were are left out.  As in
+    :func:`seasonality`, equal spans are added up before a span becomes periods.
+    """
+    def spans(rows: DataFrame, sign: int) -> DataFrame:
+        fine = rows.where(F.col("start_date").isNotNull() & F.col("end_date").isNotNull() & (F.col("end_date") >= F.col("start_date")))
+        duration, lead = F.col("duration_days").cast("bigint"), F.col("lead_time_days").cast("bigint")
+        one = F.lit(sign).cast("bigint")
+        return fine.select(
+            period_index(F.col("start_date"), interval).alias("first"), period_index(F.col("end_date"), interval).alias("last"),
+            one.alias("listing_count"), F.coalesce(duration * sign, F.lit(0)).alias("duration_sum"), F.when(duration.isNotNull(), one).otherwise(0).alias("duration_n"),
+            F.coalesce(lead * sign, F.lit(0)).alias("lead_sum"), F.when(lead.isNotNull(), one).otherwise(0).alias("lead_n"),
+        )
+
+    add = [F.sum(name).alias(name) for name in TOTALS]
+    merged = spans(before, -1).union(spans(after, 1)).groupBy("first", "last").agg(*add)
+    moved = merged.where(" OR ".join(f"{name} <> 0" for name in TOTALS))
+    periods = moved.select(F.explode(F.sequence("first", "last")).alias("period"), *TOTALS).groupBy("period").agg(*add)
+    return periods.where(" OR ".join(f"{name} <> 0" for name in TOTALS)).select(period_start(F.col("period"), interval).alias("period_start"), *TOTALS)
+
+
+def apply_changes(totals: DataFrame, changes: DataFrame) -> DataFrame:
+    """Period totals after ``changes``; periods that no listing touches any more are gone.  Both are calendar-sized."""
+    both = totals.select("period_start", *TOTALS).union(changes.select("period_start", *TOTALS))
+    return both.groupBy("period_start").agg(*[F.sum(name).alias(name) for name in TOTALS]).where("listing_count <> 0")
+
+
+def profile_of(totals: DataFrame) -> DataFrame:
+    """The profile of :func:`seasonality` from period totals."""
+    return totals.select(
+        "period_start",
+        *[column.alias(name) for name, column in period_parts(F.col("period_start")).items()],
+        "listing_count",
+        F.try_divide("duration_sum", "duration_n").alias("avg_duration_days"),
+        F.try_divide("lead_sum", "lead_n").alias("avg_lead_time_days"),
+    )
+
+
 def heatmap(profile: DataFrame, *, metric: str = "listing_count", interval: str = "month") -> DataFrame:
     """Year by month or week; counts are added, means averaged, absent cells are 0."""
     columns = list(range(1, 13)) if interval == "month" else list(range(1, 54))

@@ -13,7 +13,7 @@ from listing_lifecycle_spark.operators.events import create_events
 from listing_lifecycle_spark.operators.matching import match_rules
 from listing_lifecycle_spark.session import cut_lineage
 from listing_lifecycle_spark.sources.locations import resolve_site_filter
-from listing_lifecycle_spark.sources.versions import VersionedTables
+from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables, changed_buckets
 
 EVENT_LOG_TYPES = (
     "event_id string, external_id string, rule_name string, appearance_sequence int, alert_fingerprint string, "
@@ -75,13 +75,18 @@ def run_once(
     )
 
 
-def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame, batch_key: str = "") -> int:
-    """Publish a run: state, events, run row and scopes become visible together or not at all."""
+def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame, batch_key: str = "", buckets: int = BUCKETS) -> int:
+    """Publish a run: state, events, run row and scopes become visible together or not at all.
+
+    Of the state only the buckets are written in which the run has changed a row.
+    """
     if result.merged is None:
         return tables.commit(logs={"runs": result.run}, batch_key=batch_key)
+    changed = changed_buckets(result.merged, "external_id", lifecycle.touched(), buckets)
     return tables.commit(
-        {"state": lifecycle.new_state(result.merged), "scopes": coverage.advance_scopes(scopes, result.run)},
+        {"scopes": coverage.advance_scopes(scopes, result.run)},
         logs={"events": result.events, "runs": result.run},
+        buckets={"state": lifecycle.new_state(changed)},
         batch_key=batch_key,
     )
 

@@ -1,4 +1,4 @@
-"""Deferred deliveries: each tick sends what has become due and is not yet sent."""
+"""Deferred deliveries: each tick sends what has become due and is not yet sent, and plans failed ones anew."""
 
 from __future__ import annotations
 
@@ -16,16 +16,20 @@ from listing_lifecycle_spark.sources.versions import VersionedTables
 class DeliverySink:
     """Micro-batch writer over a stream of ticks (column ``now``).
 
-    ``send`` takes routed deliveries and returns their results as a DataFrame
-    (``event_id``, ``channel``, ``sent``, ``error_message``).  A failed delivery
-    stays pending and is tried again at the next tick.
+    ``send`` takes routed deliveries (with ``attempts``, those made before) and
+    returns their results as a DataFrame (``event_id``, ``channel``, ``sent``,
+    ``error_message``).  A failed delivery stays in the queue and is tried again
+    when ``delivery_queue`` plans it: with ``retry_minutes`` = 0 at the next tick.
     """
 
-    def __init__(self, tables: VersionedTables, rules: DataFrame, channels: DataFrame, send: Callable[[DataFrame], DataFrame]):
+    def __init__(
+        self, tables: VersionedTables, rules: DataFrame, channels: DataFrame, send: Callable[[DataFrame], DataFrame], *, retry_minutes: int = 0,
+    ):
         self.tables = tables
         self.rules = rules
         self.channels = channels
         self.send = send
+        self.retry_minutes = retry_minutes
 
     def __call__(self, ticks: DataFrame, batch_id: int) -> None:
         key = f"delivery-{batch_id}"
@@ -39,7 +43,9 @@ class DeliverySink:
             attempts = self.tables.spark.createDataFrame(
                 [], "event_id string, channel string, attempted_at timestamp_ntz, status string, message string, error_message string"
             )
-        pending = de.pending_deliveries(events, self.rules, listings, attempts, now=now)
+        queue = de.delivery_queue(events, self.rules, attempts, now=now, retry_minutes=self.retry_minutes)
+        due = queue.where("due").select("event_id", "channel", "rule_name", "external_id", "deliver_after", "attempts")
+        pending = de.with_message(due, listings)
         # Sending has effects outside, so what is pending is fixed before it is sent.
         routed = cut_lineage(de.route(pending, self.channels))
         results = cut_lineage(self.send(routed.where("configured")))

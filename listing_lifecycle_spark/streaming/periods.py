@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from listing_lifecycle_spark.session import cut_lineage
+from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables, bucket_of
+
 # The epoch was a Thursday; windows of 7 days that start 4 days later start on Mondays.
 MONDAY_OFFSET = "4 days"
 _OFFSET_SECONDS, _WEEK_SECONDS = 4 * 86400, 7 * 86400
@@ -44,27 +47,71 @@ def closed_week_counts(sightings: DataFrame, *, delay_days: int = 7) -> DataFram
 class PeriodSink:
     """Micro-batch writer for exact counts of distinct listings per week or month.
 
-    A batch adds its distinct (period, listing) pairs to a folder partitioned by
-    period, under its own number, so that a repeated batch replaces itself.
-    Nothing is kept in memory and no row is too late: ``counts`` reads the pairs.
+    Listings get dense numbers as they first appear, and a period is a row of bits
+    by listing number, cut into pieces of 32,768.  A batch sets bits, so a
+    listing that is seen again adds nothing: the state grows with listings and
+    periods, not with rows or batches, and a count is a count of bits.  Of both
+    tables only the buckets are read and written that a batch touches; a batch
+    that was committed before changes nothing.  No row is too late.
     """
 
-    PAIRS = "external_id string, period_start date, batch long"
-
-    def __init__(self, folder: str, unit: str = "week"):
+    def __init__(self, folder: str, unit: str = "week", *, buckets: int = BUCKETS):
         if unit not in ("week", "month"):
             raise ValueError(f"unknown period: {unit}")
-        self.folder, self.unit = folder.rstrip("/"), unit
+        self.folder, self.unit, self.buckets = folder.rstrip("/"), unit, buckets
+
+    def _known(self, tables: VersionedTables, table: str, rows: DataFrame, types: str) -> DataFrame:
+        """What a table holds in the buckets of ``rows``."""
+        own = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        found = tables.read_buckets(table, own)
+        return tables.spark.createDataFrame([], types) if found is None else found
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        tables = VersionedTables(batch.sparkSession, self.folder)
+        key = f"batch-{batch_id}"
+        if tables.has_batch(key):
+            return
         start = F.to_date(F.date_trunc(self.unit, utc_day(F.col("first_seen_at"))))
-        pairs = batch.select("external_id", start.alias("period_start")).distinct()
-        pairs.write.mode("overwrite").partitionBy("period_start").parquet(f"{self.folder}/batch={batch_id}")
+        place = bucket_of(F.col("external_id"), self.buckets)
+        pairs = batch.where("external_id IS NOT NULL").select("external_id", start.alias("period_start"), place.alias("bucket"))
+        pairs = cut_lineage(pairs.distinct())
+        if pairs.isEmpty():
+            return
+        last = tables.read("last_number")
+        known = self._known(tables, "numbers", pairs, "external_id string, number bigint")
+        fresh = pairs.select("external_id", "bucket").distinct().join(known, "external_id", "left_anti")
+        fresh, highest = numbered(fresh, 0 if last is None else last.first()["number"])
+        numbers = cut_lineage(known.withColumn("bucket", place).unionByName(fresh))
+        number = F.col("number")
+        bits = pairs.join(numbers.select("external_id", "number"), "external_id").groupBy(
+            "period_start", F.bitmap_bucket_number(number).alias("piece")
+        ).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+        bits = cut_lineage(bits.withColumn("bucket", bucket_of(F.col("period_start"), self.buckets)))
+        before = self._known(tables, "bits", bits, "period_start date, piece bigint, bits binary")
+        merged = before.union(bits.drop("bucket")).groupBy("period_start", "piece").agg(F.bitmap_or_agg("bits").alias("bits"))
+        placed = merged.withColumn("bucket", bucket_of(F.col("period_start"), self.buckets))
+        now = tables.spark.createDataFrame([(highest,)], "number bigint")
+        tables.commit({"last_number": now}, buckets={"numbers": numbers, "bits": placed}, batch_key=key)
 
     def counts(self, spark: SparkSession) -> DataFrame:
-        """Distinct listings of each period so far, open ones included; a period filter reads its own folders only."""
-        pairs = spark.read.schema(self.PAIRS).parquet(self.folder)
-        return pairs.select("period_start", "external_id").distinct().groupBy("period_start").agg(F.count("external_id").alias("listing_count"))
+        """Distinct listings of each period so far, open ones included."""
+        bits = VersionedTables(spark, self.folder).read("bits")
+        if bits is None:
+            return spark.createDataFrame([], "period_start date, listing_count bigint")
+        return bits.groupBy("period_start").agg(F.sum(F.bitmap_count("bits")).alias("listing_count"))
+
+
+def numbered(rows: DataFrame, after: int) -> tuple[DataFrame, int]:
+    """``rows`` with dense numbers from ``after`` + 1 on, and the highest; each partition counts on from the ones before it."""
+    parted = cut_lineage(rows.withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}  # one entry for each partition
+    begin, offsets = after, []
+    for part in sorted(sizes):
+        offsets.append((part, begin))
+        begin += sizes[part]
+    first = rows.sparkSession.createDataFrame(offsets, "part int, before bigint")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(rows.columns[0]))
+    return parted.withColumn("place", place).join(first, "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before"), begin
 
 
 def count_periods(sightings: DataFrame, sink: PeriodSink, *, checkpoint: str) -> StreamingQuery:

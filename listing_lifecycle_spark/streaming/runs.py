@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,15 +18,16 @@ from pyspark.sql.types import StructType
 
 from listing_lifecycle_spark.operators import lifecycle
 from listing_lifecycle_spark.plans.persist import commit_run, run_once
-from listing_lifecycle_spark.sources.versions import VersionedTables
+from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables
 
 
 class RunSink:
     """Micro-batch writer that stages observations and applies completed runs in order.
 
     ``scope_of`` turns a control row into a ``RunScope``.  Staged rows go to a
-    folder named after the batch, so that a repeated batch replaces itself, and
-    each run is committed under its own key, so that it is applied once.
+    folder of their run and batch, so that a repeated batch replaces itself and a
+    run reads its own rows only; the folder goes when the run is committed.  Each
+    run is committed under its own key, so that it is applied once.
     Events are deduplicated against the whole log, not within a time window.
     """
 
@@ -38,6 +40,7 @@ class RunSink:
         locations: DataFrame,
         scope_of: Callable[[dict], lifecycle.RunScope],
         listing_columns: list[str],
+        buckets: int = BUCKETS,
     ):
         self.tables = tables
         self.empty = empty
@@ -45,6 +48,7 @@ class RunSink:
         self.locations = locations
         self.scope_of = scope_of
         self.listing_columns = listing_columns
+        self.buckets = buckets
 
     def _table(self, name: str) -> DataFrame:
         found = self.tables.read_log(name) if name == "events" else self.tables.read(name)
@@ -52,12 +56,19 @@ class RunSink:
 
     def _apply(self, control: dict, schema: StructType) -> None:
         key = f"run-{control['run_id']}"
+        folder = f"staging/run_id={control['run_id']}"
         if self.tables.has_batch(key):
+            self.tables.remove(folder)
             return
-        # The schema is given: a run without rows leaves no file to take it from.
-        folder = f"{self.tables.root}/staging"
-        staged = self.tables.spark.read.schema(schema).option("basePath", folder).parquet(folder)
-        rows = staged.where(F.col("run_id") == control["run_id"]).select(*self.listing_columns, "observed_at")
+        # The schema is given: a run without rows has no folder.
+        read = self.tables.spark.read.schema(schema)
+        try:
+            rows = read.parquet(f"{self.tables.root}/{folder}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.tables.spark.createDataFrame([], schema)
+        rows = rows.select(*self.listing_columns, "observed_at")
         # Of two rows of one instant the greater as text counts, whatever their order of arrival.
         rows = rows.withColumn("_text", F.to_json(F.struct(*self.listing_columns)))
         scopes = self._table("scopes")
@@ -66,12 +77,14 @@ class RunSink:
             rules=self.rules, locations=self.locations, event_log=self._table("events"),
             run_id=control["run_id"], now=control["completed_at"], today=control["completed_at"],
         )
-        commit_run(self.tables, result, scopes=scopes, batch_key=key)
+        commit_run(self.tables, result, scopes=scopes, batch_key=key, buckets=self.buckets)
+        self.tables.remove(folder)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # Both kinds of rows are taken from what was staged, so the source is read once.
-        folder = f"{self.tables.root}/staging/batch={batch_id}"
-        batch.where("kind = 'listing'").write.mode("overwrite").partitionBy("run_id").parquet(folder)
+        listings = batch.where("kind = 'listing'").withColumn("batch", F.lit(batch_id))
+        staging = listings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch")
+        staging.parquet(f"{self.tables.root}/staging")
         controls = batch.where("kind = 'complete'").select("run_id", "scope_name", "completed_at").distinct()
         # One control row per run: a handful, whatever the number of observations.
         for control in controls.orderBy("completed_at", "run_id").toLocalIterator():

@@ -1,6 +1,6 @@
 """Listing state fed by a stream of observations.
 
-Two forms.  ``running_state`` keeps first and latest sighting per listing in
+Two forms here (a third, with timers, is in :mod:`keyed`).  ``running_state`` keeps first and latest sighting per listing in
 Spark's own keyed state.  ``ObservationSink`` merges each micro-batch into a
 versioned state with the rules of a run (insert, change, return, stale guard).
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from listing_lifecycle_spark.operators import lifecycle
-from listing_lifecycle_spark.sources.versions import VersionedTables
+from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables, bucket_of
 
 
 def running_state(observations: DataFrame, order: tuple[str, ...] = ("observed_at", "content_hash")) -> DataFrame:
@@ -39,21 +39,25 @@ class ObservationSink:
     the last batch changes nothing.
     """
 
-    def __init__(self, tables: VersionedTables, empty_state: DataFrame, order: list[str]):
+    def __init__(self, tables: VersionedTables, empty_state: DataFrame, order: list[str], *, buckets: int = BUCKETS):
         self.tables = tables
         self.empty_state = empty_state
         self.order = order
+        self.buckets = buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         key = f"observations-{batch_id}"
         if self.tables.has_batch(key):
             return
-        state = self.tables.read("state")
+        # Only buckets that hold a listing of the batch are read, merged and written.
+        own = [r["bucket"] for r in batch.select(bucket_of(F.col("external_id"), self.buckets).alias("bucket")).distinct().collect()]
+        state = self.tables.read_buckets("state", own)
         # The last row of a listing and its first sighting: the state must not depend on how batches are cut.
         firsts = batch.groupBy("external_id").agg(F.min("observed_at").alias("first_observed_at"))
         latest = lifecycle.last_per_key(batch, self.order).join(firsts, "external_id")
         merged = lifecycle.merge_batch(self.empty_state if state is None else state, latest, run_id=batch_id)
-        self.tables.commit({"state": lifecycle.new_state(merged)}, batch_key=key)
+        placed = lifecycle.new_state(merged).withColumn("bucket", bucket_of(F.col("external_id"), self.buckets))
+        self.tables.commit(buckets={"state": placed}, batch_key=key)
 
 
 def merge_stream(

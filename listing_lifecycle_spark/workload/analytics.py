@@ -10,7 +10,7 @@ from listing_lifecycle_spark.operators import facts as fa
 from listing_lifecycle_spark.operators import filters as fl
 from listing_lifecycle_spark.operators import ranking as rk
 from listing_lifecycle_spark.operators import seasonality as se
-from listing_lifecycle_spark.workload.bindings import with_views
+from listing_lifecycle_spark.workload.bindings import SQL, with_views
 from listing_lifecycle_spark.workload.catalog import query
 
 FACTS = ("places", "listings", "facts")
@@ -407,3 +407,46 @@ def period_labels(t):
         start.cast("string").alias("iso_date"),
         text.duration_text(F.when(F.col("has_cats"), F.col("duration_days"))).alias("duration_text"),
     )
+
+
+# Orders as listings in three runs: the second changes some and adds some, the third again.
+SQL["run_listings"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS external_id, start_date, CASE WHEN third AND o_orderkey % 5 = 0 THEN start_date + 3 ELSE end_date END AS end_date,
+  duration_days, CASE WHEN third AND o_orderkey % 5 = 0 THEN NULL ELSE lead_time_days END AS lead_time_days FROM (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE WHEN second THEN 30 ELSE 0 END AS start_date,
+    CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) + CASE WHEN second THEN 30 ELSE 0 END + CAST(o_orderkey % 40 AS INTEGER) END AS end_date,
+    CAST(o_orderkey % 40 AS INTEGER) + CASE WHEN second THEN 1 ELSE 0 END AS duration_days, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 13 AS INTEGER) END AS lead_time_days, third
+  FROM (SELECT *, o_orderkey % 3 = 0 AND o_orderstatus <> 'O' AS second, o_orderstatus <> 'O' OR o_orderkey % 2 = 0 AS third FROM orders))"""
+
+
+@query(
+    "seasonality_by_runs", "AGG3 JN1 ANA6 SET2",
+    with_views("run_listings", body="""SELECT period_start, CAST(year(period_start) AS INTEGER) AS year, CAST(month(period_start) AS INTEGER) AS month, CAST(week(period_start) AS INTEGER) AS week,
+      count(*) AS listing_count, round(avg(duration_days), 6) AS avg_duration_days, round(avg(lead_time_days), 6) AS avg_lead_time_days
+      FROM (SELECT *, CAST(unnest(generate_series(date_trunc('week', start_date), date_trunc('week', end_date), INTERVAL 7 DAY)) AS DATE) AS period_start FROM run_listings WHERE end_date >= start_date)
+      GROUP BY period_start"""),
+    dates="period_start",
+)
+def seasonality_by_runs(t):
+    """Weekly totals that three runs bring up to date, each from the rows it has changed, not from all."""
+    key, start = F.col("o_orderkey"), F.to_date("o_orderdate")
+    days = (key % 40).cast("int")
+    first = t.table("orders").select(
+        key, F.col("o_orderstatus").alias("kind"), start.alias("start_date"), F.when(F.col("o_orderpriority") != "5-LOW", F.date_add(start, days)).alias("end_date"),
+        days.alias("duration_days"), F.when(key % 7 > 0, (key % 13).cast("int")).alias("lead_time_days"),
+    )
+    shifted = {"start_date": F.date_add("start_date", 30), "end_date": F.date_add("end_date", 30), "duration_days": F.col("duration_days") + 1}
+    old, moved = F.col("kind") != "O", F.col("o_orderkey") % 3 == 0
+    before_second = first.where(old & moved)
+    after_second = before_second.withColumns(shifted).unionByName(first.where(~old & (F.col("o_orderkey") % 2 == 0)))
+    second = first.where(old & ~moved).unionByName(after_second)
+    third = F.col("o_orderkey") % 5 == 0
+    before_third = second.where(third)
+    after_third = before_third.withColumns({"end_date": F.date_add("start_date", 3), "lead_time_days": F.lit(None).cast("int")})
+    late = first.where(~old & (F.col("o_orderkey") % 2 == 1))
+    none = first.limit(0)
+    totals = None
+    for before, after in ((none, first.where(old)), (before_second, after_second), (before_third, after_third.unionByName(late))):
+        changes = se.period_changes(before, after, interval="week")
+        totals = changes if totals is None else se.apply_changes(totals, changes)
+    return se.profile_of(totals)

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from listing_lifecycle_spark import fixed_values as fv
 from listing_lifecycle_spark.functions import maps, text
 from listing_lifecycle_spark.operators import campaigns as ca
 from listing_lifecycle_spark.operators import coverage as co
 from listing_lifecycle_spark.operators import facts as fa
 from listing_lifecycle_spark.operators import lifecycle as lc
-from listing_lifecycle_spark.sources.locations import resolve_site_filter
+from listing_lifecycle_spark.plans import persist
+from listing_lifecycle_spark.session import shared_folder
+from listing_lifecycle_spark.sources.locations import location_dim, resolve_site_filter
+from listing_lifecycle_spark.sources.rules import make_rules, read_rules
+from listing_lifecycle_spark.sources.versions import VersionedTables
 from listing_lifecycle_spark.workload.bindings import SQL, with_views
 from listing_lifecycle_spark.workload.catalog import query
 
@@ -594,10 +602,137 @@ def sit_length_codes(t):
 
 @query(
     "updated_instants", "DQ9 UPS1 UPS4 UPS5",
-    with_views(*REGION, "region_upserted", "region_marked", "region_expired", body=f"""SELECT e.external_id,
-      CASE WHEN e.hit OR e.marked THEN TIMESTAMP '{NOW}' WHEN m.applied THEN m.observed_at END AS updated_at
-      FROM region_expired e JOIN region_merged m USING (external_id)"""),
+    with_views("places", "state", "batch", body=f"""SELECT external_id, CASE
+        WHEN hit OR NOT observed AND coalesce(region = 'ASIA', false) AND status IN ('active', 'missing_once') THEN TIMESTAMP '{NOW}' WHEN applied THEN observed_at END AS updated_at
+      FROM (SELECT *, coalesce(end_date < DATE '{NOW[:10]}' AND status <> 'expired_by_date', false) AS hit FROM (
+        SELECT s.external_id, s.region, b.observed_at, b.external_id IS NOT NULL AS observed, a.applied, CASE WHEN a.applied THEN b.end_date ELSE s.end_date END AS end_date,
+          CASE WHEN a.applied THEN 'active' ELSE s.status END AS status
+        FROM state s LEFT JOIN (SELECT * FROM batch WHERE region = 'ASIA') b ON b.external_id = s.external_id,
+          LATERAL (SELECT b.external_id IS NOT NULL AND NOT coalesce(s.last_seen_at > b.observed_at, false) AS applied) a
+        UNION ALL SELECT external_id, region, observed_at, true, true, end_date, 'active' FROM batch WHERE region = 'ASIA' AND external_id NOT IN (SELECT external_id FROM state)))"""),
     instants="updated_at",
 )
 def updated_instants(t):
     return lc.apply_run(t.state, region_batch(t), SCOPE, run_id=9, now=NOW, today=NOW[:10]).select("external_id", "updated_at")
+
+
+# A campaign: a leaf for each subregion, and further leaves that show the orders with a returned line an hour later.
+SQL["campaign_shown"] = """
+SELECT x.external_id, p.region, a.completed_at + INTERVAL 1 HOUR AS observed_at, CAST(o_orderdate AS DATE) + 400 AS end_date,
+  sha256(CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) + o_orderkey % 2 AS VARCHAR)) AS content_hash
+FROM shown x JOIN orders ON CAST(o_orderkey AS VARCHAR) = x.external_id JOIN places p ON o_custkey = c_custkey JOIN areas a USING (leaf_key)"""
+SQL["campaign_merged"] = """
+SELECT coalesce(s.external_id, b.external_id) AS external_id, b.external_id IS NOT NULL AS observed, s.external_id IS NULL AS created, a.applied,
+  CASE WHEN a.applied THEN b.region ELSE s.region END AS region, CASE WHEN a.applied THEN b.end_date ELSE s.end_date END AS end_date,
+  coalesce(a.applied AND s.content_hash <> b.content_hash, false) AS changed, CASE WHEN a.applied THEN 'active' ELSE s.status END AS status,
+  CASE WHEN a.applied THEN 0 ELSE s.missing_count END AS missing_count, e.absences
+FROM state s FULL JOIN campaign_shown b ON b.external_id = s.external_id LEFT JOIN campaign_evidence e ON e.external_id = s.external_id,
+  LATERAL (SELECT b.external_id IS NOT NULL AND NOT coalesce(s.last_seen_at > b.observed_at, false) AS applied) a"""
+SQL["campaign_evidence"] = """
+SELECT s.external_id, count(*) AS absences FROM state s JOIN areas a ON s.region = a.want_region AND s.island = a.want_island AND s.subregion = a.want_subregion
+  AND s.last_seen_at <= a.completed_at AND a.region_slug <> 'asia' AND a.state_slug = 'north-island'
+WHERE s.status IN ('active', 'missing_once') AND s.external_id NOT IN (SELECT external_id FROM campaign_shown) GROUP BY 1"""
+
+
+def campaign_leaves(t):
+    """The leaves of a campaign with what they have staged, a few hundred listings each at most."""
+    area = areas(t).withColumns({"ordinal": F.lit(0).cast("bigint"), "moment": F.col("completed_at")})
+    kinds = fv.LISTING_SCHEMA
+    listing = {name: F.lit(None).cast(kind) for name, kind in kinds.items()} | {c: F.lit(0) for c in ("total_animals", *fv.PET_COUNT_COLUMNS)}
+    price = F.floor(F.col("o_totalprice") / 100000).cast("bigint") + F.col("o_orderkey") % 2
+    listing |= {
+        "external_id": F.col("o_orderkey").cast("string"), "island": F.col("island"), "region": F.col("region"), "subregion": F.col("subregion"), "city": F.col("city"),
+        "content_hash": F.sha2(price.cast("string"), 256), "end_date": F.date_add(F.to_date("o_orderdate"), 400), "dogs_count": (F.col("o_orderkey") % 3).cast("int"), "no_pets": F.lit(False),
+    }
+    row = F.struct(*[listing[n].cast(k).alias(n) for n, k in kinds.items()])
+    returned = t.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    pages = t.slugged_orders.join(returned, "o_orderkey").groupBy("subregion_slug", F.floor(F.col("o_orderkey") / 2000).alias("page")).agg(F.collect_list(row).alias("listings"))
+    shown_leaves = pages.join(areas(t).select(F.col("leaf_key").alias("subregion_slug"), "completed_at"), "subregion_slug").select(
+        F.lit("c1").alias("campaign_id"), F.concat_ws("/", "subregion_slug", "page").alias("leaf_key"), F.create_map().cast("map<string,string>").alias("site_filter"),
+        (F.col("page") + 1).alias("ordinal"), "listings", (F.col("completed_at") + F.make_dt_interval(hours=F.lit(1))).alias("completed_at"),
+    )
+    none = F.array().cast(shown_leaves.schema["listings"].dataType)
+    both = area.select("campaign_id", "leaf_key", "site_filter", "ordinal", none.alias("listings"), "completed_at").unionByName(shown_leaves)
+    return both.withColumn("status", F.lit("success"))
+
+
+@query(
+    "finished_campaign", "UPS7 UPS8 AGG13 EVT2 EVT3 JN10 SNK3 SNK4",
+    with_views(*SCOPES, "state", "areas", "shown", "campaign_shown", "campaign_evidence", "campaign_merged", body=f"""
+      SELECT 'event' AS part, external_id AS name, CASE WHEN created THEN 'first_match' ELSE 'became_match' END AS value FROM campaign_merged WHERE applied AND region = 'EUROPE'
+      UNION ALL SELECT 'run', 'success', concat_ws('/', count(*) FILTER (WHERE observed), count(*) FILTER (WHERE created), count(*) FILTER (WHERE changed), count(absences)) FROM campaign_merged
+      UNION ALL SELECT 'scope', name, strftime(CASE WHEN enabled THEN greatest(last_success_at, TIMESTAMP '{NOW}') ELSE last_success_at END, '%Y-%m-%d %H:%M:%S') FROM scopes
+      UNION ALL SELECT 'state', external_id, CASE WHEN coalesce(end_date < DATE '{NOW[:10]}' AND now_status <> 'expired_by_date', false) THEN 'expired_by_date' ELSE now_status END FROM (
+        SELECT *, CASE WHEN absences IS NULL THEN status WHEN missing_count + 1 >= {THRESHOLD} THEN 'missing_confirmed' ELSE 'missing_once' END AS now_status FROM campaign_merged)"""),
+)
+def finished_campaign(t):
+    """A campaign from its staged leaves to the published state, events, run row and scopes."""
+    tables = VersionedTables(t.spark, f"{shared_folder(t.spark)}/campaign-{uuid.uuid4().hex}")
+    log = t.spark.createDataFrame([], persist.EVENT_LOG_TYPES)
+    rules = make_rules(t.spark, [dict(rule_name="europe", site_filter={"region": "europe"}, dogs_allowed=True)])
+    result = persist.complete_campaign(
+        t.state, campaign_leaves(t), "all", campaign_id="c1", rules=rules, event_log=log, locations=t.locations, run_id=5, started_at=NOW, now=NOW, today=NOW[:10],
+        threshold=THRESHOLD, excluded_regions=["asia"], allowed_states=["north-island"], succeeded_before=True,
+    )
+    persist.commit_run(tables, result, scopes=t.scopes, batch_key="campaign-c1", buckets=16)
+    numbers = F.concat_ws("/", "listings_seen", "new_listings", "changed_listings", "missing_marked")
+    parts = [
+        tables.read_log("events").select(F.lit("event").alias("part"), F.col("external_id").alias("name"), F.col("event_type").alias("value")),
+        tables.read_log("runs").select(F.lit("run").alias("part"), F.col("status").alias("name"), numbers.alias("value")),
+        tables.read("scopes").select(F.lit("scope").alias("part"), "name", F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss").alias("value")),
+        tables.read("state").select(F.lit("state").alias("part"), F.col("external_id").alias("name"), F.col("status").alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(
+    "rules_from_files", "SRC4 MAP2 MAP4",
+    with_views("places", "locations", body="""SELECT subregion_slug AS rule_name, region <> 'ASIA' AS enabled, CAST(CASE region WHEN 'AFRICA' THEN NULL WHEN 'EUROPE' THEN 9 ELSE 3 END AS INTEGER) AS min_duration_days,
+      2 AS max_dogs, region = 'EUROPE' AS dogs_allowed, CASE WHEN region = 'EUROPE' THEN 'email' ELSE 'telegram' END AS channel, region_slug AS region, '06:30' AS quiet_end FROM locations"""),
+)
+def rules_from_files(t):
+    """A rule file made from the places of the tables and a file of defaults, read and overlaid."""
+    folder = f"{shared_folder(t.spark)}/rules-{uuid.uuid4().hex}"
+    kind = F.col("region")
+    own = F.when(kind == "AFRICA", F.create_map(F.lit("min_duration_days"), F.lit(None).cast("string"))).when(kind == "EUROPE", F.create_map(*[F.lit(x) for x in ("min_duration_days", "9", "dogs_allowed", "true")]))
+    rule = F.struct(
+        F.col("subregion_slug").alias("name"), F.when(kind == "ASIA", F.lit(False)).alias("enabled"), F.create_map(F.lit("region"), "region_slug").alias("site_filter"), own.alias("local_filter"),
+        F.when(kind == "EUROPE", F.struct(F.array(F.lit("email")).alias("channels"))).alias("delivery"),
+    )
+    document = t.locations.agg(F.collect_list(rule).alias("filters")).select(F.to_json(F.struct("filters"), {"ignoreNullFields": "false"}).alias("value"))
+    document.write.text(f"{folder}/rules")
+    defaults = '{"enabled": true, "local_filter": {"min_duration_days": 3, "max_dogs": 2, "dogs_allowed": false}, "delivery": {"channels": ["telegram"], "quiet_hours": {"timezone": "Pacific/Auckland", "start": "00:00", "end": "06:30"}}}'
+    t.spark.createDataFrame([(defaults,)], "value string").coalesce(1).write.text(f"{folder}/defaults")
+    rules = read_rules(t.spark, f"{folder}/rules", f"{folder}/defaults")
+    return rules.select("rule_name", "enabled", "min_duration_days", "max_dogs", "dogs_allowed", F.col("channels")[0].alias("channel"), F.try_element_at("site_filter", F.lit("region")).alias("region"), "quiet_end")
+
+
+LOCATION_ROWS = ", ".join(f"({i}, " + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for i, row in enumerate(sorted(fv.LOCATIONS, key=lambda r: (r[1], r[3]))))
+SLUG_SQL = "regexp_replace(regexp_replace(replace(replace(lower(strip_accents({0})), '''', ''), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(
+    "located_customers", "SRC5 JN12 S16 S17",
+    f"""SELECT c_custkey, island, region, region_id, subregion, subregion_id, {SLUG_SQL.format("island")} AS state_slug, {SLUG_SQL.format("region")} AS region_slug, {SLUG_SQL.format("subregion")} AS subregion_slug
+      FROM customer JOIN (VALUES {LOCATION_ROWS}) l(n, island, region, region_id, subregion, subregion_id) ON n = c_custkey % {len(fv.LOCATIONS)}""",
+)
+def located_customers(t):
+    """Customers dealt over the location dimension, with labels, site ids and slugs."""
+    places = location_dim(t.spark).withColumn("n", F.row_number().over(Window.orderBy("region", "subregion")) - 1)  # a row for each subregion of the site
+    rows = t.table("customer").select("c_custkey", (F.col("c_custkey") % len(fv.LOCATIONS)).alias("n"))
+    return rows.join(places, "n").drop("n")
+
+
+@query(
+    "typed_leaves", "ARR4 ARR3",
+    with_views("leaves", body="""SELECT leaf_key, ordinal, status, CAST(len(listings) AS INTEGER) AS staged, listings[1].external_id AS first_id, listings[len(listings)].content_hash AS last_hash,
+      list_aggregate(list_transform(listings, lambda x: x.external_id), 'string_agg', ',') AS ids FROM leaves"""),
+)
+def typed_leaves(t):
+    """Leaves written and read again with their typed array of staged listings."""
+    folder = f"{shared_folder(t.spark)}/leaves-{uuid.uuid4().hex}"
+    t.leaves.write.parquet(folder)
+    back = t.spark.read.schema(t.leaves.schema).parquet(folder)
+    ids = F.transform("listings", lambda x: x["external_id"])
+    return back.select("leaf_key", "ordinal", "status", F.size("listings").alias("staged"), F.try_element_at(ids, F.lit(1)).alias("first_id"),
+                       F.try_element_at(F.transform("listings", lambda x: x["content_hash"]), F.lit(-1)).alias("last_hash"), F.when(F.size(ids) > 0, F.array_join(ids, ",")).alias("ids"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listing_lifecycle_spark import fixed_values as fv
 from listing_lifecycle_spark.functions import text
 from listing_lifecycle_spark.operators import quality as qu
 from listing_lifecycle_spark.plans import health as he
+from listing_lifecycle_spark.session import shared_folder
 from listing_lifecycle_spark.sources import tables as ta
 from listing_lifecycle_spark.workload.bindings import with_views
 from listing_lifecycle_spark.workload.catalog import query
@@ -63,6 +66,38 @@ def violation_counts(t):
     return qu.violation_counts(rows, qu.listing_rules(rows.columns))
 
 
+@query(
+    "checked_write", "DQ1 DQ2 DQ3 DQ4 DQ7",
+    with_views("places", "listings", body="\nUNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) AS counted, count(*) AS set_apart FROM listings WHERE {broken}" for name, broken in SPOILED_RULES.items())
+        + "\nUNION ALL SELECT 'kept', count(*), count(*) FROM listings WHERE NOT coalesce(" + " OR ".join(f"coalesce({b}, false)" for b in SPOILED_RULES.values()) + ", false)"),
+)
+def checked_write(t):
+    """Spoiled listings written in one pass: what was counted on the way, and what lies in the table of violations."""
+    rows = spoiled(t)
+    done = qu.check_and_write(rows, qu.listing_rules(rows.columns), f"{shared_folder(t.spark)}/checked-{uuid.uuid4().hex}", contract=dict(rows.dtypes))
+    counted = [(name, n) for name, n in done.violations.items() if n] + [("kept", done.rows - done.broken(t.spark).count())]
+    apart = done.broken(t.spark).select(F.explode("broken_rules").alias("rule")).unionByName(done.kept(t.spark).select(F.lit("kept").alias("rule")))
+    return t.spark.createDataFrame(counted, "rule string, counted bigint").join(apart.groupBy("rule").agg(F.count(F.lit(1)).alias("set_apart")), "rule")
+
+
+#: What a table of orders is held to have: one column more, one less, and another type.
+ORDER_CONTRACT = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "int", "o_orderdate": "timestamp_ntz", "o_clerk": "string"}
+
+
+@query(
+    "contract_differences", "DQ7",
+    """SELECT 'missing: o_clerk' AS difference, count(*) AS rows FROM orders UNION ALL SELECT 'not in contract: o_orderpriority', count(o_orderpriority) FROM orders
+      UNION ALL SELECT 'type of o_totalprice: double, expected int', count(o_totalprice) FROM orders""",
+)
+def contract_differences(t):
+    """How the orders differ from a contract, and how many rows it concerns."""
+    rows = t.table("orders")
+    found = [(d, d.removeprefix("type of ").removeprefix("not in contract: ").split(":")[0]) for d in qu.schema_differences(rows, ORDER_CONTRACT)]
+    named = [F.struct(F.lit(d).alias("difference"), F.count(F.col(c) if c in rows.columns else F.lit(1)).alias("rows")) for d, c in found]
+    return rows.agg(F.array(*named).alias("found")).select(F.inline("found"))
+
+
 @query(
     "run_violations", "DQ1 DQ2",
     with_views("places", "locations", "runs", body="SELECT id, 'status_known' AS rule FROM runs WHERE status = 'partial_failure'"),
@@ -139,6 +174,10 @@ def snapshot_metadata(t):
 NOW = "2001-08-03 06:00:00"
 HOURS = 240
 HEALTH = ("places", "locations", "scopes", "runs")
+#: The status in SQL: no success or coverage too old is critical, else the number of failures decides.
+STATUS_SQL = f"""CASE WHEN successful_runs = 0 OR stalest_name IS NULL OR stalest_success IS NULL
+  OR epoch_us(now_at) - epoch_us(stalest_success) > stalest_interval * {fv.HEALTH_STALE_INTERVALS} * 60000000::BIGINT THEN 'CRITICAL'
+  WHEN failed_runs = 0 THEN 'FLAWLESS' WHEN failed_runs <= {fv.HEALTH_OK_MAX_FAILURES} THEN 'OK' WHEN failed_runs <= {fv.HEALTH_WARN_MAX_FAILURES} THEN 'WARN' ELSE 'CRITICAL' END"""
 WINDOW = f"TIMESTAMP '{NOW}' - INTERVAL {HOURS} HOUR"
 
 
@@ -238,3 +277,33 @@ def health_summary(t):
 )
 def health_lines(t):
     return he.health_lines(t.runs, t.scopes, now=NOW, hours=HOURS)
+
+
+#: Moments and windows (hours) of health reports, from quiet ones to one with many failures.
+REPORTS = [("1995-02-01 00:00:00", 24), ("1995-03-05 00:00:00", 24), ("1995-03-09 00:00:00", 240), ("1995-04-01 12:00:00", 24), ("1995-05-01 00:00:00", 720)]
+
+
+@query(
+    "health_reports", "ANA9 AGG16 AGG17 AGG18 WIN4",
+    with_views(*HEALTH, body=f"""SELECT strftime(now_at, '%Y-%m-%d %H:%M') AS at, successful_runs, failed_runs, stalest_name, {STATUS_SQL} AS status FROM (
+      SELECT d.now_at, (SELECT count(*) FROM runs r WHERE r.status = 'success' AND r.finished_at >= d.now_at - to_hours(d.hours) AND r.finished_at < d.now_at) AS successful_runs,
+        (SELECT count(*) FROM runs r WHERE r.status IN ('failed', 'partial_failure', 'suspicious') AND r.started_at >= d.now_at - to_hours(d.hours) AND r.started_at < d.now_at) AS failed_runs,
+        s.name AS stalest_name, s.interval_minutes AS stalest_interval, s.latest AS stalest_success
+      FROM (VALUES {", ".join(f"(TIMESTAMP '{at}', {hours})" for at, hours in REPORTS)}) d(now_at, hours)
+      JOIN (SELECT *, row_number() OVER (PARTITION BY now_at ORDER BY (epoch_us(now_at) - epoch_us(latest)) / (interval_minutes * 60000000::BIGINT) DESC, name) AS rn FROM (
+          SELECT x.now_at, c.name, c.interval_minutes * 4000 AS interval_minutes, max(r.finished_at) AS latest FROM (VALUES {", ".join(f"(TIMESTAMP '{at}')" for at, _ in REPORTS)}) x(now_at)
+          JOIN runs r ON r.status = 'success' AND r.finished_at < x.now_at JOIN scopes c ON c.name = r.scope_name AND c.enabled AND c.subregion_slug IS NOT NULL GROUP BY ALL)) s
+        ON s.now_at = d.now_at AND s.rn = 1)"""),
+)
+def health_reports(t):
+    """Health reports of several moments, each from the runs before it: bands from flawless to critical."""
+    runs, out = t.runs, None
+    watched = t.scopes.where("subregion_slug IS NOT NULL").select("name", "enabled", (F.col("interval_minutes") * 4000).alias("interval_minutes"))
+    for now, hours in REPORTS:
+        counted = F.when(F.col("status") == "success", F.col("finished_at")).otherwise(F.col("started_at"))
+        past = runs.where(counted < F.lit(now).cast("timestamp_ntz"))
+        latest = past.where("status = 'success'").groupBy(F.col("scope_name").alias("name")).agg(F.max("finished_at").alias("last_success_at"))
+        row = he.health_summary(past, watched.join(latest, "name"), now=now, hours=hours)
+        row = row.select(F.lit(now[:16]).alias("at"), "successful_runs", "failed_runs", "stalest_name", "status")
+        out = row if out is None else out.unionByName(row)
+    return out

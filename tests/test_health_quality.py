@@ -89,3 +89,19 @@ def test_keys_references_and_contract(spark):
     odd = rows.drop("url").withColumn("raw_html", F.lit("x")).withColumn("no_pets", F.lit(1))
     assert qu.schema_differences(odd, fv.LISTING_SCHEMA) == ["missing: url", "not in contract: raw_html", "type of no_pets: int, expected boolean"]
     assert qu.violations(spark.createDataFrame([(1, 0, 3)], "id int, interval_minutes int, missing_threshold_runs int"), qu.scope_rules(), ["id"]).first().rule == "interval_positive"
+
+
+def test_checked_write(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, -1, "b"), (3, None, None), (4, -2, None)], "id int, n int, s string")
+    rules = {"n_positive": F.col("n") >= 0, "s_present": F.col("s").isNotNull()}
+    done = qu.check_and_write(rows, rules, str(tmp_path / "out"), contract={"id": "int", "n": "int", "s": "string"})
+    assert (done.rows, done.violations) == (4, {"n_positive": 2, "s_present": 2})
+    assert sorted(r.id for r in done.kept(spark).collect()) == [1] and done.kept(spark).columns == ["id", "n", "s"]
+    assert sorted((r.id, tuple(r.broken_rules)) for r in done.broken(spark).collect()) == [(2, ("n_positive",)), (3, ("s_present",)), (4, ("n_positive", "s_present"))]
+    clean = qu.check_and_write(rows.where("id = 1"), rules, str(tmp_path / "clean"))
+    assert clean.violations == {"n_positive": 0, "s_present": 0} and clean.broken(spark).count() == 0 and clean.kept(spark).count() == 1
+    empty = qu.check_and_write(rows.limit(0), rules, str(tmp_path / "empty"))
+    assert (empty.rows, empty.kept(spark).count(), empty.broken(spark).count()) == (0, 0, 0)
+    with pytest.raises(ValueError, match="missing: x"):
+        qu.check_and_write(rows, rules, str(tmp_path / "refused"), contract={"id": "int", "n": "int", "s": "string", "x": "int"})
+    assert not (tmp_path / "refused").exists()
