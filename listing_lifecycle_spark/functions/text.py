@@ -35,9 +35,29 @@ def normalize_space(text: Column) -> Column:
     return present(F.trim(F.regexp_replace(text, _SPACES, " ")))
 
 
+@lru_cache(maxsize=1)
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """All letters that full case folding changes: into one character, or into several."""
+    single_from, single_to, several = [], [], {}
+    for code in range(0x110000):
+        letter, folded = chr(code), chr(code).casefold()
+        if len(folded) > 1:
+            several[letter] = folded
+        elif folded != letter:
+            single_from.append(letter)
+            single_to.append(folded)
+    return "".join(single_from), "".join(single_to), several
+
+
 def fold_case(text: Column) -> Column:
-    """Case-insensitive form.  Equals full case folding except for special characters such as sharp s."""
-    return F.lower(text)
+    """Case-insensitive form by full case folding: ``Straße`` and ``STRASSE`` are one, a final sigma is a sigma."""
+    single_from, single_to, several = _fold_table()
+
+    def folded(t: Column) -> Column:
+        written_out = F.try_element_at(F.call_function("transform", F.array(t), F.expr(_several_lambda(tuple(several.items())))), F.lit(1))
+        return F.translate(written_out, single_from, single_to)
+
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(folded(text))
 
 
 @lru_cache(maxsize=1)
@@ -63,10 +83,10 @@ def _map_literal(pairs: dict[str, str]) -> str:
     return f"str_to_map(decode(X'{joined.encode().hex()}', 'UTF-8'), chr(30), chr(31))"
 
 
-@lru_cache(maxsize=1)
-def _several_lambda() -> str:
-    """SQL lambda that writes letters out that stand for several ASCII characters (ligatures, units, fractions)."""
-    several = _accent_table()[2]
+@lru_cache(maxsize=2)
+def _several_lambda(pairs: tuple[tuple[str, str], ...]) -> str:
+    """SQL lambda that writes letters out that stand for several characters (ligatures, units, fractions, sharp s)."""
+    several = dict(pairs)
     letters = f"decode(X'{('[' + ''.join(several) + ']').encode().hex()}', 'UTF-8')"
     return f"""t -> CASE WHEN NOT t RLIKE {letters} THEN t
       ELSE array_join(transform(split(t, ''), c -> coalesce(try_element_at({_map_literal(several)}, c), c)), '') END"""
@@ -74,8 +94,8 @@ def _several_lambda() -> str:
 
 def slugify(label: Column) -> Column:
     """URL slug of a label: accents dropped, apostrophes removed, other runs become one dash."""
-    single_from, single_to, _ = _accent_table()
-    plain = F.try_element_at(F.call_function("transform", F.array(label), F.expr(_several_lambda())), F.lit(1))
+    single_from, single_to, several = _accent_table()
+    plain = F.try_element_at(F.call_function("transform", F.array(label), F.expr(_several_lambda(tuple(several.items())))), F.lit(1))
     plain = F.translate(plain, single_from, single_to)
     plain = F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
     plain = F.replace(F.replace(plain, F.lit("'"), F.lit("")), F.lit("&"), F.lit(" and "))

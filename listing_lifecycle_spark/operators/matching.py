@@ -6,13 +6,17 @@ never makes a row disappear by itself.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listing_lifecycle_spark import fixed_values as fv
 from listing_lifecycle_spark.functions.joins import join_dimension
 from listing_lifecycle_spark.functions.text import fold_case
 from listing_lifecycle_spark.operators.lifecycle import covered_by
+from listing_lifecycle_spark.operators.rule_index import matched
 from listing_lifecycle_spark.sources.rules import resolved_rules
 from listing_lifecycle_spark.sources.tables import all_of
 
@@ -119,23 +123,41 @@ def _place_key(level: str, *labels: Column) -> Column:
     return F.concat(*parts)
 
 
+INDEXED = 50_000  # rules that are indexed on the spot
+
+
 def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1) -> DataFrame:
     """Every listing with every enabled rule it satisfies.
 
+    Up to ``INDEXED`` rules are gathered (a job) and indexed in the tasks, so that listings are read once, as they are
+    (:mod:`rule_index`).  More rules than that, or ``slices`` over 1, meet the listings in a join (``match_rules_by_join``).
+    A rule with an error matches nothing (see ``rule_errors``).
+    """
+    usable = resolved_rules(rules, locations).where(F.col("enabled") & F.col("rule_error").isNull())
+    shown = usable.drop("site_filter", "filter_error", "rule_error", "want_region_id", "want_subregion_id", "enabled")
+    if slices <= 1:
+        known = shown.limit(INDEXED + 1).toArrow()
+        if known.num_rows <= INDEXED:
+            schema = StructType([*listings.schema, *shown.schema])
+            return listings.mapInArrow(partial(matched, rules=known), schema) if known.num_rows else listings.limit(0).mapInArrow(partial(matched, rules=known), schema)
+    return match_rules_by_join(listings, shown, slices=slices)
+
+
+def match_rules_by_join(listings: DataFrame, usable: DataFrame, *, slices: int = 1) -> DataFrame:
+    """:func:`match_rules` for any number of rules (resolved, enabled and without an error), as a join.
+
     A rule names a subregion, a region, a state or no place, so it has one place
     key.  A listing offers its four keys.  Rule and listing
     meet on that key instead of comparing all listings with all rules, and the
-    remaining conditions are checked on the few that meet.  A rule with an error
-    matches nothing (see ``rule_errors``).
+    remaining conditions are checked on the few that meet.
     """
-    usable = resolved_rules(rules, locations).where(F.col("enabled") & F.col("rule_error").isNull())
     keyed_rules = usable.withColumn(
         "_place",
         F.when(F.col("want_subregion").isNotNull(), _place_key("s", F.col("want_region"), F.col("want_subregion")))
         .when(F.col("want_region").isNotNull(), _place_key("r", F.col("want_region")))
         .when(F.col("want_island").isNotNull(), _place_key("i", F.col("want_island")))
         .otherwise(_place_key("*")),
-    ).drop("site_filter", "filter_error", "rule_error", "want_region_id", "want_subregion_id", "enabled")
+    )
     places = F.array_compact(
         F.array(
             _place_key("*"),

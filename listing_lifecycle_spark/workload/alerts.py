@@ -95,6 +95,40 @@ def match_counts_many_rules(t):
     return found.groupBy("state_slug", "region_slug", "subregion_slug", "min_days").agg(F.count(F.lit(1)).alias("matched"))
 
 
+@query(
+    "match_counts_ten_thousand_rules", "JN3 EVT1 FLT14 FLT15",
+    with_views("places", "locations", "listings", body="""SELECT l.state_slug, l.region_slug, l.subregion_slug, strftime(m.month, '%Y-%m-%d') AS month, c.code, count(*) AS matched
+      FROM listings li JOIN locations l USING (island, region, subregion)
+      JOIN (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem) m ON li.start_date >= m.month AND li.end_date <= m.month + 120
+      JOIN (VALUES ('60', 0, 7), ('61', 8, 14), ('62', 15, 28), ('63', 29, 60), ('64', 61, 99999)) c(code, low, high) ON li.duration_days BETWEEN c.low AND c.high GROUP BY ALL"""),
+)
+def match_counts_ten_thousand_rules(t):
+    """A rule for each place, month and sit length of the tables, by the index."""
+    months = t.table("lineitem").select(F.trunc("l_shipdate", "month").alias("month")).distinct()
+    template = make_rules(t.spark, [dict(rule_name="template", birds_allowed=True, **ANY_PET)]).withColumn("_one", F.lit(1))
+    codes = F.explode(F.array(*[F.lit(c) for c in fv.SIT_LENGTH_CODES]))
+    slugs = ["state_slug", "region_slug", "subregion_slug"]
+    cells = t.locations.select(*slugs, codes.alias("code")).withColumn("_one", F.lit(1)).join(months.withColumn("_one", F.lit(1)), "_one")
+    pairs = [c for key, slug in zip(("state", "region", "subregion"), slugs) for c in (F.lit(key), F.col(slug))]
+    many = cells.join(template, "_one").withColumns(
+        {
+            "rule_name": F.concat_ws("/", *slugs, F.col("month").cast("string"), "code"),
+            "site_filter": F.create_map(*pairs, F.lit("sitlengths"), F.col("code")),
+            "start_date_on_or_after": F.col("month"), "end_date_on_or_before": F.date_add("month", 120),
+        }
+    ).drop("_one")
+    found = ma.match_rules(t.listings, many, t.locations)
+    return found.groupBy(*slugs, F.col("month").cast("string").alias("month"), "code").agg(F.count(F.lit(1)).alias("matched"))
+
+
+@query(
+    "folded_texts", "S23",
+    "SELECT doc_id, sha256(replace(replace(lower(text), 'ß', 'ss'), 'ẞ', 'ss')) AS folded FROM documents",
+)
+def folded_texts(t):
+    return t.table("documents").select("doc_id", F.sha2(text.fold_case(F.col("text")), 256).alias("folded"))
+
+
 @query(
     "content_hashes", "S2 S3",
     with_views("places", "listings", body="SELECT external_id, title, "

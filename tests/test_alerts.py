@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -72,6 +73,45 @@ def test_sliced_join_equals_broadcast(spark, locations):
     assert matched(spark, locations, rows, rules) == matched(spark, locations, rows, rules, slices=5)
 
 
+def test_index_equals_join_on_random_rules(spark, locations):
+    """Nulls, empty lists, words in other cases, reversed dates, unknown places: the index and the join find the same."""
+    r = random.Random(8)
+    some = lambda *values: r.choice([None, *values])
+    day = lambda: date(2026, r.randint(1, 12), r.randint(1, 28))
+    places = r.sample(fv.LOCATIONS, 6) + [("North Island", "Nowhere", "x", "Nothing", "y")]
+    rows = []
+    for i in range(400):
+        island, region, _, subregion, _ = r.choice(places)
+        rows.append(listing(
+            f"l{i}", island=some(island, island), region=some(region, region), subregion=some(subregion, subregion, subregion), duration_days=some(1, 7, 8, 30, 61, 200), start_date=some(day(), day()),
+            end_date=some(day(), day()), house_type=some("House", "Unit", "Boat"), total_animals=some(0, 1, 5), dogs_count=some(0, 0, 2), cats_count=some(0, 0, 1), no_pets=some(True, False, False),
+            reply_rating_score=some(0, 5, 10), title=some("Große Straße", "STRASSE", "", "abc"), intro=some("ab", "Bc d", ""), listing_tag=some("x", "")))
+    slug = {p[:2] + (p[3],): s for p, s in (((x["island"], x["region"], "", x["subregion"]), (x["state_slug"], x["region_slug"], x["subregion_slug"])) for x in locations.collect())}
+    rules = []
+    for i in range(150):
+        state_slug, region_slug, subregion_slug = r.choice([slug[p[0], p[1], p[3]] for p in places[:-1]])
+        site = r.choice([{}, {}, {"state": state_slug}, {"region": region_slug}, {"region": region_slug, "subregion": subregion_slug}])
+        rule = dict(
+            rule_name=f"r{i}", site_filter={**site, **r.choice([{}, {}, {"sitlengths": r.choice(["60", "61", "62", "63", "64"])}])}, date_window_match=some("contained", "overlaps"),
+            start_date_on_or_after=some(str(day())), end_date_on_or_before=some(str(day())), min_duration_days=some(5), max_duration_days=some(40), max_total_animals=some(1), max_dogs=some(1),
+            min_reply_rating_score=some(5), allowed_islands=some(["North Island"], []), allowed_regions=some([places[0][1], places[1][1], None]), allowed_subregions=some([places[0][3], places[2][3]]),
+            allowed_house_types=some(["House", "Unit"]), excluded_house_types=some(["Boat"], [], [None]), include_keywords=some([], ["STRASSE"], ["B", "a"], [None], [""]), exclude_keywords=some([], ["ß"], ["D", None]),
+            dogs_allowed=r.random() < 0.8, cats_allowed=r.random() < 0.8, no_pets_allowed=r.random() < 0.8)
+        for name in ("allowed_islands", "allowed_regions", "allowed_subregions", "allowed_house_types", "include_keywords", "start_date_on_or_after", "min_reply_rating_score"):
+            rule[name] = r.choice([None, None, rule[name]])  # else hardly any rule would match anything
+        rules.append(rule)
+    indexed = matched(spark, locations, rows, rules)
+    assert indexed == matched(spark, locations, rows, rules, slices=3) and len(indexed) > 500
+    wide = ma.match_rules(listings(spark, rows), make_rules(spark, rules), locations)
+    other = ma.match_rules(listings(spark, rows), make_rules(spark, rules), locations, slices=2)
+    assert wide.columns == other.columns and wide.dtypes == other.dtypes
+    assert sorted(map(str, wide.collect())) == sorted(map(str, other.collect()))
+
+
+def test_no_rules_match_nothing(spark, locations):
+    assert matched(spark, locations, [BASE], [dict(rule_name="off", enabled=False)]) == set()
+
+
 def test_stable_hash_counts_nulls(spark):
     rows = spark.createDataFrame([(1, None, 2), (1, 2, None), (1, None, 2)], "a int, b int, c int")
     hashes = [r[0] for r in rows.select(stable_hash(["c", "a", "b"])).collect()]

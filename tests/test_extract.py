@@ -144,6 +144,14 @@ def test_slugs_of_all_letters(spark):
     assert [(r.t, r.s) for r in df.collect() if r.s != plain(r.t)] == []
 
 
+def test_full_case_folding_of_all_letters(spark):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = ["".join(f"A{x}b" for x in points[i : i + 50]) for i in range(0, len(points), 50)] + ["Straße", "STRASSE", "ΟΔΟΣ", "ﬁne", "", "PLAIN"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.fold_case(F.col("t")).alias("f"))
+    assert [(r.t, r.f) for r in df.collect() if r.f != r.t.casefold()] == []
+    assert spark.range(1).select(text.fold_case(F.lit(None).cast("string"))).first()[0] is None
+
+
 def test_entities_like_the_standard_library(spark):
     samples = ["a &amp;amp; b", "&lt;b&gt; &quot;q&quot; &apos;", "&eacute;&Uuml;&euro;", "&#233;&#xE9;&#128054;", "&bogus; & &; &#;", "plain", "&nbsp;x"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
