@@ -12,6 +12,7 @@ from listing_lifecycle_spark.operators import campaigns, coverage, lifecycle
 from listing_lifecycle_spark.operators.events import create_events
 from listing_lifecycle_spark.operators.matching import match_rules
 from listing_lifecycle_spark.session import cut_lineage
+from listing_lifecycle_spark.sources.eventlog import EventLog
 from listing_lifecycle_spark.sources.locations import resolve_site_filter
 from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables, changed_buckets
 
@@ -49,13 +50,15 @@ def run_once(
     *,
     rules: DataFrame,
     locations: DataFrame,
-    event_log: DataFrame,
+    event_log: DataFrame | EventLog,
     run_id: int,
     now,
     today,
 ) -> RunResult:
     """Apply a batch to the state and derive its events.
 
+    Of an ``EventLog`` only the parts are read that may hold an event of a matched listing and rule.
+
     The merged rows are needed by the counters, the events and the new state, so
     they are worked out once and kept in the shared folder.  A batch that turns
     out to be empty is suspicious: the merged rows are dropped.
@@ -69,12 +72,22 @@ def run_once(
         return RunResult(run_row(spark, scope.name, run_id=run_id, started_at=now, now=now, counts=empty, status=status), None, None, status)
     # Expiry comes after the alerts, but matching reads only content, which expiry leaves alone.
     matches = match_rules(merged.where("observed"), rules, locations)
-    events = create_events(matches, event_log, run_id=run_id, event_time=now)
+    if isinstance(event_log, EventLog):
+        matches = cut_lineage(matches)
+    events = create_events(matches, earlier_events(event_log, matches), run_id=run_id, event_time=now)
     return RunResult(
         run_row(spark, scope.name, run_id=run_id, started_at=now, now=now, counts=counts, status=status), merged, events, status
     )
 
 
+def earlier_events(event_log: DataFrame | EventLog, matches: DataFrame) -> DataFrame:
+    """The log, or the parts of it that matter for ``matches``."""
+    if not isinstance(event_log, EventLog):
+        return event_log
+    found = event_log.of(matches)
+    return matches.sparkSession.createDataFrame([], EVENT_LOG_TYPES) if found is None else found
+
+
 def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame, batch_key: str = "", buckets: int = BUCKETS) -> int:
     """Publish a run: state, events, run row and scopes become visible together or not at all.
 
@@ -83,9 +96,10 @@ def commit_run(tables: VersionedTables, result: RunResult, *, scopes: DataFrame,
     if result.merged is None:
         return tables.commit(logs={"runs": result.run}, batch_key=batch_key)
     changed = changed_buckets(result.merged, "external_id", lifecycle.touched(), buckets)
+    events = EventLog(tables).logs(cut_lineage(result.events))
     return tables.commit(
         {"scopes": coverage.advance_scopes(scopes, result.run)},
-        logs={"events": result.events, "runs": result.run},
+        logs={**events, "runs": result.run},
         buckets={"state": lifecycle.new_state(changed)},
         batch_key=batch_key,
     )

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "version long, batch_key string, tables array<string>, buckets map<string,array<int>>"
+_POINTER = "version long, batch_key string, tables array<string>, buckets map<string,array<int>>, takes_over map<string,long>"
 FOLD = 64  # pointer files that are read one by one, at most
 BUCKETS = 256
 
@@ -114,21 +114,34 @@ class VersionedTables:
         change = F.when(F.col("old_hash").isNull(), "inserted").when(F.col("new_hash").isNull(), "removed").otherwise("changed")
         return both.where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select(key, change.alias("change"), "old_hash", "new_hash")
 
-    def read_log(self, log: str) -> DataFrame | None:
-        """All committed rows of a log; the version is a partition, so rows of a failed commit are pruned away."""
-        version = self.current(log)
-        if version is None:
+    def log_parts(self, log: str) -> list[int]:
+        """The versions that a log's rows lie in; one that has taken over earlier ones stands for them."""
+        pointers = self._pointers()
+        if pointers is None:
+            return []
+        upto = F.max(F.try_element_at("takes_over", F.lit(log)))
+        own = pointers.where(F.array_contains("tables", log))
+        row = own.agg(F.collect_set("version").alias("versions"), F.coalesce(upto, F.lit(0)).alias("upto")).first()
+        return sorted(v for v in row["versions"] if v > row["upto"])
+
+    def read_log(self, log: str, *, parts: list[int] | None = None, with_version: bool = False) -> DataFrame | None:
+        """All committed rows of a log, or those of some of its parts; nothing of a failed commit is among them."""
+        own = self.log_parts(log)
+        if not own:
             return None
-        rows = self.spark.read.option("basePath", f"{self.root}/{log}").parquet(f"{self.root}/{log}")
-        return rows.where(F.col("version") <= version).drop("version")
+        paths = [f"{self.root}/{log}/version={v}" for v in (own if parts is None else parts)]
+        rows = self.spark.read.option("basePath", f"{self.root}/{log}").parquet(*(paths or [f"{self.root}/{log}/version={own[-1]}"]))
+        rows = rows if paths else rows.limit(0)
+        return rows if with_version else rows.drop("version")
 
     def commit(
         self, tables: dict[str, DataFrame] | None = None, *, logs: dict[str, DataFrame] | None = None,
-        buckets: dict[str, DataFrame] | None = None, batch_key: str = "",
+        buckets: dict[str, DataFrame] | None = None, batch_key: str = "", takes_over: dict[str, int] | None = None,
     ) -> int:
         """Write the tables, the changed buckets and the new rows of the logs, then the pointer; returns the version.
 
         ``buckets`` has, by table, whole buckets: their rows with a column ``bucket`` (see ``changed_buckets``).
+        ``takes_over`` names logs whose new part stands for all parts up to a version.
         """
         tables, logs, buckets = tables or {}, logs or {}, buckets or {}
         version = (self.current() or 0) + 1
@@ -140,7 +153,7 @@ class VersionedTables:
         for name, df in buckets.items():
             df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/written={version}")
             changed[name] = [int(n.split("=")[1]) for n in self._names(f"{name}/written={version}") if n.startswith("bucket=")]
-        pointer = self.spark.createDataFrame([(version, batch_key, [*tables, *logs, *buckets], changed)], _POINTER)
+        pointer = self.spark.createDataFrame([(version, batch_key, [*tables, *logs, *buckets], changed, takes_over or {})], _POINTER)
         pointer.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
         self._fold(version)
         return version

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from listing_lifecycle_spark.operators import lifecycle
 from listing_lifecycle_spark.plans.persist import commit_run, run_once
+from listing_lifecycle_spark.sources.eventlog import EventLog
 from listing_lifecycle_spark.sources.versions import BUCKETS, VersionedTables
 
 
@@ -28,7 +29,9 @@ class RunSink:
     folder of their run and batch, so that a repeated batch replaces itself and a
     run reads its own rows only; the folder goes when the run is committed.  Each
     run is committed under its own key, so that it is applied once.
-    Events are deduplicated against the whole log, not within a time window.
+    Events are deduplicated against the whole log, not within a time window; only
+    the parts of it are read that may hold an event of a matched listing, and after
+    ``fold_after`` parts they are folded into one.
     """
 
     def __init__(
@@ -41,6 +44,7 @@ class RunSink:
         scope_of: Callable[[dict], lifecycle.RunScope],
         listing_columns: list[str],
         buckets: int = BUCKETS,
+        fold_after: int = 64,
     ):
         self.tables = tables
         self.empty = empty
@@ -49,9 +53,10 @@ class RunSink:
         self.scope_of = scope_of
         self.listing_columns = listing_columns
         self.buckets = buckets
+        self.fold_after = fold_after
 
     def _table(self, name: str) -> DataFrame:
-        found = self.tables.read_log(name) if name == "events" else self.tables.read(name)
+        found = self.tables.read(name)
         return self.empty[name] if found is None else found
 
     def _apply(self, control: dict, schema: StructType) -> None:
@@ -74,11 +79,14 @@ class RunSink:
         scopes = self._table("scopes")
         result = run_once(
             self._table("state"), lifecycle.last_per_key(rows, ["observed_at", "_text"]).drop("_text"), self.scope_of(control),
-            rules=self.rules, locations=self.locations, event_log=self._table("events"),
+            rules=self.rules, locations=self.locations, event_log=EventLog(self.tables),
             run_id=control["run_id"], now=control["completed_at"], today=control["completed_at"],
         )
         commit_run(self.tables, result, scopes=scopes, batch_key=key, buckets=self.buckets)
         self.tables.remove(folder)
+        log = EventLog(self.tables)
+        if len(log.parts()) >= self.fold_after:
+            log.fold()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # Both kinds of rows are taken from what was staged, so the source is read once.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listing_lifecycle_spark import fixed_values as fv
@@ -9,9 +11,11 @@ from listing_lifecycle_spark.functions import calendar, hashing, maps, text
 from listing_lifecycle_spark.operators import deliveries as de
 from listing_lifecycle_spark.operators import events as ev
 from listing_lifecycle_spark.operators import matching as ma
-from listing_lifecycle_spark.session import cut_lineage
+from listing_lifecycle_spark.session import cut_lineage, shared_folder
+from listing_lifecycle_spark.sources.eventlog import EventLog
 from listing_lifecycle_spark.sources.rules import make_rules, synchronize
 from listing_lifecycle_spark.sources.tables import absent_from_log
+from listing_lifecycle_spark.sources.versions import VersionedTables
 from listing_lifecycle_spark.workload.bindings import SQL, with_views
 from listing_lifecycle_spark.workload.catalog import query
 
@@ -246,6 +250,25 @@ def created_events(t):
     )
 
 
+@query(
+    "created_events_from_parts", "EVT3 JN13 SNK4",
+    with_views(*EVENT_VIEWS, body="""SELECT c.rule_name, c.order_id AS external_id, event_type, appearance AS appearance_sequence, fingerprint AS alert_fingerprint FROM classified c
+      WHERE event_type IS NOT NULL AND CAST(c.order_id AS BIGINT) % 50 = 0 AND NOT EXISTS (SELECT 1 FROM log l WHERE l.rule_name = c.rule_name AND l.order_id = c.order_id
+        AND l.appearance = c.appearance AND l.fingerprint = c.fingerprint)"""),
+)
+def created_events_from_parts(t):
+    """The same events for some of the listings, from a log in parts of a year each: only parts that may hold one of them are read."""
+    log, latest = log_and_matches(t)
+    latest = cut_lineage(latest.where(F.col("external_id").cast("bigint") % 50 == 0))
+    tables = VersionedTables(t.spark, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}")
+    parts = EventLog(tables)
+    for year in range(1992, 1999):
+        own = cut_lineage(log.where(F.year("created_at") == year))
+        tables.commit(logs=parts.logs(own))
+    found = parts.of(latest)
+    return ev.create_events(latest, found, run_id=4, event_time=MOMENT).select("rule_name", "external_id", "event_type", "appearance_sequence", "alert_fingerprint")
+
+
 @query(
     "absent_from_log", "JN13 SNK4",
     """SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03'

@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from listing_lifecycle_spark.sources import eventlog as el
 from listing_lifecycle_spark.sources import versions as ve
+from listing_lifecycle_spark.sources.eventlog import EventLog
 from listing_lifecycle_spark.sources.versions import VersionedTables, bucket_of, changed_buckets
 
 
@@ -73,3 +75,41 @@ def test_pointers_fold_and_old_folders_go(spark, tmp_path, monkeypatch):
     assert {r.external_id: r.n for r in tables.read("state").collect()} == values
     assert {r.external_id: r.n for r in tables.read("state", 7).collect()}["k3"] == 6
     assert tables.read_log("runs").count() == 8 and tables.forget(keep=2) == []
+
+
+def events(spark, part, listings):
+    return spark.createDataFrame([(f"{part}-{x}", f"l{x}", "r", f"2026-01-{part:02d} 10:00:00") for x in listings], "event_id string, external_id string, rule_name string, created_at string").checkpoint()
+
+
+def test_only_parts_that_may_hold_a_key_are_read(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cut"))
+    tables = VersionedTables(spark, str(tmp_path / "t"))
+    log = EventLog(tables)
+    keys = lambda *names: spark.createDataFrame([(n, "r") for n in names], "external_id string, rule_name string")
+    assert log.of(keys("l1")) is None
+    for part in range(1, 11):  # part n has the listings n * 100 to n * 100 + 59, and listing 5
+        tables.commit(logs=log.logs(events(spark, part, [*range(part * 100, part * 100 + 60), *([5] if part in (3, 7) else [])])))
+    assert log.parts() == list(range(1, 11))
+    assert log.parts_with(keys("l430")) == [4] and log.parts_with(keys("l430", "l915")) == [4, 9] and log.parts_with(keys("l5")) == [3, 7]
+    assert log.parts_with(keys("nowhere")) == [] and log.of(keys("nowhere")).count() == 0
+    found = log.of(keys("l5"))
+    assert found.count() == 122 and {f.split("version=")[1].split("/")[0] for f in found.inputFiles()} == {"3", "7"}
+    spark.range(3).write.parquet(f"{tmp_path}/t/events/version=11")  # a commit that failed
+    assert log.parts()[-1] == 10 and tables.read_log("events").count() == 602
+    assert log.fold() == 11 and log.parts() == [11] and log.fold() is None
+    assert tables.read_log("events").count() == 602 and log.parts_with(keys("l5")) == [11] and log.parts_with(keys("nowhere")) == []
+    tables.commit(logs=log.logs(events(spark, 12, [7])))
+    assert log.parts() == [11, 12] and log.parts_with(keys("l7")) == [12]
+
+
+def test_filters_of_many_keys_miss_none(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cut"))
+    tables = VersionedTables(spark, str(tmp_path / "t"))
+    log = EventLog(tables, key=("external_id",))
+    rows = spark.range(9000).selectExpr("concat('k', id) AS external_id", "'2026-01-01' AS created_at").checkpoint()
+    tables.commit(logs=log.logs(rows))
+    assert tables.read_log("events_filter").count() == 5  # 9,000 keys, 2,048 to a block
+    others = spark.range(3000).selectExpr("concat('other', id) AS external_id")
+    assert all(log.parts_with(rows.where(f"external_id = 'k{i}'")) == [1] for i in (0, 17, 4097, 8999))
+    wrong = sum(log.parts_with(others.where(f"external_id = 'other{i}'")) == [1] for i in range(0, 40))
+    assert wrong <= 1 and el.ASKED == 1_000_000
