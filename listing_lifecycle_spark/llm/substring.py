@@ -137,14 +137,18 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, reach: int = REACH)
 def cut_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, reach: int = REACH) -> DataFrame:
     """``docs`` with the stretches that :func:`repeats` finds cut out of ``text``; other columns and all rows stay.
 
-    A text may become empty.  Cuts lie where words begin, in text without blanks between characters.
+    A text may become empty.  Cuts lie where words begin, in text without blanks between characters.  Further columns may
+    have any name.
     """
     spans = stored(repeats(docs, least_words, reach), "spans")
     spans = spans.groupBy("doc_id", "check").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     spans = few(spans.select(F.col("doc_id").alias("span_doc_id"), F.col("check").alias("span_check"), "spans"), 100_000)
-    bytes_ = F.encode("d.text", "UTF-8")
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["stop"]))), F.array(F.octet_length("d.text")))
+    names = docs.columns  # those of the documents go by their places, so none of them clashes with the spans'
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, words = (F.col(f"c{names.index(name)}") for name in ("doc_id", "text"))
+    bytes_ = F.encode(words, "UTF-8")
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["stop"]))), F.array(F.octet_length(words)))
     pieces = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.decode(F.substring(bytes_, F.get(edges, 2 * i) + 1, F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)), "UTF-8"))
-    text = F.when(F.col("spans").isNull(), F.col("d.text")).otherwise(F.array_join(pieces, "")).alias("text")
-    joined = docs.alias("d").join(spans, (F.col("d.doc_id") == F.col("span_doc_id")) & ((F.crc32("d.text") % 2**31).cast("int") == F.col("span_check")), "left")
-    return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), words).otherwise(F.array_join(pieces, ""))
+    joined = own.join(spans, (doc_id == F.col("span_doc_id")) & ((F.crc32(words) % 2**31).cast("int") == F.col("span_check")), "left")
+    return joined.select(*[text.alias(f"c{i}") if c == "text" else F.col(f"c{i}") for i, c in enumerate(names)]).toDF(*names)

@@ -118,3 +118,13 @@ def test_passages_of_short_words_are_told_by_their_bytes():
     for _ in range(100):
         assert repeated_words(r, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=160))) >= S.LEAST_WORDS
         assert repeated_words(r, sentence(r, 50)) >= S.LEAST_WORDS
+
+
+def test_documents_may_have_any_column_names(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "start " + passage, "a", 5, 7), (2, passage + " end", "b", 6, 8), (3, None, "c", 7, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, span_doc_id int, `check` int")
+    got = S.cut_repeats(docs)
+    assert got.columns == docs.columns
+    cut = {r.doc_id: tuple(r) for r in got.collect()}
+    assert cut[1] == rows[0] and cut[3] == rows[2] and len(cut[2][1]) < len(rows[1][1]) and cut[2][2:] == ("b", 6, 8)
