@@ -31,6 +31,7 @@ BANDS = 16
 BITS = 14
 BATCH = 8192
 BLOCK = 1024  # buckets of weights in a row of the update
+FAN = 16  # updates that are added up at once
 FEATURES = 3
 END = ""  # no word is empty
 
@@ -169,14 +170,29 @@ UPDATE = "block bigint, classes binary, slots binary, met binary, slots_met bina
 
 
 def _add_updates(table: pa.Table) -> pa.Table:
+    """The sum of some updates of a block, as one."""
     columns = []
-    for name in table.column_names[1:]:
+    for name in ("classes", "slots", "met", "slots_met"):
         total = None
         for x in table.column(name):
             value = np.frombuffer(x.as_py(), np.float32)
             total = value.astype(np.float64) if total is None else total + value
         columns.append(pa.array([total.astype(np.float32).tobytes()], pa.binary()))
-    return pa.Table.from_arrays([table.column(0).slice(0, 1), *columns], table.column_names)
+    return pa.Table.from_arrays([table.column("block").slice(0, 1), *columns, table.column("task").slice(0, 1)], ["block", "classes", "slots", "met", "slots_met", "task"])
+
+
+def added_up(updates: DataFrame, fan: int = FAN) -> DataFrame:
+    """One row for each block: the updates of all tasks added up in a tree, ``fan`` at a time.
+
+    ``updates`` is a stored table with the number of the task that made them; no group holds more than ``fan`` rows, so
+    it takes as many levels as the number of tasks has digits in base ``fan``.
+    """
+    width = (updates.agg(F.max("task")).first()[0] or 0) + 1
+    while width > 1:
+        grouped = updates.withColumn("task", F.floor(F.col("task") / fan).cast("int")).groupBy("block", "task")
+        updates = grouped.applyInArrow(_add_updates, f"{UPDATE}, task int")
+        width = -(-width // fan)
+    return updates.drop("task")
 
 
 def trained(model: Model, texts: DataFrame, rounds: int, rate: float) -> Model:
@@ -184,10 +200,7 @@ def trained(model: Model, texts: DataFrame, rounds: int, rate: float) -> Model:
     for i in range(rounds):
         share = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(rounds)) == i).select("text")
         updates = share.mapInArrow(partial(_descend, model=model, rate=rate), UPDATE)
-        # Tasks are added up in two steps, so that no task reads more than a few dozen updates of a block at once.
-        spread = updates.withColumn("part", F.spark_partition_id() % 16).select("block", "classes", "slots", "met", "slots_met", "part")
-        half = spread.groupBy("block", "part").applyInArrow(lambda t: _add_updates(t.drop_columns(["part"])), UPDATE)
-        total = half.groupBy("block").applyInArrow(lambda t: _add_updates(t), UPDATE).collect()
+        total = added_up(stored(updates.withColumn("task", F.spark_partition_id()), "updates")).collect()  # a row for each block
         weights, slot_weights = model.weights.copy(), model.slot_weights.copy()
         for r in total:
             for table, change, met in ((weights, r.classes, r.met), (slot_weights, r.slots, r.slots_met)):

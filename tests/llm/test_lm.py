@@ -2,7 +2,7 @@
 
 import re
 from collections import Counter
-from math import isclose, log10
+from math import exp, isclose, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +96,64 @@ def test_held_out_texts_score_above_the_base(spark):
     counts_only = lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, rounds=0)
     plain = counts_only.where("crc32(cast(doc_id AS string)) % 5 = 1").agg(F.sum("score")).first()[0]
     assert held.score > plain  # the context helps
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> shift
+        x = x * factor % 2**64
+    return x ^ x >> 31
+
+
+def plain_score(model, text, rare):
+    """log10 chance of a text, token by token, with plain numbers."""
+    number = {w: i for i, w in enumerate(model.words.to_pylist())}
+    other, begin, single = len(number), len(number) + 1, lm.SIDE
+    total, before, earlier = 0.0, begin, begin
+    for word in tokens(text):
+        w = number.get(word, other)
+        slot = int(model.slot[w]) if w < other else single * single - 1
+        group, place = divmod(slot, single)
+        keys = [before << 2, (before << 32 | earlier << 2) + 1, (earlier << 2) + 2]
+        keys = [plain_mix((k + 0x9E3779B97F4A7C15) % 2**64) for k in keys]
+        for bias, table, at, salt in ((model.bias, model.weights, group, None), (model.slot_bias[group], model.slot_weights, place, group + 1)):
+            logits = [float(b) for b in bias]
+            for k in keys:
+                bucket = (k if salt is None else plain_mix(k ^ salt)) >> (64 - lm.BITS)
+                logits = [a + float(x) for a, x in zip(logits, table[bucket])]
+            top = max(logits)
+            total += (logits[at] - top) / log(10) - log10(sum(exp(x - top) for x in logits))
+        if w < other:
+            total += float(model.inside[w])
+        else:
+            c, unseen = rare.get(word, 0), model.unseen()
+            total += log10((1 - unseen) * c / max(model.rare_tokens, 1)) if c else log10(unseen)
+        before, earlier = w, before
+    return total
+
+
+def test_scores_equal_a_plain_walk(spark, texts_table, monkeypatch):
+    monkeypatch.setattr(lm, "SHARED", 12)  # some words are shared, the others go through the join
+    rows = ODD + [(20 + i, f"the cat {i % 9} sat on The mat w{i % 13} end{i} on the on") for i in range(60)]
+    models = []
+    trained = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda *a: models.append(trained(*a)) or models[-1])
+    got = lm.score(texts_table(rows), F.col("doc_id") % 5 != 1).collect()
+    (model,) = models
+    assert np.abs(model.weights).max() > 0
+    counts = Counter(t for i, text in rows if i is not None and i % 5 != 1 for t in tokens(text)[:-1])
+    want = sorted((i or 0, round(plain_score(model, text, counts), 4)) for i, text in rows)
+    assert sorted((r.doc_id or 0, round(r.score, 4)) for r in got) == want
+
+
+def test_updates_are_added_up_in_a_tree(spark, tmp_path):
+    """Sums of any number of tasks, no group larger than the fan."""
+    r = np.random.default_rng(4)
+    bodies = [(b, t, r.integers(0, 9, 4).astype(np.float32), r.integers(0, 9, 2).astype(np.float32)) for b in (0, 1024) for t in range(37) if (b, t) != (0, 5)]
+    rows = [(b, a.tobytes(), a.tobytes(), m.tobytes(), m.tobytes(), t) for b, t, a, m in bodies]
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    table = spark.createDataFrame(rows, lm.UPDATE + ", task int").repartition(5).checkpoint()
+    for fan in (2, 16, 64):
+        got = {x.block: np.frombuffer(x.classes, np.float32) for x in lm.added_up(table, fan).collect()}
+        assert {b: x.tolist() for b, x in got.items()} == {b: sum(a for c, _, a, _ in bodies if c == b).tolist() for b in (0, 1024)}
+    assert lm.added_up(table.limit(0)).count() == 0
