@@ -6,9 +6,11 @@ prefix are split by as deep a prefix as it takes to leave a region small enough
 signatures allow the similarity are confirmed on full sets; links make components.  Equal sets are one class from the
 start, so copies cost nothing.
 
-A region with more rows than a row has neighbours may hold links that the sorted order did not show.  There, in blocks,
-the rows outside the region's largest component are compared with all of its rows, and what is not yet in one component
-is confirmed too.  Shingles that no other candidate has can't be common, which rules most of such pairs out first.  So every pair with a common prefix of ``LEAST`` hashes is either confirmed or in one component.
+A region with more rows than a row has neighbours may hold links that the sorted order did not show.  There, in tiles of
+two blocks, the rows outside the region's largest component are compared with all of its rows.  A first pass names the
+rows with a pair in question, a second brings their full sets to the tile, confirms there and returns a forest of links,
+so neither returns more rows than a tile has.  Shingles that no other candidate has can't be common, which rules most
+such pairs out first.  So every pair with a common prefix of ``LEAST`` hashes is either confirmed or in one component.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WIDTH = 2  # bytes of a hash; marks keep 4 bits of it
 LEAST = 3  # hashes that candidates share at least
 NEIGHBOURS = 4  # rows before a row, in sorted order, that it is compared with
 BLOCK = 1024  # rows of a large region that are compared at once with as many others
+BLOCK_SHINGLES = 1 << 19  # and their shingles: 4 MB of sets
+LARGE = 4 << 20  # bytes of a tile after which a worker gives memory back
 HOT = 4096  # rows that a region may hold before it is split by a deeper prefix
 SMALL = 500_000  # ids that may be broadcast
 SIGMAS = 4.6  # how far below the threshold an estimate may lie
@@ -54,9 +58,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(columns, ["digest", "shingles"])
 
 
-def least_alike(part: int, whole: int) -> float:
-    """The share of equal marks below which a pair can't be as similar as ``part`` / ``whole``."""
-    equal = part / whole + (1 - part / whole) / 16
+def least_alike(part: int, whole: int, values: int = 16) -> float:
+    """The share of equal hashes of ``values`` values below which a pair can't be as similar as ``part`` / ``whole``."""
+    equal = part / whole + (1 - part / whole) / values
     return max(0.0, equal - SIGMAS * float(np.sqrt(equal * (1 - equal) / (TREES * DEPTH))))
 
 
@@ -92,8 +96,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Ite
 def _confirm(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = shared(x, y)
             linked.append(whole * both >= part * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -112,25 +116,39 @@ def tree_rows(classes: DataFrame, *more: str) -> DataFrame:
     return rows.withColumn("key", key).withColumn("prefix", F.substring("key", 1, WIDTH * LEAST))
 
 
-def with_regions(rows: DataFrame, crowds: DataFrame) -> DataFrame:
-    """``rows`` with the prefix that keeps a region together: of ``LEAST`` hashes, deeper where more than ``HOT`` rows meet."""
-    rows, hot = rows.withColumn("region", F.col("prefix")), crowds.where(F.col("size") > HOT).select("tree", F.col("prefix").alias("region"))
+def with_regions(rows: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the prefix that keeps a region together: of ``LEAST`` hashes, deeper where more than ``HOT`` rows meet.
+
+    Also the regions that stay too large with all hashes: their rows, equal in this order, are dealt to parts.
+    """
+    rows, hot = rows.withColumn("region", F.col("prefix")), crowds.where(F.col("size") > HOT).select("tree", F.col("prefix").alias("region"), F.col("size").alias("count"))
     for depth in range(LEAST + 1, DEPTH + 1):
         if not hot.limit(1).count():  # there are at most rows / HOT hot regions
-            break
-        rows = rows.join(few(hot).withColumn("hot", F.lit(True)), ["tree", "region"], "left")
+            return rows, hot
+        rows = rows.join(few(hot.select("tree", "region")).withColumn("hot", F.lit(True)), ["tree", "region"], "left")
         rows = rows.withColumn("region", F.when(F.col("hot"), F.substring("key", 1, WIDTH * depth)).otherwise(F.col("region"))).drop("hot")
         deeper = rows.where(F.octet_length("region") == WIDTH * depth).groupBy("tree", "region").count()
-        hot = stored(deeper.where(F.col("count") > HOT).select("tree", "region"), "regions")
-    return rows
+        hot = stored(deeper.where(F.col("count") > HOT).select("tree", "region", "count"), "regions")
+    return rows, hot
 
 
 def candidates(classes: DataFrame, crowds: DataFrame, part: int, whole: int) -> DataFrame:
-    """a, b, alike: pairs of classes that are neighbours in a tree and whose marks allow the similarity."""
-    rows = with_regions(tree_rows(classes, "marks").drop("signature"), crowds).drop("prefix")
-    rows = rows.repartition("tree", "region").sortWithinPartitions("tree", "key", "class")
+    """a, b, alike: pairs of classes that are neighbours in a tree and whose marks allow the similarity.
+
+    The parts of a region of equal hashes are bridged: the first row of each part is a candidate with the first of all.
+    """
+    rows, hot = with_regions(tree_rows(classes, "marks").drop("signature"), crowds)
+    rows = rows.drop("prefix").withColumn("part", F.lit(0).cast("long"))
+    bridges = None
+    if hot.limit(1).count():
+        dealt = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / HOT))
+        rows = rows.join(few(hot), ["tree", "region"], "left").withColumn("part", F.coalesce(dealt, "part")).drop("count")
+        firsts = rows.join(few(hot.select("tree", "region")), ["tree", "region"]).groupBy("tree", "region", "part").agg(F.min("class").alias("b"))
+        ends = firsts.join(firsts.groupBy("tree", "region").agg(F.min("b").alias("a")), ["tree", "region"])
+        bridges = ends.where("a <> b").select("a", "b", F.lit(1.0).alias("alike"))
+    rows = rows.repartition("tree", "region", "part").sortWithinPartitions("tree", "key", "part", "class")
     found = rows.select("class", "n", "tree", "key", "marks").mapInArrow(partial(_neighbours, part=part, whole=whole), "a bigint, b bigint, alike double")
-    return found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    return (found.union(bridges) if bridges is not None else found).groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -196,48 +214,106 @@ def reachable(pairs: DataFrame, sizes: DataFrame, part: int, whole: int) -> Data
     return pairs.where(whole * most >= part * (F.col("n_a") + F.col("n_b") - most)).select("a", "b", "alike")
 
 
-def _tile(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
-    """Pairs of a block of outer rows and a block of a region's rows that are not in one component yet and may be linked.
+def _possible(left: pa.Table, right: pa.Table, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each outer row of a tile with those rows of the region that may be linked with it and bear another label.
 
     A pair that meets in an earlier tree is left to that tree, and of two outer rows the one of less number takes the pair.
     """
-    schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_alike(part, whole)
-    if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
-    tree = left.column("outer_tree")[0].as_py()
+    least, tree = least_alike(part, whole, 1 << 8 * WIDTH), left.column("outer_tree")[0].as_py()
     sides = (("outer", left), ("row", right))
     signs = [np.frombuffer(b"".join(t.column(f"{side}_signature").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH) for side, t in sides]
     (ids, label, n, s), (ids_r, label_r, n_r, s_r) = ([t.column(f"{side}_{c}").to_numpy() for c in ("class", "label", "n", "s")] for side, t in sides)
-    outer_r, a, b = right.column("row_is_outer").to_numpy(), [], []
+    outer_r = right.column("row_is_outer").to_numpy(zero_copy_only=False)
     for i in range(len(ids)):
         most = np.where((s_r >= 0) & (s[i] >= 0), np.minimum(s_r, s[i]), np.minimum(n_r, n[i]))
         at = np.flatnonzero((label_r != label[i]) & (~outer_r | (ids_r > ids[i])) & (whole * most >= part * (n_r + n[i] - most)))
         same = signs[1][at] == signs[0][i]
         fine = (same.mean(axis=(1, 2)) >= least) & ~same[:, :tree, :LEAST].all(axis=2).any(axis=1) if len(at) else np.zeros(0, bool)
-        a.append(np.minimum(ids[i], ids_r[at[fine]]))
-        b.append(np.maximum(ids[i], ids_r[at[fine]]))
-    return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+        if fine.any():
+            yield i, at[fine]
+
+
+def _in_question(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
+    """The rows of a tile that have a pair to be confirmed, once each: tile, side and class."""
+    names, schema = ("tree", "prefix", "place", "block"), pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("place", pa.int64()), ("block", pa.int64()), ("is_left", pa.bool_()), ("class", pa.int64())])
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    first, second = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
+    for i, at in _possible(left, right, part, whole):
+        first[i] = second[at] = True
+    ids = np.concatenate([left.column("outer_class").to_numpy()[first], right.column("row_class").to_numpy()[second]])
+    tile = [pa.array([left.column(f"outer_{c}")[0].as_py()] * len(ids), schema.field(c).type) for c in names]
+    return pa.Table.from_arrays([*tile, pa.array(np.arange(len(ids)) < first.sum()), pa.array(ids)], schema=schema)
 
 
-def crowded(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: DataFrame, part: int, whole: int) -> DataFrame:
-    """a, b: pairs in regions with more rows than a row has neighbours that are not in one component."""
+def _forest(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
+    """Links of a tile confirmed on full sets, no more than it takes to join what they join: fewer than the tile has rows."""
+    schema, links = pa.schema([("a", pa.int64()), ("b", pa.int64())]), []
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(c)] for t, c in ((left, "outer_shingles"), (right, "row_shingles"))]
+    (ids, label), (ids_r, label_r) = ([t.column(f"{side}_{c}").to_pylist() for c in ("class", "label")] for side, t in (("outer", left), ("row", right)))
+    parent = {x: x for x in [*label, *label_r]}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, at in _possible(left, right, part, whole):
+        x, own = sets[0][i], label[i]
+        for j in at.tolist():
+            if top(own) != top(label_r[j]):
+                both = shared(x, sets[1][j])
+                if whole * both >= part * (len(x) + len(sets[1][j]) - both):
+                    parent[top(own)] = top(label_r[j])
+                    links.append((ids[i], ids_r[j]))
+    del sets
+    if left.nbytes + right.nbytes > LARGE:
+        release()
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+
+def crowd_tiles(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of regions with more rows than a row has neighbours, where they are not in one component yet, in tiles.
+
+    Outer rows, which are not in the region's largest component, meet all rows of the region: a tile is a block of each,
+    of about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles.
+    """
     keys = ["tree", "prefix"]
     rows = tree_rows(classes).drop("key").join(few(crowds), keys)
     own = few(labels.select(F.col("id").alias("class"), "label"))
     rows = rows.join(own, "class", "left").withColumn("label", F.coalesce("label", "class"))
     rows = rows.join(few(sizes.select("class", "s")), "class", "left").withColumn("s", F.coalesce("s", F.lit(-1)))
-    narrow = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("of_label"))
-    regions = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("of_label", "label")).alias("top"))
-    regions = stored(regions.where("labels > 1").select(*keys, "top"), "regions")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
-    rows = rows.join(few(regions), keys).withColumn("is_outer", F.expr("label <> top.label")).withColumn("blocks", blocks(F.col("size"))).withColumn("outers", blocks(F.col("size") - F.col("top.of_label")))
+    narrow = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("rows", "label", "shingles")).alias("top")
+    regions = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), most, F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    outers = blocks(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles"))
+    regions = regions.where("labels > 1").select(*keys, F.col("top.label").alias("top"), blocks(F.col("rows"), F.col("shingles")).alias("blocks"), outers.alias("outers"))
+    rows = rows.join(few(stored(regions, "regions")), keys).withColumn("is_outer", F.col("label") != F.col("top"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
     name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "s", "is_outer", "signature", "tree", "prefix")]
     outer = rows.where("is_outer").select(*name("outer"), deal("outers").alias("outer_place"), each("blocks").alias("outer_block"))
-    every = rows.select(*name("row"), each("outers").alias("row_place"), deal("blocks").alias("row_block"))
-    tile = lambda t, side: t.groupBy(*[f"{side}_{c}" for c in ("tree", "prefix", "place", "block")])
-    return tile(outer, "outer").cogroup(tile(every, "row")).applyInArrow(partial(_tile, part=part, whole=whole), "a long, b long").distinct()
+    return outer, rows.select(*name("row"), each("outers").alias("row_place"), deal("blocks").alias("row_block"))
+
+
+def tiled(outer: DataFrame, every: DataFrame, fn, schema: str) -> DataFrame:
+    groups = [t.groupBy(*[f"{side}_{c}" for c in ("tree", "prefix", "place", "block")]) for t, side in ((outer, "outer"), (every, "row"))]
+    return groups[0].cogroup(groups[1]).applyInArrow(fn, schema)
+
+
+def crowded(tiles: tuple[DataFrame, DataFrame], asked: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """a, b: links in tiles that join components.  Only the rows of ``asked`` go to their tile again, now with full sets."""
+    full = []
+    for side, t, is_left in (("outer", tiles[0], True), ("row", tiles[1], False)):
+        names = {c: f"{side}_{c}" for c in ("tree", "prefix", "place", "block", "class")}
+        own = asked.where(F.col("is_left") == is_left).select(*[F.col(c).alias(n) for c, n in names.items()])
+        own = own.join(sets.select(F.col("class").alias(names["class"]), F.col("shingles").alias(f"{side}_shingles")), names["class"])
+        full.append(t.join(own, list(names.values())))
+    return tiled(*full, partial(_forest, part=part, whole=whole), "a long, b long").distinct()
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -281,11 +357,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     # Pairs inside a component can change nothing; all others are confirmed, so no link between components is missed.
     rest = with_labels(pairs.join(best_of(pairs), ["a", "b"], "left_anti"), labels).where("label_a <> label_b")
     labels = merged(labels, stored(linked(rest, sets, part, whole), "links"))
-    rest = stored(crowded(own, crowds, sizes, labels, part, whole).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = ends_of(rest).join(sets, "class", "left_anti")
+    tiles = crowd_tiles(own, crowds, sizes, labels)
+    asked = stored(tiled(*tiles, partial(_in_question, part=part, whole=whole), "tree int, prefix binary, place long, block long, is_left boolean, class long"), "asked")
+    more = asked.select("class").distinct().join(sets, "class", "left_anti")
     if more.limit(1).count():
         sets = sets.union(sets_of(read, one, more, width))
-    labels = merged(labels, stored(linked(rest, sets, part, whole), "links"))
+    labels = merged(labels, stored(crowded(tiles, asked, sets, part, whole), "links"))
     named = classes.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
     tops = named.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("top"))
     grouped = named.where("label IS NOT NULL OR copies > 1").join(tops, "label", "left").select("digest", F.coalesce("top", "least").alias("component"))

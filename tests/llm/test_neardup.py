@@ -64,6 +64,30 @@ def test_equals_all_pairs(spark, texts_table, monkeypatch, width, part, hot):
     assert got == brute(rows, width, part, 100)
 
 
+def test_large_group_of_similar_texts_that_are_not_linked(spark, texts_table, monkeypatch):
+    """Hundreds of texts near the threshold: pairs in question are many, links few; what leaves a tile stays linear in its rows."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    r = random.Random(11)
+    base = ["b%d" % i for i in range(120)]
+    rows = [(i, " ".join(w if r.random() > 0.032 else "e%d" % r.randrange(40) for w in base)) for i in range(400)]
+    rows += [(1000 + i, " ".join(base[:60] + [w if r.random() > 0.02 else "x%d" % i for w in base[60:]])) for i in range(60)]
+    seen = []
+    tiled = neardup.tiled
+    monkeypatch.setattr(neardup, "tiled", lambda outer, every, fn, schema: seen.append((tiled(outer, every, fn, schema), every)) or seen[-1][0])
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(texts_table(rows), 3, 85, 100).collect())
+    assert got == brute(rows, 3, 85, 100)
+    assert len(seen) == 2 and all(made.count() <= 2 * every.count() for made, every in seen)
+
+
+def test_a_region_of_equal_hashes_is_split(spark, texts_table, monkeypatch):
+    """Sets that differ in a few of many shingles share all hashes of most trees: parts of at most HOT rows, bridged."""
+    monkeypatch.setattr(neardup, "HOT", 16)
+    base = ["b%d" % i for i in range(600)]
+    rows = [(i, " ".join([*base, "tail%d" % i])) for i in range(200)] + [(900, "something else altogether here")]
+    got = neardup.near_duplicates(texts_table(rows), 3, 85, 100).collect()
+    assert {x.component_id for x in got if x.doc_id < 900} == {0} and len(got) == 201
+
+
 def test_empty_table(spark, texts_table):
     assert neardup.near_duplicates(texts_table([])).count() == 0
     assert [r.kept for r in neardup.near_duplicates(texts_table([(1, None), (1, ""), (None, "x y z")])).collect()] == [True] * 3
