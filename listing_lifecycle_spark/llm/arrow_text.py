@@ -11,16 +11,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from listing_lifecycle_spark.session import shared_folder
 
 #: Text handled at once in a task.  One longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to workers in batches of at most ``BATCH_BYTES``: by default a batch is 64 MB, held twice for each task.
+
+    This is a setting of the session; one that is smaller already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder that all executors share and read it back: what follows needs none of its lineage."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
