@@ -53,3 +53,26 @@ TEMPLATES = {
     "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "Proprietary and confidential. All rights reserved.", "All rights reserved."],
 }
+
+#: Names and SPDX identifiers of the families.  Short notices are made of them: "MIT License", "License: MIT", "SPDX-License-Identifier: MIT".
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache": ["Apache", "Apache-2.0"],
+    "GPL": ["GPL", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "GPLv2", "GPLv3"],
+    "LGPL": ["LGPL", "LGPL-2.1", "LGPL-3.0", "LGPL-2.1-only", "LGPL-3.0-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"],
+    "AGPL": ["AGPL", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "BSD": ["BSD", "BSD-2-Clause", "BSD-3-Clause"],
+    "MPL": ["MPL", "MPL-2.0"],
+    "ISC": ["ISC"],
+    "Unlicense": ["Unlicense"],
+    "CC0": ["CC0", "CC0-1.0"],
+    "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0"],
+    "CC-BY-ND": ["CC-BY-ND-4.0"],
+    "CC-BY-NC-SA": ["CC-BY-NC-SA-4.0"],
+}
+
+
+def short_notices(family: str) -> list[str]:
+    return [form.format(name) for name in NAMES.get(family, []) for form in ("{} License", "License: {}", "SPDX-License-Identifier: {}")]

@@ -3,8 +3,9 @@
 Paragraphs (lines) are read in windows of words, and so is text that runs on over line ends, up to a blank line.  A logistic regression over sparse word n-grams names the licence
 family of a window or the class "unknown"; it is trained on edited licence wordings and on windows of a bounded sample
 of the corpus.  A prediction counts above a probability that held-out unknown windows do not reach, and if the window
-also agrees with a wording of the predicted family.  A wording of fewer than ``PAIRS`` word pairs counts as a line of its
-own, word for word, and whatever the probability.
+also agrees with a wording of the predicted family.  A wording of fewer than ``PAIRS`` word pairs ("All rights reserved.",
+"MIT License", "SPDX-License-Identifier: MIT") counts as a line of its own, word for word, with or without comment marks, or
+as the end of a copyright line.  Words that are punctuation alone are no words here.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listing_lifecycle_spark.llm.arrow_text import mix, slices, spread, words
-from listing_lifecycle_spark.llm.licence_texts import TEMPLATES
+from listing_lifecycle_spark.llm.licence_texts import TEMPLATES, short_notices
 from listing_lifecycle_spark.llm.rules import least_hashes
 
 WINDOW, STRIDE = 24, 12
@@ -33,10 +34,15 @@ ALIKE, PAIRS = 0.6, 3
 COMMON = frozenset("a above all an and any are as at be by can either except for from has have if in into is it its may no nor not of on or other shall that the their they this to under use with without you your".split())
 
 
+def every_wording() -> list[tuple[str, str]]:
+    """Family and text of all wordings, the short ones among them."""
+    return [(family, t) for family, texts in sorted(TEMPLATES.items()) for t in [*texts, *short_notices(family)]]
+
+
 @cache
 def vocabulary() -> pa.Array:
     """Words of all wordings, lower-case and without outer punctuation."""
-    found = {w.lower().strip(string.punctuation) for texts in TEMPLATES.values() for t in texts for w in t.split()}
+    found = {w.lower().strip(string.punctuation) for _, t in every_wording() for w in t.split()}
     return pa.array(sorted(found - {""}))
 
 
@@ -57,7 +63,7 @@ def pairs(row) -> set[tuple[int, int]]:
 
 @cache
 def wordings() -> list[tuple[str, frozenset]]:
-    return [(family, frozenset(pairs(template_tokens(t)))) for family, texts in sorted(TEMPLATES.items()) for t in texts]
+    return [(family, frozenset(pairs(template_tokens(t)))) for family, t in every_wording()]
 
 
 @cache
@@ -77,7 +83,7 @@ def pair_table(telling: bool = False) -> np.ndarray:
 @cache
 def short() -> dict[tuple[int, ...], str]:
     """Families of the wordings that have too few pairs to be told inside other text, by their tokens."""
-    known = {tuple(template_tokens(t)): family for family, texts in sorted(TEMPLATES.items()) for t in texts}
+    known = {tuple(template_tokens(t)): family for family, t in every_wording()}
     return {row: family for row, family in known.items() if len(pairs(row)) < PAIRS}
 
 
@@ -129,8 +135,6 @@ class Model:
 
     def find(self, row) -> tuple[str, float, float] | None:
         """Family, probability and agreement of a window, or nothing."""
-        if family := short().get(tuple(row)):
-            return family, float(self.chances(row)[FAMILIES.index(family)]), 1.0
         alike = agreements(row)
         if max(alike.values(), default=0.0) < ALIKE:
             return None
@@ -153,6 +157,10 @@ def _lines(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines = pc.split_pattern(batch_text, "\n")
     at = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
     codes, distinct, edges = words(lines.flatten())
+    if len(codes):
+        marks = pc.equal(pc.ascii_trim(distinct, characters=string.punctuation), "").to_numpy(zero_copy_only=False)
+        keep = ~marks[codes]
+        edges, codes = np.concatenate([[0], np.cumsum(keep)])[edges], codes[keep]
     return at, tokens(distinct)[codes] if len(codes) else codes, edges
 
 
@@ -166,8 +174,18 @@ def _steps(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return own, first, np.minimum(first + WINDOW, end[own])
 
 
+def _copyright_lines(token: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Lines that begin with the word "copyright"."""
+    filled = np.flatnonzero(np.diff(edges) > 0)
+    return filled[token[edges[:-1][filled]] == template_tokens("copyright")[0]]
+
+
 def _windows(at: np.ndarray, token: np.ndarray, edges: np.ndarray):
     line, first, stop = _steps(edges[:-1], edges[1:])
+    owner = _copyright_lines(token, edges)
+    for size in sorted({len(t) for t in short()}):  # the end of a copyright line may be a short notice
+        own = owner[np.diff(edges)[owner] > size]
+        line, first, stop = np.concatenate([line, own]), np.concatenate([first, edges[own + 1] - size]), np.concatenate([stop, edges[own + 1]])
     row = np.searchsorted(at, line, side="right") - 1
     return token, row, line - at[row], first, stop, edges[:-1][line]
 
@@ -263,7 +281,7 @@ def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, ep
     found = texts.mapInArrow(partial(_negatives, each=each), "doc_id bigint, place bigint, tokens array<int>").dropDuplicates(["doc_id", "place"]).orderBy("doc_id", "place").collect()
     telling = pair_table(telling=True)
     unknown = [r.tokens for r in found if not telling[r.tokens[:-1], r.tokens[1:]].any() and max(agreements(r.tokens).values(), default=0.0) < ALIKE]
-    known = [(edited(t, random, unknown), FAMILIES.index(family)) for family, texts in sorted(TEMPLATES.items()) for t in texts for _ in range(copies)]
+    known = [(edited(t, random, unknown), FAMILIES.index(family)) for family, t in every_wording() for _ in range(copies)]
     rows = [(buckets(r), y) for r, y in [(r, 0) for r in unknown] + known]
     order = random.permutation(len(rows))
     held = {int(i) for i in order[: len(rows) // 5]}
@@ -271,7 +289,7 @@ def fit(docs: DataFrame, sample: int = 2000, each: int = 4, copies: int = 60, ep
     model = Model(weights, bias, 0.0, pair_table())
     top = sorted(float(model.chances(unknown[i])[1:].max()) for i in held if i < len(unknown))
     least = max(0.5, top[min(len(top) - 1, int(len(top) * 0.999))]) if top else 0.5
-    return Model(weights, bias, min(least, 0.95), pair_table())
+    return Model(weights, bias, least, pair_table())
 
 
 SCHEMA = "doc_id bigint, paragraph int, first_word int, n_words int, family string, probability double, agreement double"
@@ -295,7 +313,11 @@ def _add_crossing(best: dict[tuple[int, int, str], tuple], at: np.ndarray, token
             hits.append((-span(own, hit[0])[2], int(first[i]), own, hit))
     if not hits:
         return
-    taken = {(int(at[row]) + line, family): [(int(edges[at[row] + line]), int(edges[at[row] + line + 1]))] for row, line, family in best}
+    def words_of(key: tuple[int, int, str]) -> list[int]:
+        begin = int(edges[at[key[0]] + key[1]]) - best[key][1]
+        return token[begin : begin + best[key][2]].tolist()
+
+    taken = {(int(at[key[0]]) + key[1], key[2]): [(int(edges[at[key[0]] + key[1]]), int(edges[at[key[0]] + key[1] + 1]))] for key in best if tuple(words_of(key)) not in short()}
     for _, begin, own, hit in sorted(hits, key=lambda h: h[:2]):
         row = int(np.searchsorted(at, _line_of(begin, edges), side="right")) - 1
         lines = range(int(_line_of(begin, edges)), int(_line_of(begin + len(own) - 1, edges)) + 1)
@@ -310,9 +332,12 @@ def _add_crossing(best: dict[tuple[int, int, str], tuple], at: np.ndarray, token
             hit = again
         a, b, n = span(own, hit[0])
         line = int(_line_of(begin + a, edges))
-        for key in [(row, k - int(at[row]), f) for k in lines for f in FAMILIES[1:] if f != hit[0] and (row, k - int(at[row]), f) in best]:
+        for key in [(row, k - int(at[row]), f) for k in lines for f in FAMILIES[1:] if (row, k - int(at[row]), f) in best]:
+            own_words = words_of(key)
+            if key[2] == hit[0] and tuple(own_words) not in short():
+                continue
             start = int(edges[at[row] + key[1]]) - best[key][1]
-            c, d, m = span(token[start : start + best[key][2]].tolist(), key[2])
+            c, d, m = span(own_words, key[2])
             if m < n and begin + a <= start + c and start + d <= begin + b:
                 del best[key]
         key, value = (row, line - int(at[row]), hit[0]), (hit[1] * hit[2], -(begin + a - int(edges[line])), b - a, *hit[1:])

@@ -71,6 +71,19 @@ def test_a_short_notice_is_a_whole_line(spark, texts_table, model):
     assert L.agreement(L.template_tokens("All rights reserved."), "Proprietary") == 1
 
 
+def test_common_short_notices(spark, texts_table, model):
+    """Comment marks, copyright lines, names and identifiers; the same words inside other text are none."""
+    notices = {
+        "# All rights reserved.": "Proprietary", "// ALL RIGHTS RESERVED": "Proprietary", "Copyright 2024 Example Ltd. All rights reserved.": "Proprietary", "Copyright (c) 2020-2024 A. Person. All rights reserved.": "Proprietary",
+        "MIT License": "MIT", "License: MIT": "MIT", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL",
+        "/* License: BSD-3-Clause */": "BSD", "<!-- SPDX-License-Identifier: MPL-2.0 -->": "MPL",
+    }
+    other = ["Mit", "License", "MIT students met", "the license of MIT and others", "they have all rights reserved for others", "Copyright 2024 Example Ltd.", "License: unknown", "MIT License of some other kind here"]
+    rows = [(i, f"some words before\n{t}\nand after") for i, t in enumerate(notices)] + [(100 + i, f"a line\n{t}\nanother") for i, t in enumerate(other)]
+    found = L.scan(texts_table(rows), model).collect()
+    assert sorted((x.doc_id, x.paragraph, x.family) for x in found) == [(i, 1, f) for i, f in enumerate(notices.values())]
+
+
 def test_many_notes_of_licences_hide_no_notice(spark, texts_table):
     clean = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("NOT text RLIKE '(?i)licen|rights reserved'").limit(60).collect()]
     notes = ["MIT License", "License: MIT", "under the Apache License", "see the GPL license", "released under GPL", "the MIT License (MIT)", "under the BSD license", "Apache 2.0"]
@@ -94,4 +107,5 @@ def test_wrapped_notices_are_found_where_they_begin(spark, texts_table, model):
     rows = [(i, f"{before}\n{text}\n{after}") for i, text in enumerate(wrapped)]
     rows += [(100, "Released under the\n\nMIT License."), (101, "Released under the MIT License.\nReleased under the\nMIT License."), (102, "Released under the"), (103, "MIT License.")]
     found = L.scan(texts_table(rows), model).collect()
-    assert sorted((x.doc_id, x.paragraph, x.family) for x in found) == [*[(i, 1, f) for i, f in enumerate(wrapped.values())], (101, 0, "MIT"), (101, 1, "MIT")]
+    short = [(100, 2, "MIT"), (103, 0, "MIT")]  # a name alone on its line is a notice of its own
+    assert sorted((x.doc_id, x.paragraph, x.family) for x in found) == sorted([*[(i, 1, f) for i, f in enumerate(wrapped.values())], (101, 0, "MIT"), (101, 1, "MIT"), *short])
