@@ -8,10 +8,15 @@ rules apply.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listing_lifecycle_spark import fixed_values as fv
 from listing_lifecycle_spark.functions.calendar import day, instant
@@ -230,14 +235,73 @@ def run_status(listings_seen: int) -> str:
     return "success" if listings_seen else "suspicious"
 
 
+SEARCHED = 2_000_000  # runs, of all scopes together, that are searched in the tasks
+
+
 def replay(observations: DataFrame, *, threshold: int, run: str = "run_day") -> DataFrame:
     """State that running all complete runs of each scope in order would leave, without running them one by one.
 
-    ``observations`` has ``scope_name``, ``external_id`` and the run it was seen
-    in.  Runs are numbered per scope on the list of distinct runs (not on the
-    observations).  Per listing, each gap of at least ``threshold`` runs between
-    two sightings is a confirmed absence, hence another appearance.
+    ``observations`` has ``scope_name``, ``external_id`` and the run it was seen in (a day, an instant or a number).
+    Sightings are gathered by listing first, so a run that has seen a large share of all listings is no key of a join.
+    The runs of a scope are one sorted array; a listing's sightings are looked up in it, which gives their numbers.
+    Each gap of at least ``threshold`` runs between two sightings is a confirmed absence, hence another appearance.
+
+    The list of runs is counted and gathered (a job); beyond ``SEARCHED`` runs sightings and runs are joined instead.
     """
+    runs = observations.select("scope_name", run).distinct()
+    listed = runs.select("scope_name", _as_number(run, observations).alias("run")).limit(SEARCHED + 1).toArrow()
+    if listed.num_rows > SEARCHED:
+        return _replay_by_join(observations, threshold, run)
+    own = observations.groupBy("scope_name", "external_id").agg(F.min(run).alias("first_run"), F.max(run).alias("last_run_seen"), F.array_sort(F.collect_set(_as_number(run, observations))).alias("seen"))
+    kind = own.schema
+    schema = StructType([*kind.fields[:4], *StructType.fromDDL("sightings bigint, gaps bigint, absent bigint").fields])
+    found = own.mapInArrow(partial(_looked_up, runs=listed, threshold=threshold), schema)
+    return _with_status(
+        found.select(
+            "scope_name", "external_id", F.col("first_run").alias("first_run"), "last_run_seen", "sightings",
+            (F.lit(1) + F.col("gaps")).cast("int").alias("appearance_sequence"), F.least("absent", F.lit(threshold)).cast("int").alias("missing_count"),
+        ), threshold,
+    )
+
+
+def _as_number(run: str, observations: DataFrame) -> Column:
+    """A run as a number in the same order."""
+    kind = dict(observations.dtypes)[run]
+    if kind == "date":
+        return F.unix_date(run).cast("bigint")
+    return F.unix_micros(F.col(run).cast("timestamp")) if kind.startswith("timestamp") else F.col(run).cast("bigint")
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], runs: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
+    """For each listing: sightings, gaps of at least ``threshold`` runs between them, and runs after the last."""
+    scopes = runs.column("scope_name").combine_chunks().dictionary_encode() if runs.num_rows else pa.array([], pa.string()).dictionary_encode()
+    place = {name: i for i, name in enumerate(scopes.dictionary.to_pylist() + [None])}
+    code, value = scopes.indices.fill_null(len(scopes.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64), runs.column("run").to_numpy()
+    order = np.lexsort((value, code))
+    code, value = code[order], value[order]
+    edges = np.searchsorted(code, np.arange(len(place) + 1))
+    for batch in batches:
+        seen = batch.column("seen")
+        at, flat = seen.offsets.to_numpy().astype(np.int64), seen.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(at)
+        flat = flat[at[0] : at[-1]]
+        scope = np.array([place[x] for x in batch.column("scope_name").to_pylist()], np.int64)
+        which, number = np.repeat(scope, sizes), np.zeros(len(flat), np.int64)
+        for s in np.unique(scope).tolist():
+            own = which == s
+            number[own] = np.searchsorted(value[edges[s] : edges[s + 1]], flat[own])
+        begin = np.cumsum(sizes) - sizes
+        gap = np.zeros(len(flat), np.int64)
+        gap[1:] = number[1:] - number[:-1] - 1
+        gap[begin[sizes > 0]] = 0
+        long = np.concatenate([[0], np.cumsum(gap >= threshold)])
+        gaps = long[begin + sizes] - long[begin]
+        absent = edges[scope + 1] - edges[scope] - 1 - number[begin + sizes - 1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes), pa.array(gaps), pa.array(absent)], ["scope_name", "external_id", "first_run", "last_run_seen", "sightings", "gaps", "absent"])
+
+
+def _replay_by_join(observations: DataFrame, threshold: int, run: str) -> DataFrame:
+    """:func:`replay` for any number of runs: they are numbered on the list of distinct runs, and sightings joined with it."""
     seen = observations.select("scope_name", "external_id", run).distinct()
     runs = observations.select("scope_name", run).distinct()
     in_scope = Window.partitionBy("scope_name")
@@ -249,19 +313,20 @@ def replay(observations: DataFrame, *, threshold: int, run: str = "run_day") ->
         "gap", F.coalesce(F.col("n") - F.lag("n").over(history) - 1, F.lit(0))
     )
     absent = F.max("last_run") - F.max("n")
-    return (
-        gaps.groupBy("scope_name", "external_id")
-        .agg(
-            F.min(run).alias("first_run"),
-            F.max(run).alias("last_run_seen"),
-            F.count(F.lit(1)).alias("sightings"),
-            (F.lit(1) + F.count_if(F.col("gap") >= threshold)).cast("int").alias("appearance_sequence"),
-            F.least(absent, F.lit(threshold)).cast("int").alias("missing_count"),
-        )
-        .withColumn(
-            "status",
-            F.when(F.col("missing_count") == 0, "active")
-            .when(F.col("missing_count") >= threshold, "missing_confirmed")
-            .otherwise("missing_once"),
-        )
+    found = gaps.groupBy("scope_name", "external_id").agg(
+        F.min(run).alias("first_run"),
+        F.max(run).alias("last_run_seen"),
+        F.count(F.lit(1)).alias("sightings"),
+        (F.lit(1) + F.count_if(F.col("gap") >= threshold)).cast("int").alias("appearance_sequence"),
+        F.least(absent, F.lit(threshold)).cast("int").alias("missing_count"),
+    )
+    return _with_status(found, threshold)
+
+
+def _with_status(found: DataFrame, threshold: int) -> DataFrame:
+    return found.withColumn(
+        "status",
+        F.when(F.col("missing_count") == 0, "active")
+        .when(F.col("missing_count") >= threshold, "missing_confirmed")
+        .otherwise("missing_once"),
     )

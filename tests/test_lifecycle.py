@@ -216,7 +216,9 @@ def plain_replay(observations, threshold):
     return result
 
 
-def test_replay_equals_run_by_run(spark):
+@pytest.mark.parametrize("searched", [2_000_000, 3])
+def test_replay_equals_run_by_run(spark, monkeypatch, searched):
+    monkeypatch.setattr(lc, "SEARCHED", searched)  # beyond it, a join
     rng = random.Random(3)
     rows = [
         (s, f"{s}-{k}", date(2026, 1, 1) + timedelta(days=d))
@@ -228,6 +230,19 @@ def test_replay_equals_run_by_run(spark):
     assert got == plain_replay(rows, 3)
 
 
+def test_replay_by_numbers_and_instants(spark):
+    """Runs may be days, numbers or instants; a hot run, repeated sightings and a scope without a name change nothing."""
+    rows = [(s, f"k{k}", d) for s in ("x", None) for k in range(12) for d in range(9) if (k * d) % 4 < 2 or d == 5] * 2
+    numbers = spark.createDataFrame(rows, "scope_name string, external_id string, run int")
+    days = numbers.withColumn("run", F.date_add(F.lit("2026-01-01").cast("date"), F.col("run")))
+    instants = numbers.withColumn("run", F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("run")))
+    want = {(r.scope_name, r.external_id): tuple(r)[4:] for r in lc._replay_by_join(numbers.where("scope_name IS NOT NULL"), 2, "run").collect()}
+    for table in (numbers, days, instants):
+        got = {(r.scope_name, r.external_id): tuple(r)[4:] for r in lc.replay(table, threshold=2, run="run").collect()}
+        assert {k: v for k, v in got.items() if k[0]} == want and {k[1]: v for k, v in got.items() if not k[0]} == {k[1]: v for k, v in want.items()}
+    assert lc.replay(numbers.limit(0), threshold=2, run="run").collect() == []
+
+
 def test_replay_equals_merging_runs(spark):
     rng = random.Random(9)
     days = [date(2026, 1, d) for d in range(1, 8)]
