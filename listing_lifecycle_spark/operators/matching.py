@@ -126,16 +126,17 @@ def _place_key(level: str, *labels: Column) -> Column:
 INDEXED = 50_000  # rules that are indexed on the spot
 
 
-def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1) -> DataFrame:
+def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1, indexed: bool = False) -> DataFrame:
     """Every listing with every enabled rule it satisfies.
 
-    Up to ``INDEXED`` rules are gathered (a job) and indexed in the tasks, so that listings are read once, as they are
-    (:mod:`rule_index`).  More rules than that, or ``slices`` over 1, meet the listings in a join (``match_rules_by_join``).
+    Rules meet the listings in a join (``match_rules_by_join``).  With ``indexed``, for thousands of rules, up to
+    ``INDEXED`` of them are gathered (a job) and indexed in the tasks, so that listings are read once, as they are
+    (:mod:`rule_index`); for a handful of rules that costs more than the join.
     A rule with an error matches nothing (see ``rule_errors``).
     """
     usable = resolved_rules(rules, locations).where(F.col("enabled") & F.col("rule_error").isNull())
     shown = usable.drop("site_filter", "filter_error", "rule_error", "want_region_id", "want_subregion_id", "enabled")
-    if slices <= 1:
+    if indexed:
         known = shown.limit(INDEXED + 1).toArrow()
         if known.num_rows <= INDEXED:
             schema = StructType([*listings.schema, *shown.schema])

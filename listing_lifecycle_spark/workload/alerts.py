@@ -121,7 +121,7 @@ def match_counts_ten_thousand_rules(t):
             "start_date_on_or_after": F.col("month"), "end_date_on_or_before": F.date_add("month", 120),
         }
     ).drop("_one")
-    found = ma.match_rules(t.listings, many, t.locations)
+    found = ma.match_rules(t.listings, many, t.locations, indexed=True)
     return found.groupBy(*slugs, F.col("month").cast("string").alias("month"), "code").agg(F.count(F.lit(1)).alias("matched"))
 
 

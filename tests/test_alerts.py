@@ -100,16 +100,17 @@ def test_index_equals_join_on_random_rules(spark, locations):
         for name in ("allowed_islands", "allowed_regions", "allowed_subregions", "allowed_house_types", "include_keywords", "start_date_on_or_after", "min_reply_rating_score"):
             rule[name] = r.choice([None, None, rule[name]])  # else hardly any rule would match anything
         rules.append(rule)
-    indexed = matched(spark, locations, rows, rules)
-    assert indexed == matched(spark, locations, rows, rules, slices=3) and len(indexed) > 500
-    wide = ma.match_rules(listings(spark, rows), make_rules(spark, rules), locations)
+    indexed = matched(spark, locations, rows, rules, indexed=True)
+    assert indexed == matched(spark, locations, rows, rules) == matched(spark, locations, rows, rules, slices=3) and len(indexed) > 500
+    wide = ma.match_rules(listings(spark, rows), make_rules(spark, rules), locations, indexed=True)
     other = ma.match_rules(listings(spark, rows), make_rules(spark, rules), locations, slices=2)
     assert wide.columns == other.columns and wide.dtypes == other.dtypes
     assert sorted(map(str, wide.collect())) == sorted(map(str, other.collect()))
 
 
 def test_no_rules_match_nothing(spark, locations):
-    assert matched(spark, locations, [BASE], [dict(rule_name="off", enabled=False)]) == set()
+    for indexed in (True, False):
+        assert matched(spark, locations, [BASE], [dict(rule_name="off", enabled=False)], indexed=indexed) == set()
 
 
 def test_stable_hash_counts_nulls(spark):
