@@ -78,9 +78,9 @@ def searched_text() -> Column:
 
 def keywords_fit(words: Column) -> Column:
     """All wanted words and no unwanted word.  Rules without words are settled by the size of their lists."""
-    wanted, unwanted = F.col("include_keywords"), F.col("exclude_keywords")
-    has_all = (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | _sure(F.forall(wanted, lambda k: F.contains(words, fold_case(k))))
-    has_any = (F.coalesce(F.size(unwanted), F.lit(0)) > 0) & _sure(F.exists(unwanted, lambda k: F.contains(words, fold_case(k))))
+    wanted, unwanted = F.col("_wanted"), F.col("_unwanted")  # folded once for each rule
+    has_all = (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | _sure(F.forall(wanted, lambda k: F.contains(words, k)))
+    has_any = (F.coalesce(F.size(unwanted), F.lit(0)) > 0) & _sure(F.exists(unwanted, lambda k: F.contains(words, k)))
     return has_all & ~has_any
 
 
@@ -158,7 +158,7 @@ def match_rules_by_join(listings: DataFrame, usable: DataFrame, *, slices: int =
         .when(F.col("want_region").isNotNull(), _place_key("r", F.col("want_region")))
         .when(F.col("want_island").isNotNull(), _place_key("i", F.col("want_island")))
         .otherwise(_place_key("*")),
-    )
+    ).withColumns({"_wanted": F.transform("include_keywords", fold_case), "_unwanted": F.transform("exclude_keywords", fold_case)})
     places = F.array_compact(
         F.array(
             _place_key("*"),
@@ -170,7 +170,7 @@ def match_rules_by_join(listings: DataFrame, usable: DataFrame, *, slices: int =
     # The text is put together once per listing, below the explode.
     keyed = listings.withColumn("_words", searched_text()).withColumn("_place", F.explode(places))
     met = join_dimension(keyed, keyed_rules, ["_place"], spread_by="external_id", slices=slices)
-    return met.where(site_rule_holds() & local_rule_holds(F.col("_words"))).drop("_place", "_words")
+    return met.where(site_rule_holds() & local_rule_holds(F.col("_words"))).drop("_place", "_words", "_wanted", "_unwanted")
 
 
 def rule_errors(rules: DataFrame, locations: DataFrame) -> DataFrame:
