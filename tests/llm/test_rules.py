@@ -80,3 +80,21 @@ def test_held_out_documents(spark):
 def test_few_labels(spark, texts_table, rows):
     forest = rules.fit(texts_table(TEXTS), spark.createDataFrame(rows, LABELS))
     assert rules.judge(texts_table(TEXTS), forest).count() == len(TEXTS)
+
+
+def test_all_labelled_documents_count(spark, texts_table):
+    """None is left out of the leaves or the threshold, however many there are: here more than the 6000 of old."""
+    texts = [(i, " ".join(f"{chr(97 + j)}{i * 7 % (j + 5)}" for j in range(12 + i % 5))) for i in range(6500)]
+    bad = [(i, " ".join(f"%{j}&{i}" for j in range(12))) for i in range(6500, 7000)]
+    labels = spark.createDataFrame([(i, int(i < 6500), 0, "") for i in range(7000)], LABELS)
+    forest = rules.fit(texts_table(texts + bad), labels, trees=20)
+    assert forest.rows == 7000
+    x = rules.statistics(pa.array([t for _, t in texts + bad]))[1]
+    levels, good = forest.levels(), np.arange(7000) < 6500
+    for t, node in enumerate(forest.leaves(x)):
+        assert np.allclose(forest.path[t, node], levels[t, node] + rules.average_path(np.bincount(node))[node])
+    scores = forest.scores(x)
+    best = max((scores[good] <= c).mean() + (scores[~good] > c).mean() for c in scores if (scores[good] <= c).mean() >= 0.99)
+    assert abs((scores[good] <= forest.threshold).mean() + (scores[~good] > forest.threshold).mean() - best) < 0.002
+    again = rules.fit(texts_table((texts + bad)[::-1]).repartition(3), labels.repartition(2), trees=20)
+    assert (again.split == forest.split).all() and (again.path == forest.path).all() and again.threshold == forest.threshold
