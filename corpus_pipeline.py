@@ -1,7 +1,7 @@
 """A training corpus from raw documents: quality rules, quality classifier, near-dedup, substring dedup, packing.
 
 ``STAGES`` are run one after the other; each gets the documents that the one before has kept and written.  Models are
-fitted on a bounded sample of the labelled documents of the whole table.
+fitted on labelled documents of the whole table: the rules on all of them, the classifier on a bounded sample.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = groups.where("doc_id IS NOT NULL")
     left = docs.join(few(groups.where("NOT kept").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
     again = groups.where("kept AND times > 1").select("doc_id")
-    if not again.limit(1).count():
+    if again.isEmpty():
         return left
     once = left.join(few(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return left.join(few(again), "doc_id", "left_anti").select(*docs.columns).union(once)

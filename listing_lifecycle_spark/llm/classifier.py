@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import hashes, mix, raw, row_of, slices, spread, sums, words
+from listing_lifecycle_spark.llm.arrow_text import hashes, mix, raw, release, row_of, slices, spread, sums, words
 from listing_lifecycle_spark.llm.rules import sampled_labels
 
 BITS = 16
@@ -127,10 +127,13 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None, la
     known = labels.where(F.col(label).isin(0, 1))
     chosen = sampled_labels(known.where(trained_on) if trained_on is not None else known, sample, label)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
-    found = texts.mapInArrow(_vectors, "doc_id bigint, buckets binary, weights binary").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    # Views of what was collected: nothing is copied.
+    found = texts.mapInArrow(_vectors, "doc_id bigint, buckets binary, weights binary").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toLocalIterator()
+    # One partition at a time is in the driver's JVM; rows are views of what has come, nothing is copied.
     rows = [(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.weights, np.float32), int(r[label])) for r in found]
-    return descend(rows, dim, epochs, rate, seed)
+    model = descend(rows, dim, epochs, rate, seed)
+    del rows, found
+    release()
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text: int, keep_from: float | None) -> Iterator[pa.RecordBatch]:

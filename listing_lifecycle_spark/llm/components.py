@@ -19,10 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("label")), "labels")
     changed = True
     while changed:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        taken = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("taken"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("own"))
+        taken = near.union(labels.select("id", "label", F.col("label").alias("own"))).groupBy("id").agg(F.max("own").alias("label"), F.min("label").alias("taken"))
         jump = labels.select(F.col("id").alias("taken"), F.col("label").alias("further"))
         rows = stored(taken.join(jump, "taken").select("id", F.least("taken", "further").alias("label"), (F.least("taken", "further") < F.col("label")).alias("moved")), "labels")
-        changed = bool(rows.where("moved").limit(1).count())
+        changed = not rows.where("moved").isEmpty()
         labels = rows.select("id", "label")
     return labels

@@ -123,7 +123,7 @@ def with_regions(rows: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFra
     """
     rows, hot = rows.withColumn("region", F.col("prefix")), crowds.where(F.col("size") > HOT).select("tree", F.col("prefix").alias("region"), F.col("size").alias("count"))
     for depth in range(LEAST + 1, DEPTH + 1):
-        if not hot.limit(1).count():  # there are at most rows / HOT hot regions
+        if hot.isEmpty():  # there are at most rows / HOT hot regions
             return rows, hot
         rows = rows.join(few(hot.select("tree", "region")).withColumn("hot", F.lit(True)), ["tree", "region"], "left")
         rows = rows.withColumn("region", F.when(F.col("hot"), F.substring("key", 1, WIDTH * depth)).otherwise(F.col("region"))).drop("hot")
@@ -140,7 +140,7 @@ def candidates(classes: DataFrame, crowds: DataFrame, part: int, whole: int) ->
     rows, hot = with_regions(tree_rows(classes, "marks").drop("signature"), crowds)
     rows = rows.drop("prefix").withColumn("part", F.lit(0).cast("long"))
     bridges = None
-    if hot.limit(1).count():
+    if not hot.isEmpty():
         dealt = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / HOT))
         rows = rows.join(few(hot), ["tree", "region"], "left").withColumn("part", F.coalesce(dealt, "part")).drop("count")
         firsts = rows.join(few(hot.select("tree", "region")), ["tree", "region"]).groupBy("tree", "region", "part").agg(F.min("class").alias("b"))
@@ -179,7 +179,7 @@ def best_of(pairs: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further ``links`` between classes; ``links`` is a stored table."""
-    if not links.limit(1).count():
+    if links.isEmpty():
         return labels
     tops = components(with_labels(links, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     known = labels.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("label").alias("label"))
@@ -275,8 +275,9 @@ def _forest(left: pa.Table, right: pa.Table, part: int, whole: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
 
-def crowd_tiles(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of regions with more rows than a row has neighbours, where they are not in one component yet, in tiles.
+def crowd_tiles(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The rows of regions with more rows than a row has neighbours, where they are not in one component yet, in tiles;
+    None if there are no such regions.
 
     Outer rows, which are not in the region's largest component, meet all rows of the region: a tile is a block of each,
     of about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles.
@@ -292,7 +293,10 @@ def crowd_tiles(classes: DataFrame, crowds: DataFrame, sizes: DataFrame, labels:
     blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("long")
     outers = blocks(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles"))
     regions = regions.where("labels > 1").select(*keys, F.col("top.label").alias("top"), blocks(F.col("rows"), F.col("shingles")).alias("blocks"), outers.alias("outers"))
-    rows = rows.join(few(stored(regions, "regions")), keys).withColumn("is_outer", F.col("label") != F.col("top"))
+    regions = stored(regions, "regions")
+    if regions.isEmpty():
+        return None
+    rows = rows.join(few(regions), keys).withColumn("is_outer", F.col("label") != F.col("top"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
     name = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "s", "is_outer", "signature", "tree", "prefix")]
@@ -358,11 +362,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     rest = with_labels(pairs.join(best_of(pairs), ["a", "b"], "left_anti"), labels).where("label_a <> label_b")
     labels = merged(labels, stored(linked(rest, sets, part, whole), "links"))
     tiles = crowd_tiles(own, crowds, sizes, labels)
-    asked = stored(tiled(*tiles, partial(_in_question, part=part, whole=whole), "tree int, prefix binary, place long, block long, is_left boolean, class long"), "asked")
-    more = asked.select("class").distinct().join(sets, "class", "left_anti")
-    if more.limit(1).count():
-        sets = sets.union(sets_of(read, one, more, width))
-    labels = merged(labels, stored(crowded(tiles, asked, sets, part, whole), "links"))
+    if tiles:
+        asked = stored(tiled(*tiles, partial(_in_question, part=part, whole=whole), "tree int, prefix binary, place long, block long, is_left boolean, class long"), "asked")
+        more = asked.select("class").distinct().join(sets, "class", "left_anti")
+        if not more.isEmpty():
+            sets = sets.union(sets_of(read, one, more, width))
+        labels = merged(labels, stored(crowded(tiles, asked, sets, part, whole), "links"))
     named = classes.join(labels.select(F.col("id").alias("class"), "label"), "class", "left")
     tops = named.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("top"))
     grouped = named.where("label IS NOT NULL OR copies > 1").join(tops, "label", "left").select("digest", F.coalesce("top", "least").alias("component"))

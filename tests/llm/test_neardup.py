@@ -97,3 +97,10 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(900, 900), (7, 3), (3, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)} | {7: 3, 3: 3}
+
+
+def test_no_tiles_without_crowded_regions(texts_table, monkeypatch):
+    """Where no region is crowded, no plan of tiles is made: its broadcasts and threads cost the driver memory."""
+    monkeypatch.setattr(neardup, "tiled", None)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(5)] + [(9, " ".join(f"w0x{j}" for j in range(30)) + " more")]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(texts_table(texts)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 0}
