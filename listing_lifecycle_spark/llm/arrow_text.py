@@ -17,7 +17,9 @@ from listing_lifecycle_spark.session import shared_folder
 
 #: Text handled at once in a task.  One longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
-BATCH_BYTES = 8 << 20
+#: The same for steps whose arrays are fifty times the text and more.
+FINE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import hashes, mix, raw, release, row_of, slices, spread, sums, words
+from listing_lifecycle_spark.llm.arrow_text import FINE_BYTES, hashes, mix, raw, release, row_of, slices, spread, sums, words
 from listing_lifecycle_spark.llm.rules import sampled_labels
 
 BITS = 16
@@ -80,15 +80,22 @@ class Model:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    """Buckets of each document, ascending, and their shares of its features.
+
+    Counted document by document over its distinct words: a list of all n-grams would be a hundred times the text.
+    """
+    for batch in slices(batches, size=FINE_BYTES):
         codes, at, word, grams, counts, pair, pair_at = features(batch.column(1))
-        row, first = row_of(at), np.cumsum(counts) - counts
-        rows = np.concatenate([row, np.repeat(row, counts[codes]), row_of(pair_at)])
-        bucket = np.concatenate([word[codes], grams[spread(first[codes], counts[codes])], pair])
-        key, times = np.unique(rows << BITS | bucket, return_counts=True)
-        edge = np.searchsorted(key >> BITS, np.arange(batch.num_rows + 1))
-        bucket, times = (key & (1 << BITS) - 1).astype(np.uint16), times.astype(np.float32)
-        out = [[bucket[a:b].tobytes() for a, b in zip(edge, edge[1:])], [(times[a:b] / max(times[a:b].sum(), 1)).tobytes() for a, b in zip(edge, edge[1:])]]
+        first, out = np.cumsum(counts) - counts, ([], [])
+        for row in range(batch.num_rows):
+            own, n = np.unique(codes[at[row] : at[row + 1]], return_counts=True)
+            times = np.bincount(pair[pair_at[row] : pair_at[row + 1]], minlength=1 << BITS).astype(np.float64)
+            times += np.bincount(word[own], n, 1 << BITS)
+            times += np.bincount(grams[spread(first[own], counts[own])], np.repeat(n, counts[own]), 1 << BITS)
+            bucket = np.flatnonzero(times)
+            times = times[bucket].astype(np.float32)
+            out[0].append(bucket.astype(np.uint16).tobytes())
+            out[1].append((times / max(times.sum(), 1)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "buckets", "weights"])
 
 
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column | None = None, la
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text: int, keep_from: float | None) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, FINE_BYTES):
         score = model.scores(batch.column(text))
         if keep_from is None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])

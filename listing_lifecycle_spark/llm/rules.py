@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import mix, raw, row_of, slices, stored, sums, words
+from listing_lifecycle_spark.llm.arrow_text import FINE_BYTES, mix, raw, row_of, slices, stored, sums, words
 
 #: Characters that count as symbols, and bytes that end a sentence or line.  Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -192,7 +192,7 @@ def best_cut(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarra
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, size=2 * FINE_BYTES):
         base, features = statistics(batch.column(1))
         batch, features = batch.filter(pa.array(~base_failed(base))), features[~base_failed(base)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * features.shape[1], pa.int32()), pa.array(features.ravel()))
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = 300, rows: int = 128, l
 
 
 def _judge(batches: Iterator[pa.RecordBatch], forest: Forest, text: int, keep_all: bool) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, 2 * FINE_BYTES):
         base, features = statistics(batch.column(text))
         failed = base_failed(base)
         score = forest.scores(features)

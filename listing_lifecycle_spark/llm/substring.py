@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import raw, slices, spread, stored
+from listing_lifecycle_spark.llm.arrow_text import FINE_BYTES, raw, slices, spread, stored
 from listing_lifecycle_spark.llm.neardup import few
 from listing_lifecycle_spark.llm.rules import BLANK
 
@@ -102,7 +102,7 @@ def chunk_table(column: pa.Array, reach: int = REACH):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, size=FINE_BYTES):
         row, start, stop, words, digest, again = chunk_table(batch.column(1), reach)
         data, offsets = raw(batch.column(1))
         check = np.array([zlib.crc32(data[a:b]) % 2**31 for a, b in zip(offsets, offsets[1:])], np.int32)

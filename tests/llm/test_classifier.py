@@ -53,3 +53,31 @@ def test_held_out_accuracy(spark):
     judged = C.score(docs.where("doc_id % 3 = 1"), model).join(labels, "doc_id").collect()
     right = {q: np.mean([(r.score >= 0.5) == (q == 1) for r in judged if r.quality == q]) for q in (0, 1)}
     assert right[0] > 0.95 and right[1] > 0.98
+
+
+def test_vectors_count_plain_features_in_bounded_memory():
+    import tracemalloc
+    from collections import Counter
+
+    r = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in r.integers(0, 26, 9)) for _ in range(2000)]
+    texts = [" ".join(vocabulary[i] for i in r.integers(0, len(vocabulary), 1000)) for _ in range(300)] + ["", None, "a a a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert batch.nbytes > 2 << 20
+    tracemalloc.start()
+    try:
+        rows = [row for out in C._vectors(iter([batch])) for row in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 128 << 20  # of 3 MB of text; 256 MB and more when all n-grams were listed
+    assert [row["doc_id"] for row in rows] == list(range(len(texts)))
+    for i in (0, 299, 300, 301, 302):
+        codes, at, word, grams, counts, pair, _ = C.features(pa.array([texts[i] or ""]))
+        first = np.cumsum(counts) - counts
+        times = Counter(pair.tolist())
+        for code in codes:
+            times.update([int(word[code]), *grams[first[code] : first[code] + counts[code]].tolist()])
+        bucket, weight = np.frombuffer(rows[i]["buckets"], np.uint16), np.frombuffer(rows[i]["weights"], np.float32)
+        assert bucket.tolist() == sorted(times)
+        assert np.allclose(weight, [times[b] / max(sum(times.values()), 1) for b in sorted(times)])
