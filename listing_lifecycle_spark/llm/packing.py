@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listing_lifecycle_spark.llm.arrow_text import raw, slices, spread, stored, sums, words
+from listing_lifecycle_spark.llm.arrow_text import FINE_BYTES, raw, slices, spread, stored, sums, words
 from listing_lifecycle_spark.llm.bpe import Memory, Pairs, coded, merge_pieces
 from listing_lifecycle_spark.llm.token_counts import byte_alphabet
 
@@ -96,7 +96,7 @@ def vocabulary(path: str) -> WordVocabulary:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
     model = vocabulary(path)
-    for batch in slices(batches):
+    for batch in slices(batches, size=2 * FINE_BYTES):
         codes, distinct, at = words(batch.column(1))
         place = model.memory.of(distinct)[codes]
         counts = model.memory.count[place]
