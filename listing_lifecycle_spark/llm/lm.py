@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ BATCH = 8192
 BLOCK = 1024  # buckets of weights in a row of the update
 FAN = 16  # updates that are added up at once
 FEATURES = 3
+SPAN = 500.0  # exp(-SPAN) is still a normal number
 END = ""  # no word is empty
 
 
@@ -102,39 +103,82 @@ def buckets(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
     return [mix(k + np.uint64(0x9E3779B97F4A7C15)) for k in keys]
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return out / out.sum(axis=1, keepdims=True)
+def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of each row before they are divided by their sum, in place of ``logits``, and that sum."""
+    top = logits.max()
+    # One shift serves all rows unless it could make a row vanish; the largest of each short row takes far longer.
+    logits -= top if top - logits.min() < SPAN else logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, np.einsum("ij->i", logits)
 
 
-def chances(model: Model, keys: list[np.ndarray], group: np.ndarray):
-    """Class chances, slot chances in ``group``, and the buckets that they come from."""
+def met_by(keys: list[np.ndarray], group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The buckets of each feature, for the class and for the slot in ``group``."""
     top = np.uint64(64 - BITS)
     first = [(k >> top).astype(np.int64) for k in keys]
     second = [(mix(k ^ (group.astype(np.uint64) + np.uint64(1))) >> top).astype(np.int64) for k in keys]
-    a, b = np.repeat(model.bias[None, :], len(group), axis=0), model.slot_bias[group]
+    return first, second
+
+
+def chances(model: Model, first: list[np.ndarray], second: list[np.ndarray], group: np.ndarray):
+    """Class chances and slot chances in ``group``, from their buckets, as :func:`softmax` gives them."""
+    a, b = np.repeat(model.bias[None, :], len(group), axis=0), model.slot_bias.take(group, axis=0)
     for f, s in zip(first, second):
-        a += model.weights[f]
-        b += model.slot_weights[s]
-    return softmax(a), softmax(b), first, second
+        a += model.weights.take(f, axis=0)
+        b += model.slot_weights.take(s, axis=0)
+    return softmax(a), softmax(b)
+
+
+def powers(model: Model) -> Model | None:
+    """``model`` with exp() of all biases and weights, each row less its largest; none where products could vanish.
+
+    Chances are the same if a constant is taken from a row.
+    """
+    names = ("bias", "slot_bias", "weights", "slot_weights")
+    tables = [t - t.max(axis=-1, keepdims=True) for t in (getattr(model, n).astype(np.float64) for n in names)]
+    least = [float(t.min()) for t in tables]
+    if min(least[0] + FEATURES * least[2], least[1] + FEATURES * least[3]) < -SPAN:
+        return None
+    return replace(model, **dict(zip(names, map(np.exp, tables))))
 
 
-def log_chances(model: Model, places: Stream) -> np.ndarray:
-    """log10 chance of each place; for words outside the shared vocabulary, that of their slot alone."""
+def products(ready: Model, first: list[np.ndarray], second: list[np.ndarray], group: np.ndarray):
+    """What :func:`chances` gives, up to a factor for each row, from :func:`powers`."""
+    a, b = ready.weights.take(first[0], axis=0), ready.slot_weights.take(second[0], axis=0)
+    for f, s in zip(first[1:], second[1:]):
+        a *= ready.weights.take(f, axis=0)
+        b *= ready.slot_weights.take(s, axis=0)
+    a *= ready.bias
+    b *= ready.slot_bias.take(group, axis=0)
+    return (a, np.einsum("ij->i", a)), (b, np.einsum("ij->i", b))
+
+
+def log_chances(model: Model, places: Stream, ready: Model | None = None) -> np.ndarray:
+    """log10 chance of each place; for words outside the shared vocabulary, that of their slot alone.
+
+    ``ready`` is :func:`powers` of the model, which saves an exp() for each class and slot of each place.
+    """
     out, inside = np.zeros(len(places.word)), np.append(model.inside, 0.0)
     slot = np.append(model.slot, SIDE * SIDE - 1)
     for begin in range(0, len(out), BATCH):
         own = slice(begin, begin + BATCH)
         group, place = np.divmod(slot[places.word[own]], SIDE)
-        a, b, *_ = chances(model, buckets(places.before[own], places.earlier[own]), group)
+        found = met_by(buckets(places.before[own], places.earlier[own]), group)
+        (a, a_sum), (b, b_sum) = products(ready, *found, group) if ready else chances(model, *found, group)
         row = np.arange(len(group))
-        out[own] = np.log10(a[row, group]) + np.log10(b[row, place]) + inside[places.word[own]]
+        out[own] = np.log10(a[row, group] / a_sum) + np.log10(b[row, place] / b_sum) + inside[places.word[own]]
     return out
 
 
+@cache
+def _cells(rows: int) -> np.ndarray:
+    """The places of each row's cells in a table laid out flat."""
+    return np.arange(rows * SIDE).reshape(rows, SIDE)
+
+
 def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """``table[at] += rows`` with repeated places."""
-    np.add.at(table.reshape(-1), (at[:, None] * SIDE + np.arange(SIDE)).reshape(-1), rows.astype(table.dtype).reshape(-1))
+    np.add.at(table.reshape(-1), _cells(len(table)).take(at, axis=0).reshape(-1), rows.astype(table.dtype).reshape(-1))
 
 
 def _descend(batches: Iterator[pa.RecordBatch], model: Model, rate: float) -> Iterator[pa.RecordBatch]:
@@ -149,8 +193,11 @@ def _descend(batches: Iterator[pa.RecordBatch], model: Model, rate: float) -> It
         for begin in range(0, len(places.word), BATCH):
             own = slice(begin, begin + BATCH)
             group, place = np.divmod(slot[places.word[own]], SIDE)
-            a, b, first, second = chances(model, buckets(places.before[own], places.earlier[own]), group)
+            first, second = met_by(buckets(places.before[own], places.earlier[own]), group)
+            (a, a_sum), (b, b_sum) = chances(model, first, second, group)
             row = np.arange(len(group))
+            a /= a_sum[:, None]
+            b /= b_sum[:, None]
             a[row, group] -= 1
             b[row, place] -= 1
             for table, error, found, times in ((tables[0], a, first, met[0]), (tables[1], b, second, met[1])):
@@ -269,13 +316,14 @@ SCORED = "row bigint, doc_id bigint, word string, times bigint, n_tokens bigint,
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     base = np.append(model.base(model.counts), 0.0)
     known = np.append(model.counts > 0, False)
+    ready = powers(model)
     for batch in slices(batches):
         places, codes, distinct, at = stream(batch.column(1), model.words)
-        score, n = sums(log_chances(model, places), places.offsets), np.diff(places.offsets)
+        score, n = sums(log_chances(model, places, ready), places.offsets), np.diff(places.offsets)
         base_part, n_known = sums(base[places.word], places.offsets), sums(known[places.word], places.offsets)
-        number = pc.fill_null(pc.index_in(distinct, value_set=model.words), -1).to_numpy()[codes] if len(codes) else codes
-        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-        key, times = np.unique((row * (len(distinct) + 1) + codes)[number < 0], return_counts=True) if len(codes) else (codes, codes)
+        other = np.flatnonzero(places.word == len(model.words))
+        row = np.searchsorted(at + np.arange(len(at)), other, side="right") - 1  # each row before has an end besides its words
+        key, times = np.unique(row * (len(distinct) + 1) + codes[other - row], return_counts=True)
         own, code = np.divmod(key, len(distinct) + 1)
         # A row for each word outside the shared vocabulary; the first of a text, or a row of its own, has the sums.
         none = np.setdiff1d(np.arange(batch.num_rows), own)

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 from math import exp, isclose, log, log10
+from time import process_time
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +158,103 @@ def test_updates_are_added_up_in_a_tree(spark, tmp_path):
         got = {x.block: np.frombuffer(x.classes, np.float32) for x in lm.added_up(table, fan).collect()}
         assert {b: x.tolist() for b, x in got.items()} == {b: sum(a for c, _, a, _ in bodies if c == b).tolist() for b in (0, 1024)}
     assert lm.added_up(table.limit(0)).count() == 0
+
+
+def plain_softmax(logits):
+    out = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def plain_chances(model, places):
+    """log10 chance of each place by the formula, the largest logit of each row taken off."""
+    group, place = np.divmod(np.append(model.slot, lm.SIDE**2 - 1)[places.word], lm.SIDE)
+    out = np.append(model.inside, 0.0)[places.word]
+    found = lm.met_by(lm.buckets(places.before, places.earlier), group)
+    tables = (model.bias[None, :], model.weights, group), (model.slot_bias[group], model.slot_weights, place)
+    for buckets, (bias, table, at) in zip(found, tables):
+        logits = np.repeat(bias, len(group) // len(bias), axis=0)
+        for f in buckets:
+            logits += table[f]
+        out = out + np.log10(plain_softmax(logits)[np.arange(len(group)), at])
+    return out
+
+
+def random_places(model, n):
+    r = np.random.default_rng(5)
+    number = [(r.random(n) ** 3 * (len(model.words) + 2)).astype(np.int64) for _ in range(3)]
+    return lm.Stream(np.minimum(number[0], len(model.words)), *number[1:], np.array([0, n]))
+
+
+def test_one_shift_serves_all_rows_unless_they_lie_far_apart():
+    r = np.random.default_rng(2)
+    near = r.normal(size=(50, lm.SIDE)) * 9
+    for logits in (near, near + np.arange(50)[:, None] * 100, near + 5000, near * 60, near - 1e6):
+        powers, total = lm.softmax(logits.copy())
+        assert np.allclose(powers / total[:, None], plain_softmax(logits), rtol=1e-9, atol=0)
+
+
+def test_products_of_powers_give_the_same_chances():
+    model = small_model()
+    places = random_places(model, 20_001)
+    want = plain_chances(model, places)
+    assert np.allclose(lm.log_chances(model, places), want, rtol=0, atol=1e-9)
+    assert np.allclose(lm.log_chances(model, places, lm.powers(model)), want, rtol=0, atol=1e-9)
+    model.weights[:] += np.arange(len(model.weights))[:, None] % 5000  # exp() of these overflows, their chances stay
+    model.slot_weights[:, 3] += 100
+    assert lm.powers(model) is not None
+    assert np.allclose(lm.log_chances(model, places, lm.powers(model)), plain_chances(model, places), rtol=0, atol=1e-9)
+    model.slot_weights[7, 3] += 100  # products might vanish: sums of logits again
+    assert lm.powers(model) is None
+    assert np.allclose(lm.log_chances(model, places, lm.powers(model)), plain_chances(model, places), rtol=0, atol=1e-9)
+
+
+def test_updates_equal_plain_ones():
+    rows = [f"W{i % 7} w{i % 31} and w{i % 11} w{i % 3} new{i}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])
+    model = small_model()
+    places, *_ = lm.stream(batch.column(0), model.words)
+    tables = [model.weights.copy(), model.slot_weights.copy()]
+    met = [np.zeros(len(t)) for t in tables]
+    for begin in range(0, len(places.word), lm.BATCH):
+        own = slice(begin, begin + lm.BATCH)
+        group, place = np.divmod(np.append(model.slot, lm.SIDE**2 - 1)[places.word[own]], lm.SIDE)
+        found = lm.met_by(lm.buckets(places.before[own], places.earlier[own]), group)
+        logits = [model.bias[None, :] + sum(tables[0][f].astype(float) for f in found[0]), model.slot_bias[group] + sum(tables[1][f].astype(float) for f in found[1])]
+        for table, times, x, at, buckets in zip(tables, met, logits, (group, place), found):
+            error = plain_softmax(x)
+            error[np.arange(len(at)), at] -= 1
+            for f in buckets:
+                np.add.at(times, f, 1)
+            for f in buckets:
+                np.add.at(table, f, (-0.5 / np.sqrt(times[f])[:, None] * error).astype(np.float32))
+    assert len(places.word) > 2 * lm.BATCH
+    for u in lm._descend(iter([batch]), model, 0.5):
+        own = slice(u["block"][0].as_py(), u["block"][0].as_py() + lm.BLOCK)
+        for name, count, table, start, times in (("classes", "met", tables[0], model.weights, met[0]), ("slots", "slots_met", tables[1], model.slot_weights, met[1])):
+            assert np.array_equal(np.frombuffer(u[count][0].as_py(), np.float32), times[own])
+            change = np.frombuffer(u[name][0].as_py(), np.float32).reshape(-1, lm.SIDE)
+            assert np.allclose(change, (table[own] - start[own]) * times[own, None], rtol=1e-3, atol=1e-2)
+
+
+def test_scoring_takes_less_time_than_the_formula_and_looks_words_up_once(monkeypatch):
+    model = small_model()
+    places = random_places(model, 200_000)
+
+    def seconds(f):
+        begin = process_time()
+        f()
+        return process_time() - begin
+
+    def plain():
+        for begin in range(0, 200_000, lm.BATCH):
+            own = slice(begin, begin + lm.BATCH)
+            plain_chances(model, lm.Stream(places.word[own], places.before[own], places.earlier[own], places.offsets))
+
+    assert min(seconds(lambda: lm.log_chances(model, places, lm.powers(model))) for _ in range(5)) < 0.7 * min(seconds(plain) for _ in range(5))
+    looked = []
+    index_in = lm.pc.index_in
+    monkeypatch.setattr(lm.pc, "index_in", lambda *a, **b: looked.append(1) or index_in(*a, **b))
+    columns = [pa.array([0, 1, 2]), pa.array(["w1 x w2 x", "", "w3"]), pa.array([7, 8, 9])]
+    (got,) = lm._score(iter([pa.RecordBatch.from_arrays(columns, ["row", "text", "doc_id"])]), model)
+    assert len(looked) == 1
+    assert [(r["row"], r["doc_id"], r["word"], r["times"], r["n_tokens"]) for r in got.to_pylist()] == [(0, 7, "x", 2, 5), (1, 8, " 1", 0, 1), (2, 9, " 2", 0, 2)]
