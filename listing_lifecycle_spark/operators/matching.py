@@ -124,14 +124,16 @@ def _place_key(level: str, *labels: Column) -> Column:
 
 
 INDEXED = 50_000  # rules that are indexed on the spot
+GATHERED = 1_000  # rules that are sent to all tasks
 
 
-def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1, indexed: bool = False) -> DataFrame:
+def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *, slices: int = 1, indexed: bool = False, gathered: bool = False) -> DataFrame:
     """Every listing with every enabled rule it satisfies.
 
     Rules meet the listings in a join (``match_rules_by_join``).  With ``indexed``, for thousands of rules, up to
     ``INDEXED`` of them are gathered (a job) and indexed in the tasks, so that listings are read once, as they are
-    (:mod:`rule_index`); for a handful of rules that costs more than the join.
+    (:mod:`rule_index`); for a handful of rules that costs more than the join.  With ``gathered``, for a handful, up to
+    ``GATHERED`` are gathered (a job) and the join sends them to all tasks, so that listings are not shuffled, four times each.
     A rule with an error matches nothing (see ``rule_errors``).
     """
     usable = resolved_rules(rules, locations).where(F.col("enabled") & F.col("rule_error").isNull())
@@ -141,6 +143,10 @@ def match_rules(listings: DataFrame, rules: DataFrame, locations: DataFrame, *,
         if known.num_rows <= INDEXED:
             schema = StructType([*listings.schema, *shown.schema])
             return listings.mapInArrow(partial(matched, rules=known), schema) if known.num_rows else listings.limit(0).mapInArrow(partial(matched, rules=known), schema)
+    if gathered:
+        known = shown.limit(GATHERED + 1).toArrow()
+        if known.num_rows <= GATHERED:
+            shown = F.broadcast(listings.sparkSession.createDataFrame(known, shown.schema))
     return match_rules_by_join(listings, shown, slices=slices)
 
 
