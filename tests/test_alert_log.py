@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 
@@ -82,3 +83,16 @@ def test_gathered_rules_match_as_joined_ones(spark, folder):
     rows = lambda df: sorted(str(r) for r in df.select("rule_name", "external_id", "start_date").collect())
     for rules in (alerts.rules(t), make_rules(spark, [{"rule_name": "none", "enabled": False}])):
         assert rows(ma.match_rules(t.listings, rules, t.locations, gathered=True)) == rows(ma.match_rules(t.listings, rules, t.locations))
+
+
+def checkpoints(spark):
+    """Folders of rows that were checkpointed whole."""
+    return sorted(str(p) for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("**/rdd-*"))
+
+
+def test_event_types_store_matches_as_a_narrow_table(spark, folder, monkeypatch):
+    tables, before = [], checkpoints(spark)
+    monkeypatch.setattr(alerts, "stored", lambda df, old=alerts.stored: tables.append(old(df)) or tables[-1])
+    same_as_twin(spark, folder, "event_types")
+    assert checkpoints(spark) == before and len(tables) == 1
+    assert not {"allowed_islands", "include_keywords", "intro", "url", "house_type"} & set(tables[0].columns)
