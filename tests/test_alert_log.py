@@ -96,3 +96,14 @@ def test_event_types_store_matches_as_a_narrow_table(spark, folder, monkeypatch)
     same_as_twin(spark, folder, "event_types")
     assert checkpoints(spark) == before and len(tables) == 1
     assert not {"allowed_islands", "include_keywords", "intro", "url", "house_type"} & set(tables[0].columns)
+
+
+def test_latest_prior_event_keeps_of_a_log_row_only_its_event(spark, folder, monkeypatch):
+    """A match that is not its order's latest line is stored without the columns of its listing and its rule."""
+    tables = []
+    monkeypatch.setattr(alerts, "stored", lambda df, old=alerts.stored: tables.append(old(df)) or tables[-1])
+    same_as_twin(spark, folder, "latest_prior_event")
+    event = {"external_id", "rule_name", "last", "alert_fingerprint", "created_at", "event_id"}
+    rest = [c for c in tables[0].columns if c not in event]
+    assert rest and tables[0].where("NOT last").count() > 100
+    assert tables[0].where(f"NOT last AND coalesce({', '.join(f'CAST({c} AS STRING)' for c in rest)}) IS NOT NULL").count() == 0
