@@ -1,6 +1,7 @@
 import html as html_module
 import html.entities
 import re
+import time
 import unicodedata
 
 import pytest
@@ -176,3 +177,19 @@ def test_slugs_and_small_texts(spark):
     ).first()
     assert got[0] == "2 days" and got[1] == "-" and len(got[2]) == 303 and got[3] == "access_challenge"
     assert got[4] == "https://a.b/c" and got[5] == "b c d"
+
+
+def test_slugs_of_long_texts_cost_little(spark):
+    """Letters beyond ASCII cost a look-up each, the rest of a text doesn't; letters of two code units stay whole."""
+    rows = spark.createDataFrame([(i, "plain words and more of them " * 300 + "é½😀Ā") for i in range(200)], "i int, t string").cache()
+    rows.count()
+
+    def seconds(column):
+        began = time.perf_counter()
+        rows.agg(F.max(column)).collect()
+        return time.perf_counter() - began
+
+    assert rows.where("i = 7").select(text.slugify(F.col("t"))).first()[0].endswith("more-of-them-e12a")
+    plain = F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "-")
+    seconds(plain), seconds(text.slugify(F.col("t")))  # so that code is compiled
+    assert min(seconds(text.slugify(F.col("t"))) for _ in range(3)) < 10 * max(seconds(plain) for _ in range(3))
