@@ -15,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -31,6 +30,7 @@ OUTPUT = (
     "external_id string, version bigint, content_hash string, first_seen_us bigint, last_seen_us bigint, "
     "appearance_sequence int, sightings bigint, status string"
 )
+ROW = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def merged_spans(starts: list[int], ends: list[int], gap: int) -> tuple[list[int], list[int]]:
@@ -57,26 +57,28 @@ class ListingProcessor(StatefulProcessor):
         self.handle = handle
         self.listing = handle.getValueState("listing", STATE)
 
-    def _row(self, key, state: tuple) -> pd.DataFrame:
+    def _row(self, key, state: tuple) -> Row:
         version, sightings, _, latest, _, content, missing, starts, ends = state
-        row = (key[0], version, content, starts[0], max(latest, ends[-1]), len(starts), sightings, "missing_confirmed" if missing else "active")
-        return pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        return ROW(key[0], version, content, starts[0], max(latest, ends[-1]), len(starts), sightings, "missing_confirmed" if missing else "active")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.listing.exists():
-            version, sightings, reported, latest, tie, content, _, starts, ends = tuple(self.listing.get())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.listing.get()  # each call to the store costs a round trip
+        if known is not None:
+            version, sightings, reported, latest, tie, content, _, starts, ends = tuple(known)
             starts, ends = list(starts), list(ends)
             before = reported
         else:
             version, sightings, reported, latest, tie, content, starts, ends, before = 0, 0, -1, -(1 << 62), -1, None, [], [], None
-        for batch in rows:
-            seen = batch["observed_us"].tolist()
-            sightings += len(seen)
-            reported = max(reported, int(batch["reported_ms"].max()))
-            top = max(zip(seen, batch["tie"].tolist(), batch["content_hash"].tolist()))
-            if top[:2] >= (latest, tie):
-                latest, tie, content = top
-            starts, ends = merged_spans(starts + seen, ends + seen, self.gap_us)
+        seen, top = [], None
+        for row in rows:
+            own = (row["observed_us"], row["tie"], row["content_hash"])
+            seen.append(own[0])
+            reported = reported if row["reported_ms"] is None else max(reported, row["reported_ms"])
+            top = own if top is None else max(top, own)
+        sightings += len(seen)
+        if top[:2] >= (latest, tie):
+            latest, tie, content = top
+        starts, ends = merged_spans(starts + seen, ends + seen, self.gap_us)
         state = (version + 1, sightings, reported, latest, tie, content, False, starts, ends)
         self.listing.update(state)
         if before != reported:
@@ -85,7 +87,7 @@ class ListingProcessor(StatefulProcessor):
             self.handle.registerTimer(reported + self.silence_ms)
         yield self._row(key, state)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = tuple(self.listing.get())
         state = (state[0] + 1, *state[1:6], True, list(state[7]), list(state[8]))
         self.listing.update(state)
@@ -107,7 +109,7 @@ def keyed_states(sightings: DataFrame, *, gap: timedelta, silence: timedelta, de
         "external_id", "content_hash", "tie", "clock", F.unix_millis("clock").alias("reported_ms"),
         F.unix_micros(utc_instant(F.col("observed_at"))).alias("observed_us"),
     )
-    return rows.groupBy("external_id").transformWithStateInPandas(
+    return rows.groupBy("external_id").transformWithState(
         statefulProcessor=ListingProcessor(gap, silence), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
     )
 

@@ -206,6 +206,9 @@ def run_stream(t, *, rules=None, dogs=None, fish=None):
     return tables
 
 
+PART_ROWS = 1_000_000  # sightings in a file
+
+
 @query(
     "streamed_appearances", "STM1 STM2 UPS4",
     """WITH o AS (SELECT concat(event_type, '-', user_id) AS external_id, ts, ts - to_days(CAST(event_id % 5 AS INTEGER)) AS observed_at, event_id, value FROM events),
@@ -217,7 +220,10 @@ def run_stream(t, *, rules=None, dogs=None, fish=None):
     instants="first_seen_at last_seen_at",
 )
 def streamed_appearances(t):
-    """Sightings that reach the stream up to four days late, in three files one after the other, with state by listing."""
+    """Sightings that reach the stream up to four days late, in three parts one after the other, with state by listing.
+
+    A part is one file, or several where there are many sightings, each written by a task of its own.
+    """
     folder = f"{shared_folder(t.spark)}/keyed-{uuid.uuid4().hex}"
     late = F.col("ts") - F.make_dt_interval(days=(F.col("event_id") % 5).cast("int"))
     rows = t.table("events").select(
@@ -227,13 +233,14 @@ def streamed_appearances(t):
     third = F.ntile(3).over(Window.orderBy("day"))
     days = rows.select(F.to_date("reported_at").alias("day")).distinct().withColumn("part", third)  # a row per day
     parts = rows.withColumn("day", F.to_date("reported_at")).join(days, "day").drop("day")
+    files = 1 + rows.count() // (3 * PART_ROWS)
     for part in (1, 2, 3):
-        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/source")
+        parts.where(F.col("part") == part).drop("part").coalesce(files).write.mode("append").parquet(f"{folder}/source")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(provider, None)
     t.spark.conf.set(provider, keyed.ROCKSDB)
     try:
-        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/source")
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/source")
         sink = keyed.LatestStates(f"{folder}/states")
         states = keyed.keyed_states(stream, gap=timedelta(days=3), silence=timedelta(days=4))
         keyed.keep_states(states, sink, checkpoint=f"{folder}/progress").awaitTermination()
